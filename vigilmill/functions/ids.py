@@ -7,25 +7,31 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The characters that may pad an identifier.
-ID_BLANKS = " \t\n\r\f\v   　​﻿"
+#: The characters that may pad an identifier, as a regex class.
+BLANK = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 
 
 def trimmed(c: Column) -> Column:
     """Without the blanks around it; null if nothing is left."""
-    return F.nullif(F.btrim(c, F.lit(ID_BLANKS)), F.lit(""))
+    return F.nullif(F.regexp_extract(c, f"(?s)^{BLANK}*(.*?){BLANK}*$", 1), F.lit(""))
 
 
 def bare_id(c: Column) -> Column:
-    """An id without surrounding blanks and type prefix; null if blank."""
-    t = trimmed(c)
-    return trimmed(F.when(t.rlike("^t[13]_"), F.substring(t, 4, 1_000_000)).otherwise(t))
+    """An id without surrounding blanks and type prefix; null if blank.
+
+    One regex, so that Spark evaluates nothing twice per nesting level.
+    """
+    return F.nullif(F.regexp_extract(c, f"(?s)^{BLANK}*(?:t[13]_)?{BLANK}*(.*?){BLANK}*$", 1), F.lit(""))
 
 
 def record_kind(c: Column, default: str) -> Column:
     """``post`` or ``comment`` by prefix, else ``default``."""
-    t = trimmed(c)
-    return F.when(t.startswith("t3_"), F.lit("post")).when(t.startswith("t1_"), F.lit("comment")).otherwise(F.lit(default))
+    return F.when(c.rlike(f"^{BLANK}*t3_"), F.lit("post")).when(c.rlike(f"^{BLANK}*t1_"), F.lit("comment")).otherwise(F.lit(default))
+
+
+def prefixed_id(c: Column, default: str) -> Column:
+    """The bare id with its type prefix; null if blank."""
+    return F.concat(F.when(record_kind(c, default) == "post", F.lit("t3_")).otherwise(F.lit("t1_")), bare_id(c))
 
 
 def record_id(given: list[Column], parts: list[Column]) -> Column:

@@ -12,10 +12,11 @@ def keep_one_delivery(df: DataFrame, id_col: str = "id", delivered_col: str = "r
     """Exactly one row per identifier, plus ``n_copies``.
 
     ``min_by`` over a struct of delivery time and a deterministic tie-break
-    (a 64-bit hash of the whole row, then the row's JSON text), so the result doesn't depend on
-    partitioning and map-side partial aggregation shrinks each id to one row
-    per task before the shuffle: an id with a third of all rows moves as a few
-    rows, not as a group. No window, no collected group.
+    (the row's own columns in order, nulls first; columns that can't be
+    ordered as JSON text), so the result doesn't depend on partitioning, and
+    map-side partial aggregation shrinks each id to one row per task before
+    the shuffle: an id with a third of all rows moves as a few rows, not as a
+    group. No window, no collected group.
 
     ``keep`` is ``first`` (earliest delivery, null times last) or ``last``
     (latest, null times lowest). The id is compared without blanks and type
@@ -29,10 +30,10 @@ def keep_one_delivery(df: DataFrame, id_col: str = "id", delivered_col: str = "r
     if keep not in ("first", "last"):
         raise ValueError(f"keep is first or last, not {keep}")
     keyed = df.withColumn("_key", bare_id(F.col(id_col)))
-    row = F.struct(*[F.col(c) for c in df.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     at = F.col(delivered_col)
-    text = F.to_json(row, {"ignoreNullFields": "false"})
-    order = F.struct(at.isNull(), at, F.xxhash64(text), text) if keep == "first" else F.struct(at.isNull(), -at.cast("long"), F.xxhash64(text), text)
+    ties = [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    order = F.struct(at.isNull(), at if keep == "first" else -at.cast("long"), *ties)
     got = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by(row, order).alias("r"), F.count(F.lit(1)).alias("n_copies"))
     out = got.select(*[(F.col("_key") if c == id_col else F.col(f"r.`{c}`")).alias(c) for c in df.columns], "n_copies")
     if keep_null_ids:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import bare_id, record_kind, trimmed
+from ..functions.ids import bare_id, prefixed_id, record_kind
 from ..functions.text import is_withdrawn
 
 
@@ -65,10 +65,6 @@ def parent_key(comments: DataFrame) -> DataFrame:
     parent_id is null or blank; null if both are. Of differing copies the
     newest decides (null ``retrieved_on`` lowest, then the greater target).
     """
-
-    def prefixed(c: Column) -> Column:
-        return F.when(bare_id(c).isNotNull(), F.concat(F.when(record_kind(c, "post") == "post", F.lit("t3_")).otherwise(F.lit("t1_")), bare_id(c)))
-
-    target = F.when(trimmed(F.col("parent_id")).isNotNull(), prefixed(F.col("parent_id"))).otherwise(prefixed(F.col("link_id")))
+    target = F.coalesce(prefixed_id(F.col("parent_id"), "post"), prefixed_id(F.col("link_id"), "post"))
     rows = comments.select(bare_id(F.col("id")).alias("comment_id"), target.alias("target"), F.coalesce(F.col("retrieved_on"), F.lit(-(2**60))).alias("on"))
     return rows.where(F.col("comment_id").isNotNull()).groupBy("comment_id").agg(F.max(F.struct("on", "target")).alias("m")).select("comment_id", F.col("m.target").alias("target"))

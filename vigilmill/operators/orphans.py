@@ -66,7 +66,7 @@ def resolve_references(refs: DataFrame, targets: DataFrame, keys: list[str], pay
             continue
         names = {k: f"_t{i}" for i, k in enumerate(on)}
         side = targets.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])).select(*[F.col(k).alias(names[k]) for k in on], *payload)
-        side = side.groupBy(*names.values()).agg(F.lit(1).alias("_hit") if not payload else F.min(payload[0]).alias(payload[0]), *[F.min(p).alias(p) for p in payload[1:]]).withColumn("_hit", F.lit(1))
+        side = side.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("_hit"), *[F.min(p).alias(p) for p in payload])
         cond = reduce(lambda a, b: a & b, [own[k] == side[names[k]] for k in on])
         got = own.join(side, cond, "left")
         parts.append(got.select(*[own[c] for c in own.columns], F.when(F.col("_hit").isNull(), F.lit("missing")).otherwise(F.lit("found")).alias("ref_status"), *[side[p] for p in payload]))
@@ -79,7 +79,9 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[str], matc
 
 
 def forum_orphans(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """``comment_id, ref_field, kind, first_on`` for comments' dangling references.
+    """Dangling references of comments, with their target and kind.
+
+    Columns ``comment_id, ref_field, target_table, target, kind, first_on``.
 
     The reference is the composite key (post_id, comment_id): a link or parent
     sets one of the two and leaves the other null, so two null masks occur and
@@ -96,8 +98,8 @@ def forum_orphans(posts: DataFrame, comments: DataFrame) -> DataFrame:
     by_comment = resolve_references(refs.where(F.col("ref_comment_id").isNotNull()), c.select(none.alias("ref_post_id"), F.col("id").alias("ref_comment_id"), "first_on", F.col("withdrawn").cast("int").alias("withdrawn")), ["ref_post_id", "ref_comment_id"], ["first_on", "withdrawn"], masks=[0b01])
     every = by_post.unionByName(by_comment)
     kind = F.when(F.col("ref_status") == "missing", F.lit("missing")).when(F.col("withdrawn") == 1, F.lit("deleted")).when(F.col("first_on") > F.col("own_first_on"), F.lit("late"))
-    found = every.select("comment_id", "ref_field", F.coalesce("ref_post_id", "ref_comment_id").alias("target"), kind.alias("kind"), F.col("own_first_on").alias("first_on")).where(F.col("kind").isNotNull())
-    return found
+    table = F.when(F.col("ref_post_id").isNotNull(), F.lit("posts")).otherwise(F.lit("comments"))
+    return every.select("comment_id", "ref_field", table.alias("target_table"), F.coalesce("ref_post_id", "ref_comment_id").alias("target"), kind.alias("kind"), F.col("own_first_on").alias("first_on")).where(F.col("kind").isNotNull())
 
 
 def orphans_per_comment(found: DataFrame) -> DataFrame:
@@ -112,6 +114,5 @@ def orphans_by_month(found: DataFrame) -> DataFrame:
 
     ``month`` is ``unknown`` where no copy of the comment has a delivery time.
     """
-    table = F.when(F.col("ref_field") == "link_id", F.lit("posts")).otherwise(F.lit("posts_or_comments"))
     month = F.coalesce(F.date_format(F.timestamp_seconds("first_on"), "yyyy-MM"), F.lit("unknown"))
-    return found.groupBy(table.alias("target_table"), month.alias("month"), "kind").agg(F.count(F.lit(1)).alias("n_references"), F.count_distinct("target").alias("n_targets"))
+    return found.groupBy("target_table", month.alias("month"), "kind").agg(F.count(F.lit(1)).alias("n_references"), F.count_distinct("target").alias("n_targets"))
