@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import bare_id
 from ..plans.tables import table
-from . import near_duplicates, visual
+from . import leakage, near_duplicates, packing, sentences, visual
 
 
 def forum_texts(spark, d):
@@ -38,11 +38,48 @@ def p6_link_counts(spark, d):
     return near_duplicates.NearDuplicates(forum_texts(spark, d)).link_counts().withColumnRenamed("space", "table_name")
 
 
+def p8_packing(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "context_windows"))
+
+
+def p8_fill(spark, d):
+    return packing.fill_report(p8_packing(spark, d))
+
+
+def p9_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_passages(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), spans=True)
+
+
+def p9_clean_documents(spark, d):
+    return leakage.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents")).select("doc_id", "start_pos", "end_pos")
+
+
+def p10_sentences(spark, d):
+    docs = table(spark, d, "documents")
+    units = sentences.sentence_units(docs)
+    return docs.select("doc_id", "lang", "text").join(units, "doc_id").select("doc_id", "unit_no", "lang", F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("unit"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p4_consistent_texts": p4_consistent_texts,
     "p6_found": p6_found,
     "p6_link_counts": p6_link_counts,
+    "p8_packing": p8_packing,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_passages": p9_passages,
+    "p9_clean_documents": p9_clean_documents,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
 }
 SQL: dict[str, str] = {}
