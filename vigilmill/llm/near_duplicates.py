@@ -8,8 +8,8 @@ pair out, for two points as for the bounding boxes of two leaves of points.
 
 A tree alone doesn't cut down the number of pairs here: the points of unrelated
 texts lie as close in 16 dimensions as boxes can tell apart (see README), so
-its root level is a routing level: 32 keys of 6 min-hashes each. A pair at
-0.75 shares a key with probability 0.998, at 0.8 with 0.9999. Below a routing
+its root level is a routing level: 40 keys of 7 min-hashes each. A pair at
+0.75 shares a key with probability 0.997, at 0.8 with 0.9999. Below a routing
 key, points are packed into leaves of at most 512 in order of their vectors;
 pairs come from within a leaf and from leaves whose boxes pass the bound.
 Survivors are verified on the exact sets.
@@ -34,7 +34,7 @@ from ..session import Scratch
 from .visual import _Folds, look
 
 GROUPS, FULL = 16, 15
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 40, 7
 LEAF = 512
 SALTS = 64
 #: Rows sampled to find routing keys that need salt; results don't depend on it.
