@@ -10,6 +10,7 @@ vectorised ``take``.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -57,14 +58,15 @@ def typed(value: object, kind: pa.DataType) -> object:
         return [typed(x, kind.value_type) for x in value] if isinstance(value, list) else None
     if pa.types.is_string(kind):
         return value.encode("utf-8", "replace").decode() if isinstance(value, str) else None
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
         return None
     if pa.types.is_integer(kind):
         return value if isinstance(value, int) and -(2**63) <= value < 2**63 else None
     try:
-        return float(value)
-    except OverflowError:
+        number = float(value)  # numbers written as strings count
+    except (OverflowError, ValueError):
         return None
+    return number if math.isfinite(number) else None
 
 
 def flatten_list(lists: pa.ListArray, keys: dict[str, pa.Array], pos_name: str) -> tuple[pa.Array, dict[str, pa.Array]]:
@@ -167,7 +169,8 @@ def flat_answers(log: DataFrame, kind: str) -> DataFrame:
     null or of another type counts as absent; drugs that are blank or no
     strings, events without a non-blank original_expression, and evidence
     without a string quote are left out, yet count for the positions of
-    others; repeats stay; extra fields and columns are ignored. A string
-    confidence is not a number and comes out null.
+    others; repeats stay; extra fields and columns are ignored. A
+    confidence written as a string is read as a number; a number that is not
+    finite is null.
     """
     return log.select("log_line", "extraction").mapInArrow(_rows(kind), SCHEMAS[kind])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import forum_queries
+from . import forum_queries, study_queries, study_sql
 
-QUERIES = {**forum_queries.QUERIES}
-SQL = {**forum_queries.SQL}
-FLAGSHIP = "p7_found"
+QUERIES = {**forum_queries.QUERIES, **study_queries.QUERIES}
+SQL = {**forum_queries.SQL, **study_sql.SQL}
+FLAGSHIP = "term_frequency"
