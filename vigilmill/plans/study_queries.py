@@ -117,7 +117,7 @@ def created_iso(spark, d):
     return table(spark, d, "posts").select(bare_id(F.col("id")).alias("post_id"), iso_utc(records.seconds(F.col("created_utc"))).alias("created")).where("post_id is not null").distinct()
 
 
-_ORDER = ["record_id", "created_utc", "message", "user_id", "thread_id", "parent_id", "subreddit", "source_type"]
+_ORDER = ["record_id", "created_utc", "message", "thread_id", "parent_id", "subreddit", "source_type", "user_id"]
 
 
 def staged(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .study_queries import END, LABELS, START
+from .study_queries import END, LABELS, SALT, START
 
 _ID = "nullif(trim(regexp_replace(trim({0}), '^t[13]_', '')), '')"
 _COMMUNITY = "regexp_replace(lower(trim(coalesce(subreddit, ''))), '^/?r/', '')"
@@ -53,7 +53,7 @@ def _field(name: str) -> str:
 
 
 def _tidy(x: str) -> str:
-    return f"trim(regexp_replace(coalesce({x}, ''), '[\\s\\x1c-\\x1f\\x85\\xa0]+', ' ', 'g'))"
+    return f"trim(regexp_replace(coalesce({x}, ''), '[\\t-\\r\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 
 
 _TARGETS = "tg AS (SELECT drug, row_number() OVER (ORDER BY drug) AS o FROM (SELECT DISTINCT lower(trim(canonical)) AS drug FROM drug_aliases))"
@@ -81,6 +81,33 @@ sym AS (SELECT DISTINCT t.user_id, {_tidy('coalesce(g.meddra_pt_zh, t.term)')} A
 solo AS (SELECT user_id, min(exposure_group) AS drug FROM expo GROUP BY user_id HAVING count(DISTINCT exposure_group) = 1 AND min(exposure_group) IN (SELECT drug FROM tg)),
 nsolo AS (SELECT tg.drug, count(solo.user_id) AS n FROM tg LEFT JOIN solo USING (drug) GROUP BY 1)"""
 _W = f"WITH {_STUDY} "
+
+_KEY = SALT.ljust(64, b"\0")
+_HMAC = "sha256(from_hex('{0}') || from_hex(sha256(from_hex('{1}') || encode({2}))))".format(bytes(x ^ 0x5C for x in _KEY).hex(), bytes(x ^ 0x36 for x in _KEY).hex(), "{0}")
+
+# Cleaning: the pseudonym is left out, as equal authors are equal pseudonyms.
+_AUTHOR = f"CASE WHEN lower({_tidy('author')}) IN ('[deleted]', 'deleted') THEN '' ELSE {_tidy('author')} END"
+_ISO = f"coalesce(strftime(to_timestamp({_SECONDS}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00'), '')"
+_PARENT = f"coalesce(CASE WHEN trim(parent_id) LIKE 't1|_%' ESCAPE '|' THEN 't1_' ELSE 't3_' END || {_ID.format('parent_id')}, '')"
+_TITLED = f"{_tidy('title')}"
+_CLEAN = f"""rows0 AS (
+ SELECT {_ID.format('id')} AS record_id, {_AUTHOR} AS u, {_tidy("left(concat_ws(chr(10) || chr(10), nullif(title, ''), nullif(selftext, '')), 12000)")} AS message, 'post' AS source_type, {_ID.format('id')} AS thread_id, '' AS parent_id, {_COMMUNITY} AS subreddit, {_SECONDS} AS created_utc, {_ISO} AS date FROM posts
+ UNION ALL SELECT {_ID.format('id')}, {_AUTHOR}, {_tidy("left(coalesce(body, ''), 12000)")}, 'comment', coalesce({_ID.format('link_id')}, ''), {_PARENT}, {_COMMUNITY}, {_SECONDS}, {_ISO} FROM comments),
+s1 AS (SELECT *, CASE WHEN lower(message) IN ('', '[deleted]', '[removed]', 'deleted', 'removed') THEN 'invalid_text' WHEN u = '' THEN 'missing_user' END AS st FROM rows0 WHERE record_id IS NOT NULL),
+s2 AS (SELECT * REPLACE (CASE WHEN st IS NULL AND row_number() OVER (PARTITION BY record_id, st IS NULL ORDER BY created_utc NULLS FIRST, message, thread_id, parent_id, subreddit, source_type) > 1 THEN 'duplicate_record' ELSE st END AS st) FROM s1),
+s3 AS (SELECT * REPLACE (CASE WHEN st IS NULL AND row_number() OVER (PARTITION BY u, message, st IS NULL ORDER BY record_id) > 1 THEN 'duplicate_user_text' ELSE st END AS st) FROM s2)"""
+_LAST = "row_number() OVER (PARTITION BY k ORDER BY retrieved_on DESC NULLS LAST, id NULLS FIRST, author NULLS FIRST, created_utc NULLS FIRST, retrieved_on NULLS FIRST, subreddit NULLS FIRST, {0}) AS rn"
+_CONTEXT = f"""lc AS (SELECT * FROM (SELECT *, {_LAST.format('body NULLS FIRST, link_id NULLS FIRST, parent_id NULLS FIRST, score NULLS FIRST')} FROM (SELECT *, {_ID.format('id')} AS k FROM comments) WHERE k IS NOT NULL) WHERE rn = 1),
+lp AS (SELECT * FROM (SELECT *, {_LAST.format('title NULLS FIRST, selftext NULLS FIRST, score NULLS FIRST, num_comments NULLS FIRST, link_flair_text NULLS FIRST, url NULLS FIRST')} FROM (SELECT *, {_ID.format('id')} AS k FROM posts) WHERE k IS NOT NULL) WHERE rn = 1),
+cc AS (SELECT k AS cid, {_ID.format('link_id')} AS thread, CASE WHEN trim(parent_id) LIKE 't1|_%' ESCAPE '|' THEN {_ID.format('parent_id')} END AS parent, {_tidy('body')} AS body FROM lc),
+cm AS (SELECT *, lower(body) IN ('', '[deleted]', '[removed]') AS mute FROM cc),
+steps AS (
+ SELECT cid, parent AS at, CAST([] AS VARCHAR[]) AS seen, CAST([] AS VARCHAR[]) AS said FROM cm
+ UNION ALL
+ SELECT w.cid, p.parent, list_append(w.seen, w.at), CASE WHEN p.mute THEN w.said ELSE list_append(w.said, p.body) END FROM steps w JOIN cm p ON p.cid = w.at WHERE len(w.said) < 4 AND NOT list_contains(w.seen, w.at)),
+best AS (SELECT cid, arg_max(said, len(seen)) AS said FROM steps GROUP BY cid),
+pt0 AS (SELECT k, concat_ws(chr(10) || chr(10), nullif({_tidy('title')}, ''), nullif({_tidy('selftext')}, '')) AS post FROM lp),
+ctx AS (SELECT b.cid, len(said) AS n, right(array_to_string(list_concat(CASE WHEN coalesce(post, '') <> '' THEN ['Original post (context only):' || chr(10) || post] ELSE [] END, list_transform(list_reverse(said), lambda x: 'Earlier reply (context only):' || chr(10) || x)), chr(10) || chr(10)), 8000) AS context FROM best b JOIN cm USING (cid) LEFT JOIN pt0 ON pt0.k = cm.thread)"""
 _LABEL = "CASE drug " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " ELSE drug END"
 _DRUGS = ["brenagliflozin", "pelvagliflozin", "quoragliflozin", "tormagliflozin"]
 _PIVOT_N = ", ".join(f"count(*) FILTER (WHERE drug = '{t}') AS n_{t}" for t in _DRUGS)
@@ -105,6 +132,12 @@ SQL = {
     "normalized_whitespace": "SELECT event_id, trim(regexp_replace('  ' || event_type || ' ' || chr(9) || chr(10) || ' ' || props || ' ', '\\s+', ' ', 'g')) AS text FROM events",
     "record_id_hash": "SELECT event_id, substr(sha256(coalesce(CAST(user_id AS VARCHAR), '') || chr(31) || coalesce(event_type, '') || chr(31) || '' || chr(31) || coalesce(props, '')), 1, 24) AS record_id FROM events",
     "created_iso": f"SELECT DISTINCT {_ID.format('id')} AS post_id, coalesce(strftime(to_timestamp({_SECONDS}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00'), '') AS created FROM posts WHERE {_ID.format('id')} IS NOT NULL",
+    "author_hmac": f"SELECT DISTINCT {_ID.format('id')} AS post_id, {_HMAC.format("coalesce(author, '')")} AS author_hash FROM posts WHERE {_ID.format('id')} IS NOT NULL",
+    "clean_records": f"WITH {_CLEAN} SELECT record_id, source_type, thread_id, parent_id, subreddit, date, md5(message) AS message_md5 FROM s3 WHERE st IS NULL",
+    "clean_audit": f"WITH {_CLEAN} SELECT count(*) AS input_rows, count(*) FILTER (WHERE st = 'invalid_text') AS removed_invalid_or_empty_text, count(*) FILTER (WHERE st = 'missing_user') AS removed_missing_or_deleted_user, count(*) FILTER (WHERE st = 'duplicate_record') AS removed_duplicate_record_id, count(*) FILTER (WHERE st = 'duplicate_user_text') AS removed_duplicate_user_text, count(*) FILTER (WHERE st IS NULL) AS output_rows_before_limit FROM s3",
+    "clean_summary": f"WITH {_CLEAN} SELECT source_type, count(*) AS n_rows, count(DISTINCT u) AS n_users FROM s3 WHERE st IS NULL GROUP BY 1",
+    "clean_limit": f"WITH {_CLEAN} SELECT record_id, source_type FROM s3 WHERE st IS NULL ORDER BY record_id LIMIT 100",
+    "thread_context": f"WITH RECURSIVE {_CONTEXT} SELECT cid AS comment_id, CAST(n AS INTEGER) AS n_ancestors, md5(context) AS context_md5, length(context) AS n_chars FROM ctx",
     "union_posts_comments": f"SELECT source_type, subreddit, count(*) AS n_rows FROM (SELECT 'post' AS source_type, {_COMMUNITY} AS subreddit FROM posts UNION ALL SELECT 'comment', {_COMMUNITY} FROM comments) GROUP BY 1, 2",
     "semi_selected_comments": f"{_POST_MATCHES}, {_COMMENTS_ONCE} SELECT k AS comment_id, {_ID.format('link_id')} AS post_id FROM c WHERE {_ID.format('link_id')} IN (SELECT doc_id FROM per)",
     "anti_missing_records": f"SELECT DISTINCT {_ID.format('record_id')} AS record_id FROM post_extractions WHERE {_ID.format('record_id')} IS NOT NULL AND {_ID.format('record_id')} NOT IN (SELECT {_ID.format('id')} FROM posts WHERE {_ID.format('id')} IS NOT NULL UNION ALL SELECT {_ID.format('id')} FROM comments WHERE {_ID.format('id')} IS NOT NULL)",
