@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import bare_id
 from ..plans.tables import table
-from . import leakage, near_duplicates, packing, sentences, visual
+from . import leakage, near_duplicates, packing, pii, sentences, visual
 
 
 def forum_texts(spark, d):
@@ -30,6 +30,33 @@ def p4_consistent_texts(spark, d):
     return visual.consistent_texts(forum_texts(spark, d).withColumnRenamed("space", "table_name"), "text")
 
 
+def personal_texts(spark, d):
+    """``key`` (table_name, id, field_name), ``text``: title, selftext, body.
+
+    Copies of an id with equal text are one row; differing copies stay.
+    """
+    parts = []
+    for t, fields in (("posts", ("title", "selftext")), ("comments", ("body",))):
+        src = table(spark, d, t)
+        for f in fields:
+            parts.append(src.select(F.struct(F.lit(t).alias("table_name"), bare_id(F.col("id")).alias("id"), F.lit(f).alias("field_name")).alias("key"), F.col(f).alias("text")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("key.id is not null")
+
+
+def p5_found(spark, d):
+    got = pii.personal_spans(personal_texts(spark, d))
+    # A copy that was delivered again shows the same occurrence again.
+    return got.select("key.table_name", "key.id", "key.field_name", "pii_type", "start_pos").distinct()
+
+
+def p5_masked(spark, d):
+    got = pii.masked_texts(personal_texts(spark, d))
+    return got.select("key.table_name", "key.id", "key.field_name", "masked")
+
+
 def p6_found(spark, d):
     return near_duplicates.NearDuplicates(forum_texts(spark, d)).pairs().withColumnRenamed("space", "table_name")
 
@@ -72,6 +99,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p4_consistent_texts": p4_consistent_texts,
+    "p5_found": p5_found,
+    "p5_masked": p5_masked,
     "p6_found": p6_found,
     "p6_link_counts": p6_link_counts,
     "p8_packing": p8_packing,
