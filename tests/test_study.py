@@ -52,15 +52,15 @@ def test_cleaning(rows):
         ("1", "u", "[Removed]", "", 1), ("2", "u", "[removed]", "t", 2), ("3", "[deleted]", "text", "", 3), ("4", "u", "a  b", "", 4),
         ("4", "u", "other", "", 5), ("5", "u", "a b", "", 6), (None, "u", "new", "", 7), ("6", None, "x", "", 8), ("7", "u", None, None, 9),
     ]
-    staged = records.with_stage(rows(data, "id string, user_id string, message string, title string, n int"), ["n"])
-    got = {r["n"]: r["stage"] for r in staged.collect()}
-    assert got == {1: "invalid_text", 2: "kept", 3: "missing_user", 4: "kept", 5: "duplicate_record", 6: "duplicate_user_text", 7: "kept", 8: "missing_user", 9: "invalid_text"}
-    a = records.audit(staged).first()
-    assert (a["input_rows"], a["output_rows_before_limit"], a["removed_duplicate_record_id"]) == (9, 3, 1)
-    kept = {r["n"]: r for r in records.kept(staged).collect()}
+    df = rows(data, "id string, user_id string, message string, title string, n int")
+    kept = {r["n"]: r for r in records.clean(df.repartition(3), ["n"]).collect()}
+    assert set(kept) == {2, 4, 7}
+    a = records.audit(df, ["n"]).first()
+    assert tuple(a) == (9, 2, 2, 1, 1, 3)
     assert kept[2]["message"] == "t\n\n[removed]" and len(kept[7]["record_id"]) == 24
+    assert tuple(records.audit(df.where("false"), ["n"]).first()) == (0, 0, 0, 0, 0, 0)
     with pytest.raises(ValueError):
-        records.with_stage(rows([(1,)], "n int"), ["n"])
+        records.clean(rows([(1,)], "n int"), ["n"])
 
 
 def test_context(rows):

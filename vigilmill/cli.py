@@ -100,10 +100,10 @@ def main(argv: list[str] | None = None) -> None:
         ctx = comment_context(posts, comments).select(F.col("comment_id").alias("record_id"), F.col("context").alias("ctx"))
         c = records.comment_rows(comments, salt).join(ctx, "record_id", "left").withColumn("context", F.coalesce("ctx", F.lit(""))).drop("ctx")
         order = ["record_id", "created_utc", "message", "thread_id", "parent_id", "subreddit", "source_type", "user_id"]
-        staged = records.with_stage(records.post_rows(posts, salt).unionByName(c), order)
-        kept = records.kept(staged)
+        rows = records.post_rows(posts, salt).unionByName(c)
+        kept = records.clean(rows, order)
         (kept.orderBy(*order).limit(a.limit) if a.limit else kept).write.mode("overwrite").parquet(f"{a.output}/cleaned")
-        sinks.write_json(records.audit(staged).first().asDict(), f"{a.output}/audit.json")
+        sinks.write_json(records.audit(rows, order).first().asDict(), f"{a.output}/audit.json")
     else:
         targets = list(dict.fromkeys(t.strip().casefold() for t in a.target_drugs if t.strip()))
         log = spark.read.parquet(a.log)

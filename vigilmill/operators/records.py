@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MAX_MESSAGE_CHARS
@@ -46,13 +46,10 @@ def comment_rows(comments: DataFrame, salt: bytes) -> DataFrame:
     )
 
 
-def with_stage(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Cleaned ``rows`` with ``stage``: why a row goes, or ``kept``.
-
-    Stages in order: ``invalid_text``, ``missing_user``, ``duplicate_record``,
-    ``duplicate_user_text``. ``order`` are columns that say which of equal
-    rows comes first. Needed columns that are absent count as empty.
-    """
+def tidied(rows: DataFrame) -> DataFrame:
+    """Input rows with tidy text columns, a record id, and ``stage``:
+    ``invalid_text``, ``missing_user`` or null. Needed columns that are absent
+    count as empty; without user_id, or message and body, it is an error."""
     if "user_id" not in rows.columns:
         raise ValueError("the input has no column user_id")
     if "message" not in rows.columns:
@@ -66,27 +63,50 @@ def with_stage(rows: DataFrame, order: list[str]) -> DataFrame:
     rows = rows.withColumn("message", F.trim(F.when(F.col("title") != "", F.concat("title", F.lit("\n\n"), "message")).otherwise(F.col("message"))))
     given = [squeeze(F.col(c)) for c in ("record_id", "post_id", "id") if c in rows.columns]
     rows = rows.withColumn("record_id", record_id(given, [F.col(c) for c in ("user_id", "subreddit", "date", "message")]))
-    first = F.when(F.lower("message").isin(GONE), "invalid_text").when(F.lower("user_id").isin("", "[deleted]", "deleted"), "missing_user")
-    rows = rows.withColumn("stage", first)
-    valid = F.col("stage").isNull()
-    # Row numbers only within equal ids, and within equal (user, text): the hot groups of both hold rows that all go.
-    by_record = Window.partitionBy("record_id", valid).orderBy(*order)
-    rows = rows.withColumn("stage", F.when(valid & (F.row_number().over(by_record) > 1), F.lit("duplicate_record")).otherwise(F.col("stage")))
-    valid = F.col("stage").isNull()
-    by_text = Window.partitionBy("user_id", F.xxhash64("message"), "message", valid).orderBy(*order)
-    return rows.withColumn("stage", F.when(valid & (F.row_number().over(by_text) > 1), F.lit("duplicate_user_text")).otherwise(F.coalesce("stage", F.lit("kept"))))
+    return rows.withColumn("stage", F.when(F.lower("message").isin(GONE), "invalid_text").when(F.lower("user_id").isin("", "[deleted]", "deleted"), "missing_user"))
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ``order`` (then by all columns).
+
+    An aggregation, not a window: a key with a third of all rows shrinks to
+    one row per task before the shuffle.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order, *rest)).alias("_r"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in rows.columns])
+
+
+def clean_steps(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tidied rows; valid rows once per record; those once per user and text."""
+    tidy = tidied(rows)
+    once = first_of(tidy.where("stage is null").drop("stage"), ["record_id"], order)
+    return tidy, once, first_of(once, ["user_id", "message"], order)
 
 
-def kept(staged: DataFrame) -> DataFrame:
-    return staged.where("stage = 'kept'").drop("stage")
+def clean(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with text and user, once per record, then once per user and text.
+
+    ``order`` are columns that say which of equal rows comes first. Nulls
+    count as empty text; repeated rows count as duplicates; extra columns stay.
+    """
+    return clean_steps(rows, order)[2]
 
 
-def audit(staged: DataFrame) -> DataFrame:
+def audit(rows: DataFrame, order: list[str]) -> DataFrame:
     """One row: input, removed at each stage, and output rows."""
-    n = lambda s: F.coalesce(F.sum((F.col("stage") == s).cast("long")), F.lit(0))
-    return staged.agg(
-        F.count(F.lit(1)).alias("input_rows"), n("invalid_text").alias("removed_invalid_or_empty_text"), n("missing_user").alias("removed_missing_or_deleted_user"),
-        n("duplicate_record").alias("removed_duplicate_record_id"), n("duplicate_user_text").alias("removed_duplicate_user_text"), n("kept").alias("output_rows_before_limit"),
+    tidy, once, last = clean_steps(rows, order)
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    counts = [
+        tidy.agg(F.count(F.lit(1)).alias("a"), n(F.col("stage") == "invalid_text").alias("b"), n(F.col("stage") == "missing_user").alias("c"), zero.alias("d"), zero.alias("e")),
+        once.agg(zero.alias("a"), zero.alias("b"), zero.alias("c"), F.count(F.lit(1)).alias("d"), zero.alias("e")),
+        last.agg(zero.alias("a"), zero.alias("b"), zero.alias("c"), zero.alias("d"), F.count(F.lit(1)).alias("e")),
+    ]
+    t = counts[0].unionByName(counts[1]).unionByName(counts[2]).agg(*[F.sum(c).alias(c) for c in "abcde"])
+    return t.select(
+        F.col("a").alias("input_rows"), F.col("b").alias("removed_invalid_or_empty_text"), F.col("c").alias("removed_missing_or_deleted_user"),
+        (F.col("a") - F.col("b") - F.col("c") - F.col("d")).alias("removed_duplicate_record_id"), (F.col("d") - F.col("e")).alias("removed_duplicate_user_text"), F.col("e").alias("output_rows_before_limit"),
     )
 
 

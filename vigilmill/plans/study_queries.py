@@ -120,25 +120,24 @@ def created_iso(spark, d):
 _ORDER = ["record_id", "created_utc", "message", "thread_id", "parent_id", "subreddit", "source_type", "user_id"]
 
 
-def staged(spark, d):
-    rows = records.post_rows(table(spark, d, "posts"), SALT).unionByName(records.comment_rows(table(spark, d, "comments"), SALT))
-    return records.with_stage(rows, _ORDER)
+def model_rows(spark, d):
+    return records.post_rows(table(spark, d, "posts"), SALT).unionByName(records.comment_rows(table(spark, d, "comments"), SALT))
 
 
 def clean_records(spark, d):
-    return records.kept(staged(spark, d)).select("record_id", "source_type", "thread_id", "parent_id", "subreddit", "date", F.md5(F.encode("message", "UTF-8")).alias("message_md5"))
+    return records.clean(model_rows(spark, d), _ORDER).select("record_id", "source_type", "thread_id", "parent_id", "subreddit", "date", F.md5(F.encode("message", "UTF-8")).alias("message_md5"))
 
 
 def clean_audit(spark, d):
-    return records.audit(staged(spark, d))
+    return records.audit(model_rows(spark, d), _ORDER)
 
 
 def clean_summary(spark, d):
-    return records.kept(staged(spark, d)).groupBy("source_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users"))
+    return records.clean(model_rows(spark, d), _ORDER).groupBy("source_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users"))
 
 
 def clean_limit(spark, d):
-    return records.kept(staged(spark, d)).orderBy(*_ORDER).limit(100).select("record_id", "source_type")
+    return records.clean(model_rows(spark, d), _ORDER).orderBy(*_ORDER).limit(100).select("record_id", "source_type")
 
 
 def thread_context(spark, d):
@@ -242,7 +241,7 @@ def localized_summary(spark, d):
 
 def extractor_offline(spark, d):
     """The offline extractor over all cleaned posts, back through flattening."""
-    rows = records.kept(records.with_stage(records.post_rows(table(spark, d, "posts"), SALT), _ORDER))
+    rows = records.clean(records.post_rows(table(spark, d, "posts"), SALT), _ORDER)
     symptoms = [r[0] for r in table(spark, d, "meddra_pt").select(F.lower("pt_term")).distinct().limit(1000).collect() if r[0]]
     out = extractions.extract(rows, extractions.keyword_extractor(names(spark, d), sorted(symptoms)), targets(spark, d), "keywords")
     return out.groupBy("status", "model_name").agg(F.count(F.lit(1)).alias("n_records"))

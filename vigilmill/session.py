@@ -57,6 +57,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer partitions than that.
+
+    Small inputs come in one file, and costly row-wise work would then run in
+    one task. Tables with at least as many splits as there are cores stay as
+    they are, so at scale this adds no shuffle. For plans of scans and
+    projections only: others would be run to count their partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
