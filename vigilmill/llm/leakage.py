@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 _WORDS = re.compile(r"[^\W_]+")
 _IDEOGRAPH = re.compile(r"[㐀-鿿豈-﫿𠀀-𯿿]")
 WORDS, CHARS = 12, 24
@@ -186,7 +188,7 @@ def leaks(documents: DataFrame, items: DataFrame, spans: bool = False) -> DataFr
             blocks.append([])
             size = len(r[2]) // 4
         blocks[-1].append(tuple(r))
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     out = None
     for block in blocks:
         part = docs.mapInArrow(_scan(build(block), spans), "item_id bigint, doc_id bigint, start_pos int, end_pos int")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, spread
 from .visual import _Folds, look
 
 GROUPS, FULL = 16, 15
@@ -308,7 +308,7 @@ class NearDuplicates:
         self.t = similarity
         self.scratch = Scratch(texts.sparkSession, "neardup")
         long_enough = texts.where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 2 * least_words - 1)).select("space", "id", "text")
-        self.sets = self.scratch.put(long_enough.mapInArrow(_sets(least_words), "space string, id string, key binary, short bigint, words binary"), "sets")
+        self.sets = self.scratch.put(spread(long_enough).mapInArrow(_sets(least_words), "space string, id string, key binary, short bigint, words binary"), "sets")
         self._links: DataFrame | None = None
 
     def _hot(self) -> frozenset[int]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BLOCK = 400
@@ -58,7 +58,7 @@ def _count_tokens(path: str):
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, n_tokens`` of every non-null text (a byte-level BPE file)."""
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_count_tokens(tokenizer), "doc_id bigint, n_tokens bigint")
+    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text")).mapInArrow(_count_tokens(tokenizer), "doc_id bigint, n_tokens bigint")
 
 
 def best_fit(items: list[int], size: list[int], capacity: int, bins: list[Bin] | None = None, room: list[int] | None = None) -> tuple[list[Bin], list[int]]:

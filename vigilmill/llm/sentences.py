@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .sentence_seeds import ABBREVIATIONS, BEFORE_LETTER, NUMBER_ABBREVIATIONS, ORDINAL_BEFORE, SEEDS, TITLES
 
 TERMINATORS = ".!?…。！？．｡।॥؟۔"
@@ -368,4 +369,4 @@ def sentence_units(documents: DataFrame, tagger: BoundaryTagger | None = None) -
     ignored.
     """
     tagger = tagger or trained_tagger()
-    return documents.where("text is not null").select("doc_id", "text").mapInArrow(_split((tagger.w, tagger.t)), "doc_id bigint, unit_no int, start_pos int, end_pos int")
+    return spread(documents.where("text is not null").select("doc_id", "text")).mapInArrow(_split((tagger.w, tagger.t)), "doc_id bigint, unit_no int, start_pos int, end_pos int")

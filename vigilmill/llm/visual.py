@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, spread
 
 # Letters of other alphabets with the shape of a Latin letter.
 CYRILLIC = "аеорсухһіїјѕԁԛԝӏѵАВЕЅІЇЈКМНОРСТУХҮԚԜӀ"
@@ -156,7 +156,7 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """``word``: the distinct Latin words of all of ``texts`` (column text)."""
-    return texts.select("text").mapInArrow(_words, "word string").distinct()
+    return spread(texts.select("text")).mapInArrow(_words, "word string").distinct()
 
 
 def repairs(suspect_tokens: DataFrame, words: DataFrame) -> DataFrame:
