@@ -101,7 +101,8 @@ def log(rows):
 def test_extraction_to_tables(rows):
     df, targets = log(rows), ["a", "b"]
     terms = rows([(1, "Nausea"), (2, "NAUSEA"), (3, "Headache"), (None, None)], "pt_code bigint, pt_term string")
-    exp, ev = extractions.exposure_table(df, targets), extractions.event_table(df, targets, terms)
+    study = extractions.Study(df, targets, terms)
+    exp, ev = study.exposures(), study.events()
     assert {tuple(r) for r in exp.select("record_id", "user_id", "exposure_group", "has_adverse_events").collect()} == {("r1", "u1", "a", True), ("r2", "u1", "a", False), ("r3", "u2", "a", True), ("r4", "u2", "a + b", True), ("r5", "u3", "b", False)}
     got = {(r["record_id"], r["original_expression"]): r for r in ev.collect()}
     assert set(got) == {("r1", "sick"), ("r1", "queasy"), ("r3", "head"), ("r3", "thing"), ("r4", "sick")}
@@ -116,13 +117,14 @@ def test_extraction_to_tables(rows):
     assert {tuple(r) for r in tables.exclusive_users(exp, targets).collect()} == {("u1", "a"), ("u3", "b")}
     pivot = [tuple(r) for r in tables.exclusive_pivot(exp, ev, targets).collect()]
     assert pivot == [("恶心", 1, 1, 100.0, 0, 0.0)]
-    posts = {r["record_id"]: (r["has_target_exposure"], r["n_regimens"], r["exposure_groups"]) for r in extractions.post_table(df, targets).collect()}
+    posts = {r["record_id"]: (r["has_target_exposure"], r["n_regimens"], r["exposure_groups"]) for r in study.posts().collect()}
     assert posts["r2"] == (True, 1, "a") and "r6" not in posts
     rows_todo = rows([("r1",), ("r6",), ("new",)], "record_id string")
     assert {r[0] for r in extractions.pending(rows_todo, df).collect()} == {"r6", "new"}
-    assert extractions.event_table(df, targets, None).select("meddra_validation").distinct().collect()[0][0] == "not_checked"
-    none = df.where("false")
-    assert tables.term_frequency(extractions.exposure_table(none, targets), extractions.event_table(none, targets, terms)).count() == 0
+    assert extractions.Study(df, targets).events().select("meddra_validation").distinct().collect()[0][0] == "not_checked"
+    assert {r[0] for r in extractions.Study(df, targets, terms, rows([("r1",), ("r3",)], "record_id string")).exposures().select("record_id").collect()} == {"r1", "r3"}
+    none = extractions.Study(df.where("false"), targets, terms)
+    assert tables.term_frequency(none.exposures(), none.events()).count() == 0
 
 
 def test_localized(rows):

@@ -109,7 +109,8 @@ def main(argv: list[str] | None = None) -> None:
         log = spark.read.parquet(a.log)
         terms = readers.term_dictionary(spark, a.meddra_pt) if a.meddra_pt else None
         labels = readers.drug_labels(a.drug_labels_zh, targets, config.DRUG_LABELS_ZH)
-        exp, ev = extractions.exposure_table(log, targets).cache(), extractions.event_table(log, targets, terms).cache()
+        study = extractions.Study(log, targets, terms)
+        exp, ev = study.exposures().cache(), study.events().cache()
         freq = tables.term_frequency(exp, ev)
         out = {"group_summary": tables.group_summary(exp, ev).orderBy("n_target_drugs", F.desc("n_exposed_users"), "exposure_group"), "term_frequency": freq.orderBy("n_target_drugs", "exposure_group", F.desc("n_users"), "meddra_pt"), "exposures": exp, "events": ev.drop("ordinal")}
         for name, df in out.items():

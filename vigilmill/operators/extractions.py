@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import OUTCOMES
 from ..functions.ids import bare_id
 from ..functions.text import squeeze
-from .flatten import flat_answers
+from ..session import Scratch
+from .flatten import FlatAnswers
 
 RESULT = "target_drugs array<string>, record_id string, user_id string, subreddit string, date_text string, status string, model_name string, extraction string, error_text string"
 
@@ -36,32 +37,32 @@ def choice(c: Column, allowed: list[str], default: str) -> Column:
     return F.when(v.isin(allowed), v).otherwise(F.lit(default))
 
 
-def regimens(log: DataFrame, targets: list[str]) -> DataFrame:
+def regimens(answers: FlatAnswers, targets: list[str]) -> DataFrame:
     """``log_line, regimen_pos, exposure_group, n_target_drugs`` of regimens
     with a target drug; drugs in the targets' order, joined by `` + ``."""
-    drugs = flat_answers(log, "drug").select("log_line", "regimen_pos", F.lower(squeeze(F.col("drug"))).alias("drug")).where(F.col("drug").isin(targets))
+    drugs = answers.drugs.select("log_line", "regimen_pos", F.lower(squeeze(F.col("drug"))).alias("drug")).where(F.col("drug").isin(targets))
     order = F.array(*[F.lit(t) for t in targets])
     own = drugs.groupBy("log_line", "regimen_pos").agg(F.collect_set("drug").alias("own"))  # a subset of the targets
     listed = F.filter(order, lambda t: F.array_contains("own", t))
     return own.select("log_line", "regimen_pos", F.array_join(listed, " + ").alias("exposure_group"), F.size(listed).alias("n_target_drugs"))
 
 
-def merged_regimens(log: DataFrame, targets: list[str]) -> DataFrame:
+def merged_regimens(answers: FlatAnswers, targets: list[str]) -> DataFrame:
     """Regimens of one answer with the same drugs become one, at the first
     position. Columns as regimens, one row per (log_line, exposure_group)."""
-    return regimens(log, targets).groupBy("log_line", "exposure_group", "n_target_drugs").agg(F.min("regimen_pos").alias("regimen_pos"))
+    return regimens(answers, targets).groupBy("log_line", "exposure_group", "n_target_drugs").agg(F.min("regimen_pos").alias("regimen_pos"))
 
 
 def group_type(n: Column) -> Column:
     return F.when(n == 1, F.lit("single")).otherwise(F.lit("combination"))
 
 
-def normal_events(log: DataFrame, targets: list[str]) -> DataFrame:
+def normal_events(answers: FlatAnswers, targets: list[str]) -> DataFrame:
     """Events of target regimens with tidy fields, once per expression, term
     and onset (case ignored) in each answer and exposure group; the first one
     stays. ``ordinal`` orders them as the log does."""
-    reg = regimens(log, targets)
-    e = flat_answers(log, "event").join(reg, ["log_line", "regimen_pos"])
+    reg = regimens(answers, targets)
+    e = answers.events.join(reg, ["log_line", "regimen_pos"])
     conf = F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     rows = e.select(
         "log_line", "exposure_group", "n_target_drugs", "regimen_pos", "event_pos", squeeze(F.col("original_expression")).alias("original_expression"), squeeze(F.col("meddra_pt")).alias("meddra_pt"),
@@ -96,31 +97,47 @@ def completed(log: DataFrame, records: DataFrame | None = None) -> DataFrame:
     return done if records is None else done.join(records.select("record_id").distinct(), "record_id", "left_semi")
 
 
-def post_table(log: DataFrame, targets: list[str], records: DataFrame | None = None) -> DataFrame:
-    """One row a record: whether and how it is exposed."""
-    done = completed(log, records)
-    groups = merged_regimens(done, targets).groupBy("log_line").agg(F.array_sort(F.collect_list(F.struct("regimen_pos", "exposure_group"))).alias("g"))  # at most one per set of targets
-    got = done.join(groups, "log_line", "left")
-    g = F.coalesce(F.transform("g", lambda x: x["exposure_group"]), F.array().cast("array<string>"))
-    return got.select("record_id", "user_id", "subreddit", F.col("date_text"), (F.size(g) > 0).alias("has_target_exposure"), F.size(g).alias("n_regimens"), F.array_join(g, " | ").alias("exposure_groups"))
-
-
-def exposure_table(log: DataFrame, targets: list[str], records: DataFrame | None = None) -> DataFrame:
-    """One row per record and exposure group."""
-    done = completed(log, records)
-    n = normal_events(done, targets).groupBy("log_line", "exposure_group").agg(F.count(F.lit(1)).alias("n_events"))
-    got = merged_regimens(done, targets).join(done.select("log_line", "record_id", "user_id", "subreddit", "date_text"), "log_line").join(n, ["log_line", "exposure_group"], "left")
-    return got.select("record_id", "user_id", "subreddit", "date_text", "exposure_group", group_type(F.col("n_target_drugs")).alias("group_type"), "n_target_drugs", F.col("n_events").isNotNull().alias("has_adverse_events"))
+class Study:
+    """Tables of the latest completed answers of ``log``.
 
+    ``targets`` in their order; ``dictionary`` of terms, if they are to be
+    validated; ``records`` (record_id) limits the study to those records.
+    Answers are decoded once for all tables.
+    """
 
-def event_table(log: DataFrame, targets: list[str], dictionary: DataFrame | None, records: DataFrame | None = None) -> DataFrame:
-    """One row per event, with validation and its order in the log."""
-    done = completed(log, records)
-    got = validated(normal_events(done, targets), dictionary).join(done.select("log_line", "record_id", "user_id", "subreddit", "date_text"), "log_line")
-    return got.select(
-        "record_id", "user_id", "subreddit", "date_text", "exposure_group", group_type(F.col("n_target_drugs")).alias("group_type"), "n_target_drugs", "original_expression", F.col("meddra_pt").alias("proposed_meddra_pt"),
-        "meddra_pt_zh", "meddra_pt_code", "validated_meddra_pt", "meddra_validation", "onset", "severity", "outcome", "confidence", "ordinal",
-    )
+    def __init__(self, log: DataFrame, targets: list[str], dictionary: DataFrame | None = None, records: DataFrame | None = None):
+        self.targets, self.dictionary = targets, dictionary
+        scratch = Scratch(log.sparkSession, "study")
+        self.done = scratch.put(completed(log, records))
+        self.answers = FlatAnswers(self.done)
+        self._events: DataFrame | None = None
+        self._scratch = scratch
+
+    def _normal(self) -> DataFrame:
+        if self._events is None:
+            self._events = self._scratch.put(normal_events(self.answers, self.targets))
+        return self._events
+
+    def posts(self) -> DataFrame:
+        """One row a record: whether and how it is exposed."""
+        groups = merged_regimens(self.answers, self.targets).groupBy("log_line").agg(F.array_sort(F.collect_list(F.struct("regimen_pos", "exposure_group"))).alias("g"))  # at most one per set of targets
+        got = self.done.join(groups, "log_line", "left")
+        g = F.coalesce(F.transform("g", lambda x: x["exposure_group"]), F.array().cast("array<string>"))
+        return got.select("record_id", "user_id", "subreddit", F.col("date_text"), (F.size(g) > 0).alias("has_target_exposure"), F.size(g).alias("n_regimens"), F.array_join(g, " | ").alias("exposure_groups"))
+
+    def exposures(self) -> DataFrame:
+        """One row per record and exposure group."""
+        n = self._normal().groupBy("log_line", "exposure_group").agg(F.count(F.lit(1)).alias("n_events"))
+        got = merged_regimens(self.answers, self.targets).join(self.done.select("log_line", "record_id", "user_id", "subreddit", "date_text"), "log_line").join(n, ["log_line", "exposure_group"], "left")
+        return got.select("record_id", "user_id", "subreddit", "date_text", "exposure_group", group_type(F.col("n_target_drugs")).alias("group_type"), "n_target_drugs", F.col("n_events").isNotNull().alias("has_adverse_events"))
+
+    def events(self) -> DataFrame:
+        """One row per event, with validation and its order in the log."""
+        got = validated(self._normal(), self.dictionary).join(self.done.select("log_line", "record_id", "user_id", "subreddit", "date_text"), "log_line")
+        return got.select(
+            "record_id", "user_id", "subreddit", "date_text", "exposure_group", group_type(F.col("n_target_drugs")).alias("group_type"), "n_target_drugs", "original_expression", F.col("meddra_pt").alias("proposed_meddra_pt"),
+            "meddra_pt_zh", "meddra_pt_code", "validated_meddra_pt", "meddra_validation", "onset", "severity", "outcome", "confidence", "ordinal",
+        )
 
 
 Extractor = Callable[[dict], str]

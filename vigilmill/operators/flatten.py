@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..session import Scratch, spread
+
 EVIDENCE = pa.struct([("quote", pa.string()), ("pos", pa.int64())])
 EVENT = pa.struct([
     ("original_expression", pa.string()), ("meddra_pt", pa.string()), ("meddra_pt_zh", pa.string()), ("onset", pa.string()),
@@ -127,6 +129,7 @@ SCHEMAS = {
     "drug": "log_line bigint, regimen_pos int, drug_pos int, drug string",
     "event": "log_line bigint, regimen_pos int, event_pos int, original_expression string, meddra_pt string, meddra_pt_zh string, onset string, severity string, outcome string, confidence double",
     "evidence": "log_line bigint, regimen_pos int, event_pos int, evidence_pos int, quote string, quote_pos bigint",
+    "both": "kind string, log_line bigint, regimen_pos int, pos int, drug string, original_expression string, meddra_pt string, meddra_pt_zh string, onset string, severity string, outcome string, confidence double",
     "item": "log_line bigint, regimen_pos int, item_kind string, item_pos int, sub_pos int",
 }
 
@@ -135,6 +138,10 @@ def _sizes(lists: pa.Array) -> pa.Array:
     return pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32())
 
 
+def _names(kind: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[kind].split(", ")]
+
+
 def _rows(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,12 +155,19 @@ def _rows(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     minus = pa.array([-1] * n, pa.int32())
                     yield pa.RecordBatch.from_arrays([k["log_line"], k["regimen_pos"], pa.array([what] * n, pa.string()), k["item_pos"], k.get("sub_pos", minus)], ["log_line", "regimen_pos", "item_kind", "item_pos", "sub_pos"])
                 continue
+            if kind == "both":
+                drug, dk = at["drug"]
+                event, ek = at["event"]
+                nulls = lambda n, t: pa.nulls(n, t)
+                fields = [pc.struct_field(event, [i]) for i in range(7)]
+                yield pa.RecordBatch.from_arrays([pa.array(["drug"] * len(drug), pa.string()), dk["log_line"], dk["regimen_pos"], dk["item_pos"], drug, *[nulls(len(drug), f.type) for f in fields]], _names(kind))
+                yield pa.RecordBatch.from_arrays([pa.array(["event"] * len(event), pa.string()), ek["log_line"], ek["regimen_pos"], ek["item_pos"], nulls(len(event), pa.string()), *fields], _names(kind))
+                continue
             child, k = at[kind]
             field = lambda i: pc.struct_field(child, [i])
             cols = list(k.values())
             cols += {"record": lambda: [_sizes(field(0))], "regimen": lambda: [_sizes(field(0)), _sizes(field(1))], "drug": lambda: [child], "event": lambda: [field(i) for i in range(7)], "evidence": lambda: [field(0), field(1)]}[kind]()
-            names = [c.split()[0] for c in SCHEMAS[kind].split(", ")]
-            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names)
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], _names(kind))
 
     return run
 
@@ -173,4 +187,17 @@ def flat_answers(log: DataFrame, kind: str) -> DataFrame:
     confidence written as a string is read as a number; a number that is not
     finite is null.
     """
-    return log.select("log_line", "extraction").mapInArrow(_rows(kind), SCHEMAS[kind])
+    return spread(log.select("log_line", "extraction")).mapInArrow(_rows(kind), SCHEMAS[kind])
+
+
+class FlatAnswers:
+    """Drugs and events of ``log``, decoded once and written for re-use.
+
+    ``drugs`` and ``events`` have the columns of flat_answers; all plans over
+    them read the written table, so the JSON is decoded in one pass.
+    """
+
+    def __init__(self, log: DataFrame):
+        both = Scratch(log.sparkSession, "answers").put(log.select("log_line", "extraction").mapInArrow(_rows("both"), SCHEMAS["both"]))
+        self.drugs = both.where("kind = 'drug'").select("log_line", "regimen_pos", both["pos"].alias("drug_pos"), "drug")
+        self.events = both.where("kind = 'event'").select("log_line", "regimen_pos", both["pos"].alias("event_pos"), *_names("event")[3:])

@@ -8,6 +8,7 @@ from ..functions.ids import bare_id, hmac_sha256, record_id
 from ..functions.text import iso_utc, squeeze
 from ..operators import context, extractions, localize, recall, records, tables
 from ..operators.dedup import keep_one_delivery
+from ..operators.flatten import FlatAnswers
 from ..sources.slices import year_slices
 from .tables import table
 
@@ -179,64 +180,64 @@ def log_pending(spark, d):
 
 
 def regimens_merged(spark, d):
-    return extractions.merged_regimens(log(spark, d), targets(spark, d)).select("log_line", "exposure_group", "n_target_drugs", "regimen_pos")
+    return extractions.merged_regimens(FlatAnswers(log(spark, d)), targets(spark, d)).select("log_line", "exposure_group", "n_target_drugs", "regimen_pos")
 
 
 def events_normalized(spark, d):
-    e = extractions.normal_events(log(spark, d), targets(spark, d))
+    e = extractions.normal_events(FlatAnswers(log(spark, d)), targets(spark, d))
     return e.select("log_line", "exposure_group", "original_expression", "meddra_pt", "meddra_pt_zh", "onset", "severity", "outcome", "confidence")
 
 
-def flatten_posts(spark, d):
-    return extractions.post_table(log(spark, d), targets(spark, d))
-
+def study(spark, d):
+    return extractions.Study(log(spark, d), targets(spark, d), table(spark, d, "meddra_pt"))
 
-def exposures(spark, d):
-    return extractions.exposure_table(log(spark, d), targets(spark, d))
 
-
-def events(spark, d):
-    return extractions.event_table(log(spark, d), targets(spark, d), table(spark, d, "meddra_pt"))
+def flatten_posts(spark, d):
+    return study(spark, d).posts()
 
 
 def flatten_exposures(spark, d):
-    return exposures(spark, d)
+    return study(spark, d).exposures()
 
 
 def flatten_events(spark, d):
-    return events(spark, d).select("record_id", "user_id", "subreddit", "exposure_group", "group_type", "n_target_drugs", "original_expression", "proposed_meddra_pt", "meddra_pt_zh", "onset", "severity", "outcome", "confidence")
+    return study(spark, d).events().select("record_id", "user_id", "subreddit", "exposure_group", "group_type", "n_target_drugs", "original_expression", "proposed_meddra_pt", "meddra_pt_zh", "onset", "severity", "outcome", "confidence")
 
 
 def pt_validation(spark, d):
-    return events(spark, d).groupBy("proposed_meddra_pt", "meddra_pt_code", "validated_meddra_pt", "meddra_validation").agg(F.count(F.lit(1)).alias("n_events"))
+    return study(spark, d).events().groupBy("proposed_meddra_pt", "meddra_pt_code", "validated_meddra_pt", "meddra_validation").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 def group_summary(spark, d):
-    return tables.group_summary(exposures(spark, d), events(spark, d))
+    s = study(spark, d)
+    return tables.group_summary(s.exposures(), s.events())
 
 
 def term_frequency(spark, d):
-    return tables.term_frequency(exposures(spark, d), events(spark, d))
+    s = study(spark, d)
+    return tables.term_frequency(s.exposures(), s.events())
 
 
 def top10_terms_per_group(spark, d):
-    return tables.top_terms(tables.term_frequency(exposures(spark, d), events(spark, d))).select("exposure_group", "meddra_pt", "n_users", "term_rank")
+    return tables.top_terms(term_frequency(spark, d)).select("exposure_group", "meddra_pt", "n_users", "term_rank")
 
 
 def symptom_pairs(spark, d):
-    return tables.symptom_pairs(exposures(spark, d), events(spark, d))
+    s = study(spark, d)
+    return tables.symptom_pairs(s.exposures(), s.events())
 
 
 def exclusive_users(spark, d):
-    return tables.exclusive_counts(exposures(spark, d), targets(spark, d))
+    return tables.exclusive_counts(study(spark, d).exposures(), targets(spark, d))
 
 
 def exclusive_term_pivot(spark, d):
-    return tables.exclusive_pivot(exposures(spark, d), events(spark, d), targets(spark, d))
+    s = study(spark, d)
+    return tables.exclusive_pivot(s.exposures(), s.events(), targets(spark, d))
 
 
 def localized_summary(spark, d):
-    return localize.chinese(tables.group_summary(exposures(spark, d), events(spark, d)), LABELS, rename=False).select("exposure_group", "group_type", "n_target_drugs", "n_records", "n_exposed_users", "n_event_users")
+    return localize.chinese(group_summary(spark, d), LABELS, rename=False).select("exposure_group", "group_type", "n_target_drugs", "n_records", "n_exposed_users", "n_event_users")
 
 
 def extractor_offline(spark, d):
