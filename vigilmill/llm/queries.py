@@ -111,4 +111,34 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
-SQL: dict[str, str] = {}
+_ID = "nullif(trim(regexp_replace(trim(id), '^t[13]_', '')), '')"
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_FROM = visual.BLANKS + _WIDE + "".join(visual.LOOKALIKE) + visual.PLAIN_HYPHEN
+_TO = " " * len(visual.BLANKS) + "".join(chr(c) for c in range(0x21, 0x7F)) + "".join(visual.LOOKALIKE.values()) + "-" * len(visual.PLAIN_HYPHEN)
+_HIDDEN = "[\\p{Cf}" + visual.INVISIBLE + "\\x{FE00}-\\x{FE0F}]+"
+_JOINED = {"ﬃ": "ffi", "ﬄ": "ffl", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬆ": "st", "µ": "μ"}
+
+
+def _look(text: str) -> str:
+    """The plain path to what a text looks like: every look-alike is Latin."""
+    out = f"nfc_normalize({text})"
+    for a, b in _JOINED.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim(nfc_normalize(translate(regexp_replace({out}, {_quoted(_HIDDEN)}, '', 'g'), {_quoted(_FROM)}, {_quoted(_TO)})), ' ')"
+
+
+_RUNS = "regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+')"
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH t AS (SELECT 'posts' AS table_name, {_ID} AS id, selftext AS text FROM posts UNION SELECT 'comments', {_ID}, body FROM comments),
+k AS (SELECT DISTINCT table_name, id, text, {_look('text')} AS look FROM t WHERE id IS NOT NULL AND text IS NOT NULL),
+several AS (SELECT table_name, look FROM k WHERE look <> '' GROUP BY 1, 2 HAVING count(DISTINCT text) > 1),
+m AS (SELECT k.* FROM k JOIN several USING (table_name, look))
+SELECT DISTINCT a.table_name, a.id AS id_a, b.id AS id_b FROM m a JOIN m b ON a.table_name = b.table_name AND a.look = b.look AND a.id < b.id AND a.text <> b.text""",
+    "p9_found": f"""WITH i AS (SELECT item_id, coalesce(lower(lang), '') LIKE 'zh%' AS zh, {_RUNS} AS w FROM eval_items), d AS (SELECT doc_id, {_RUNS} AS w FROM documents),
+ig AS (SELECT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i WHERE NOT zh)),
+dg AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d)),
+ic AS (SELECT item_id, r[p:p + 23] AS g FROM (SELECT item_id, array_to_string(w, '') AS r, unnest(range(1, length(array_to_string(w, '')) - 22)) AS p FROM i WHERE zh)),
+dc AS (SELECT doc_id, array_to_string(w, '') AS r FROM d WHERE regexp_matches(array_to_string(w, ''), '[\\x{{3400}}-\\x{{9fff}}]'))
+SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g) UNION SELECT DISTINCT item_id, doc_id FROM ic JOIN dc ON contains(r, g)""",
+}
