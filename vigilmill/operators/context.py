@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,16 @@ def comment_context(posts: DataFrame, comments: DataFrame, ancestors: int = MAX_
     stand, _ = resolve_forest(edges, speaking.unionByName(orphan))
     stand = scratch.put(stand.join(up.where("mute").select("cid"), F.col("node") == F.col("cid"), "left_semi").select("node", F.when(F.col("root").isin("", "cycle"), F.lit(None)).otherwise(F.col("root")).alias("stand")))
     above = scratch.put(up.where("parent is not null").join(stand, F.col("parent") == F.col("node"), "left").select("cid", F.when(F.col("parent_mute"), F.col("stand")).otherwise(F.col("parent")).alias("up")).where("up is not null"))
-    walk = c.select("cid", F.col("cid").alias("at"), F.array().cast("array<string>").alias("seen"))
-    for _ in range(ancestors):
+    # Level n holds the comments that have an n-th ancestor, so levels shrink and no join sees a null key.
+    level = above.select("cid", F.col("up").alias("at"), F.array("up").alias("seen"))
+    levels = [level.select("cid", F.lit(0).alias("n"), F.col("at").alias("a"))]
+    for n in range(1, ancestors):
         step = above.select(F.col("cid").alias("at"), "up")
-        walk = walk.join(step, "at", "left").withColumn("up", F.when(F.array_contains("seen", F.col("up")), F.lit(None)).otherwise(F.col("up")))
-        walk = walk.select("cid", F.col("up").alias("at"), F.when(F.col("up").isNull(), F.col("seen")).otherwise(F.concat("seen", F.array("up"))).alias("seen"))
-    walk = scratch.put(walk.select("cid", "seen"))
-    said = walk.select("cid", F.posexplode("seen").alias("n", "a")).join(c.select(F.col("cid").alias("a"), F.col("body").alias("said")), "a")
+        level = level.join(step, "at").where(~F.array_contains("seen", F.col("up"))).select("cid", F.col("up").alias("at"), F.concat("seen", F.array("up")).alias("seen"))
+        level = scratch.put(level)
+        levels.append(level.select("cid", F.lit(n).alias("n"), F.col("at").alias("a")))
+    every = reduce(lambda x, y: x.unionByName(y), levels)
+    said = every.join(c.select(F.col("cid").alias("a"), F.col("body").alias("said")), "a")
     # At most ``ancestors`` bodies a comment.
     replies = said.groupBy("cid").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "said")))), lambda x: F.concat(F.lit(REPLY_LABEL + "\n"), x["said"])).alias("replies"))
     post = keep_one_delivery(posts, keep="last").select(F.col("id").alias("thread"), F.concat_ws("\n\n", F.nullif(squeeze(F.col("title")), F.lit("")), F.nullif(squeeze(F.col("selftext")), F.lit(""))).alias("post"))

@@ -104,11 +104,12 @@ def recalled(texts: DataFrame, names: dict[str, list[str]], include_class_only:
     per_doc = find_matches(texts, names).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("canonical_drug", "matched_text", "matched_alias", "match_type", "edit_distance", "similarity"))).alias("drug_match_details")
     )
-    out = texts.join(per_doc, "doc_id", "left")
+    # The class test runs before the join, so the text itself need not be shuffled.
+    out = texts.withColumn("_class", class_term_hit(F.col("text"))).join(per_doc, "doc_id", "left")
     empty = F.array().cast(f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in MATCH.split(', '))}>>")
     details = F.coalesce("drug_match_details", empty)
     out = out.withColumn("drug_match_details", details).withColumn("matched_target_drugs", F.transform("drug_match_details", lambda x: x["canonical_drug"]))
-    out = out.withColumn("class_only", (F.size("matched_target_drugs") == 0) & class_term_hit(F.col("text")))
+    out = out.withColumn("class_only", (F.size("matched_target_drugs") == 0) & F.col("_class")).drop("_class")
     return out.where((F.size("matched_target_drugs") > 0) | (F.lit(include_class_only) & F.col("class_only")))
 
 
