@@ -14,8 +14,10 @@ def test_first_last_and_ties(rows):
     last = {r["id"]: r["body"] for r in keep_one_delivery(df, keep="last").collect()}
     assert last == {"a": "x", "b": "q"}
     assert keep_one_delivery(df, keep_null_ids=True).count() == 5
+    clash = keep_one_delivery(df.withColumnRenamed("body", "n_copies"))
+    assert clash.columns == ["id", "retrieved_on", "n_copies", "n_copies_"] and clash.count() == 2
     with pytest.raises(ValueError):
-        keep_one_delivery(df.withColumnRenamed("body", "n_copies"))
+        keep_one_delivery(df, keep="middle")
     assert keep_one_delivery(df.where("false")).count() == 0
 
 

@@ -22,8 +22,8 @@ def test_payload_does_not_multiply_rows(rows):
     targets = rows([("a", "x", 5), ("a", "y", 3)], "k1 string, k2 string, v int")
     got = orphans.resolve_references(refs, targets, ["k1", "k2"], ["v"]).collect()
     assert [(r["ref_status"], r["v"]) for r in got] == [("found", 3)] * 2
-    with pytest.raises(ValueError):
-        orphans.resolve_references(refs, targets.withColumnRenamed("v", "n"), ["k1", "k2"], ["n"])
+    clash = orphans.resolve_references(refs.withColumnRenamed("n", "v"), targets, ["k1", "k2"], ["v"])
+    assert clash.columns == ["v", "k1", "k2", "ref_status", "v_"] and [tuple(r)[-1] for r in clash.collect()] == [3, 3]
 
 
 def test_forum_kinds(rows):

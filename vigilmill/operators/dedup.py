@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import bare_id
+from ..session import free_name
 
 
 def keep_one_delivery(df: DataFrame, id_col: str = "id", delivered_col: str = "retrieved_on", keep: str = "first", keep_null_ids: bool = False) -> DataFrame:
@@ -22,20 +23,19 @@ def keep_one_delivery(df: DataFrame, id_col: str = "id", delivered_col: str = "r
     (latest, null times lowest). The id is compared without blanks and type
     prefix; the kept row's id column has the bare form. Rows with null or blank
     id can't be told apart and are dropped, or all kept with ``keep_null_ids``
-    (n_copies 1). Exact repeats count as copies. Extra columns are kept;
-    a column named ``n_copies`` or ``_key`` raises ValueError.
+    (n_copies 1). Exact repeats count as copies. Extra columns are kept; where
+    one is named ``n_copies``, the count is ``n_copies_`` and so on.
     """
-    if {"n_copies", "_key"} & set(df.columns):
-        raise ValueError("the input has a column named n_copies or _key")
+    key, count, best = (free_name(n, df.columns) for n in ("_key", "n_copies", "_best"))
     if keep not in ("first", "last"):
         raise ValueError(f"keep is first or last, not {keep}")
-    keyed = df.withColumn("_key", bare_id(F.col(id_col)))
+    keyed = df.withColumn(key, bare_id(F.col(id_col)))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     at = F.col(delivered_col)
     ties = [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
     order = F.struct(at.isNull(), at if keep == "first" else -at.cast("long"), *ties)
-    got = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by(row, order).alias("r"), F.count(F.lit(1)).alias("n_copies"))
-    out = got.select(*[(F.col("_key") if c == id_col else F.col(f"r.`{c}`")).alias(c) for c in df.columns], "n_copies")
+    got = keyed.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(row, order).alias(best), F.count(F.lit(1)).alias(count))
+    out = got.select(*[(F.col(key) if c == id_col else F.col(f"{best}.`{c}`")).alias(c) for c in df.columns], count)
     if keep_null_ids:
-        out = out.unionByName(keyed.where(F.col("_key").isNull()).drop("_key").withColumn("n_copies", F.lit(1).cast("long")))
+        out = out.unionByName(keyed.where(F.col(key).isNull()).drop(key).withColumn(count, F.lit(1).cast("long")))
     return out

@@ -18,6 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import free_name
 from .forum import comment_references, delivery_state
 
 
@@ -40,8 +41,9 @@ def resolve_references(refs: DataFrame, targets: DataFrame, keys: list[str], pay
 
     Cases: null keys as declared above; repeated references stay repeated;
     empty ``refs`` or ``targets`` give no rows or all ``missing``; columns of
-    ``targets`` other than keys and payload are ignored, payload names must
-    not clash with columns of ``refs`` (ValueError).
+    ``targets`` other than keys and payload are ignored; where ``refs`` has a
+    column named like the status or a payload column, the new one gets
+    underscores appended.
 
     A hot key is a matter of the join: ``refs`` is the streamed side of an
     outer equi-join, which adaptive execution splits by size, and the target
@@ -49,33 +51,35 @@ def resolve_references(refs: DataFrame, targets: DataFrame, keys: list[str], pay
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match semantics: {match}")
-    clash = {"ref_status", *payload} & set(refs.columns)
-    if clash:
-        raise ValueError(f"columns of refs clash with the result's: {sorted(clash)}")
+    mask, hit = free_name("_mask", refs.columns), free_name("_hit", [*refs.columns, *targets.columns])
+    status = free_name("ref_status", refs.columns)
+    out = {p: free_name(p, [*refs.columns, status]) for p in payload}
+    inner = {p: f"_p{i}" for i, p in enumerate(payload)}
     n, every = len(keys), (1 << len(keys)) - 1
     wanted = sorted(masks if masks is not None else {sum(b << i for i, b in enumerate(bits)) for bits in product((0, 1), repeat=n)})
-    tagged = refs.withColumn("_mask", null_mask(keys))
-    none = [F.lit(None).cast(targets.schema[p].dataType).alias(p) for p in payload]
+    tagged = refs.withColumn(mask, null_mask(keys))
+    none = [F.lit(None).cast(targets.schema[p].dataType).alias(out[p]) for p in payload]
     parts = []
     for m in wanted:
-        own = tagged.where(F.col("_mask") == m).drop("_mask")
+        own = tagged.where(F.col(mask) == m).drop(mask)
         on = [k for i, k in enumerate(keys) if not m >> i & 1]
         fixed = "satisfied" if m == every or (m and match == "simple") else "violation" if m and match == "full" else None
         if fixed:
-            parts.append(own.select("*", F.lit(fixed).alias("ref_status"), *none))
+            parts.append(own.select("*", F.lit(fixed).alias(status), *none))
             continue
         names = {k: f"_t{i}" for i, k in enumerate(on)}
-        side = targets.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])).select(*[F.col(k).alias(names[k]) for k in on], *payload)
-        side = side.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("_hit"), *[F.min(p).alias(p) for p in payload])
+        side = targets.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])).select(*[F.col(k).alias(names[k]) for k in on], *[F.col(p).alias(inner[p]) for p in payload])
+        side = side.groupBy(*names.values()).agg(F.count(F.lit(1)).alias(hit), *[F.min(p).alias(p) for p in inner.values()])
         cond = reduce(lambda a, b: a & b, [own[k] == side[names[k]] for k in on])
         got = own.join(side, cond, "left")
-        parts.append(got.select(*[own[c] for c in own.columns], F.when(F.col("_hit").isNull(), F.lit("missing")).otherwise(F.lit("found")).alias("ref_status"), *[side[p] for p in payload]))
+        parts.append(got.select(*[own[c] for c in own.columns], F.when(side[hit].isNull(), F.lit("missing")).otherwise(F.lit("found")).alias(status), *[side[inner[p]].alias(out[p]) for p in payload]))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[str], match: str = "partial") -> DataFrame:
     """The rows of ``refs`` that break the reference (see resolve_references)."""
-    return resolve_references(refs, targets, keys, match=match).where(F.col("ref_status").isin("missing", "violation")).drop("ref_status")
+    status = free_name("ref_status", refs.columns)
+    return resolve_references(refs, targets, keys, match=match).where(F.col(status).isin("missing", "violation")).drop(status)
 
 
 def forum_orphans(posts: DataFrame, comments: DataFrame) -> DataFrame:

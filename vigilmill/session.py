@@ -57,6 +57,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores appended while a column has it already."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if its scan has fewer partitions than that.
 
