@@ -60,3 +60,5 @@ def test_consistent_texts(rows):
     got = sorted((r["id"], r["text"], r["extra"]) for r in v.consistent_texts(df, "text").collect() if r["text"] is not None)
     assert got == [("1", "Quorajan ok", 1), ("2", "Quorajan", 2), ("4", "x" * 100_000, 4)]
     assert v.consistent_texts(df, "text").count() == 5
+    clash = df.withColumnsRenamed({"extra": "_raw", "space": "_form"})
+    assert v.consistent_texts(clash, "text").columns == clash.columns

@@ -345,6 +345,7 @@ class NearDuplicates:
         both = cand.join(left, "a").join(right, ["space", "b"]).select("space", "key_a", "key_b", "words_a", "words_b")
         kept = both.mapInArrow(_verify(t), "space string, key_a binary, key_b binary, similarity double")
         self._links = self.scratch.put(kept.select("space", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity"), "links")
+        self.scratch.drop(packed, cand, words)
         return self._links
 
     def members(self) -> DataFrame:

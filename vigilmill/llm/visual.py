@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch, spread
+from ..session import Scratch, free_name, spread
 
 # Letters of other alphabets with the shape of a Latin letter.
 CYRILLIC = "аеорсухһіїјѕԁԛԝӏѵАВЕЅІЇЈКМНОРСТУХҮԚԜӀ"
@@ -205,8 +205,9 @@ def consistent_texts(df: DataFrame, text_col: str, vocabulary_from: DataFrame |
     c = F.col(text_col)
     dirty = c.isNotNull() & ~is_clean(c)
     key = F.when(dirty, F.md5(F.encode(c, "UTF-8")))
-    joined = df.withColumn("_raw", key).join(canon.select(F.col("raw").alias("_raw"), F.col("repaired").alias("_rep")), "_raw", "left")
-    return joined.select(*[F.coalesce("_rep", text_col).alias(k) if k == text_col else F.col(f"`{k}`") for k in df.columns])
+    raw, form = free_name("_raw", df.columns), free_name("_form", df.columns)
+    joined = df.withColumn(raw, key).join(canon.select(F.col("raw").alias(raw), F.col("repaired").alias(form)), raw, "left")
+    return joined.select(*[F.coalesce(form, text_col).alias(k) if k == text_col else F.col(f"`{k}`") for k in df.columns])
 
 
 def look_alike_classes(texts: DataFrame) -> DataFrame:
