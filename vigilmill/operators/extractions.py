@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import OUTCOMES
+from ..config import MOST_TARGETS, OUTCOMES
 from ..functions.ids import bare_id
 from ..functions.text import squeeze
 from ..session import Scratch
@@ -81,6 +81,14 @@ def terms(dictionary: DataFrame) -> DataFrame:
     return d.groupBy("pt_key").agg(F.max(F.struct("pt_code", "pt_term")).alias("t")).select("pt_key", "t.pt_code", "t.pt_term")
 
 
+def term_names(dictionary: DataFrame) -> list[str]:
+    """All terms in lower case; a dictionary beyond MOST_TARGETS is refused."""
+    rows = terms(dictionary).select("pt_key").limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} terms")
+    return sorted(r[0] for r in rows if r[0])
+
+
 def validated(events: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     """Events with ``meddra_pt_code, validated_meddra_pt, meddra_validation``."""
     if dictionary is None:

@@ -243,8 +243,8 @@ def localized_summary(spark, d):
 def extractor_offline(spark, d):
     """The offline extractor over all cleaned posts, back through flattening."""
     rows = records.clean(records.post_rows(table(spark, d, "posts"), SALT), _ORDER)
-    symptoms = [r[0] for r in table(spark, d, "meddra_pt").select(F.lower("pt_term")).distinct().limit(1000).collect() if r[0]]
-    out = extractions.extract(rows, extractions.keyword_extractor(names(spark, d), sorted(symptoms)), targets(spark, d), "keywords")
+    symptoms = extractions.term_names(table(spark, d, "meddra_pt"))
+    out = extractions.extract(rows, extractions.keyword_extractor(names(spark, d), symptoms), targets(spark, d), "keywords")
     return out.groupBy("status", "model_name").agg(F.count(F.lit(1)).alias("n_records"))
 
 
