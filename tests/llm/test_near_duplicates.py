@@ -53,6 +53,32 @@ def test_many_copies_are_a_star(rows):
     assert nd.NearDuplicates(rows([], TEXTS)).pairs().count() == 0
 
 
+def test_hot_classes_give_every_pair(rows, monkeypatch):
+    """Two linked classes of more than 200 ids, in several blocks each."""
+    monkeypatch.setattr(nd, "BLOCK", 90)
+    base = [f"w{k}" for k in range(60)]
+    first, other = " ".join(base), " ".join(base[:-1] + ["edited"])
+    turned = " ".join(base[::-1]).upper() + "."
+    data = [("s", f"a{k:03d}", first if k % 2 else turned, 1) for k in range(210)] + [("s", f"b{k:03d}", other, 1) for k in range(205)]
+    data += [("s", "a000", other, 1), ("s", "lone", " ".join(base[2:]), 1)]
+    got = [tuple(r) for r in nd.NearDuplicates(rows(data, TEXTS)).pairs().collect()]
+    ids = sorted({i for _, i, _, _ in data})
+    assert len(got) == len(set(got)) and set(got) == {("s", i, j) for k, i in enumerate(ids) for j in ids[k + 1 :]}
+
+
+def test_class_queries_give_the_pairs(spark, rows, tmp_path):
+    from vigilmill.llm import queries
+
+    base = [f"w{k}" for k in range(60)]
+    text = {"a": " ".join(base), "b": " ".join(base[::-1]).upper(), "c": " ".join(base[:-1] + ["edited"])}
+    rows(list(text.items()), "id string, selftext string").write.parquet(f"{tmp_path}/posts.parquet")
+    rows([], "id string, body string").write.parquet(f"{tmp_path}/comments.parquet")
+    key = {r["id"]: r["class_key"] for r in queries.QUERIES["p6_classes"](spark, str(tmp_path)).collect()}
+    assert key["a"] == key["b"] != key["c"]
+    (link,) = queries.QUERIES["p6_class_links"](spark, str(tmp_path)).collect()
+    assert link["table_name"] == "posts" and (link["class_a"], link["class_b"]) == tuple(sorted([key["a"], key["c"]]))
+
+
 def test_bound_never_loses():
     r = np.random.default_rng(5)
     for _ in range(200):

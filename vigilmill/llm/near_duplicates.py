@@ -39,7 +39,8 @@ LEAF = 512
 SALTS = 64
 #: Rows sampled to find routing keys that need salt; results don't depend on it.
 SAMPLE = 20_000
-ALL_PAIRS = 200
+#: Ids of one class that meet in one join key; results don't depend on it.
+BLOCK = 1000
 _ASCII_WORDS = re.compile(r"[a-z0-9]+")
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -352,25 +353,36 @@ class NearDuplicates:
         """``space, id, key``: the class of identical word sets of each id."""
         return self.sets.select("space", "id", "key").distinct()
 
-    def pairs(self, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    def pairs(self, all_pairs: int | None = None) -> DataFrame:
         """``space, id_a, id_b``: all pairs of ids at the similarity.
 
-        Classes of more than ``all_pairs`` ids are given by their first id
-        against each other id, so the result stays linear in the rows;
-        ``members`` and ``links`` give the rest exactly.
+        Classes are cut into blocks of about ``BLOCK`` ids, and blocks are
+        joined with blocks, so no join key grows with a hot class. With
+        ``all_pairs``, classes of more ids than that are given by their first
+        id against each other id and stand in links by it; then the result is
+        linear in the rows, and only ``members`` and ``links`` give the rest.
         """
         m = self.scratch.put(self.members(), "members")
         size = m.groupBy("space", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-        sized = self.scratch.put(m.join(size, ["space", "key"]).where("n > 1").select("space", "key", "id", "n", "first"), "sized")
-        small = sized.where(F.col("n") <= all_pairs)
-        same = small.select("space", "key", "id").join(small.select("space", "key", F.col("id").alias("other")), ["space", "key"]).where("id < other").select("space", F.col("id").alias("id_a"), F.col("other").alias("id_b"))
-        star = sized.where((F.col("n") > all_pairs) & (F.col("id") != F.col("first"))).select("space", F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+        sized = self.scratch.put(m.join(size, ["space", "key"]).select("space", "key", "id", "n", "first"), "sized")
+        few = F.lit(True) if all_pairs is None else F.col("n") <= all_pairs
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        several = sized.where(few & (F.col("n") > 1)).select("space", "key", "id", blocks.alias("blocks"), block.alias("block"))
+        # The pair of blocks (i, j), i <= j, meets once: the left side has i, the right one j.
+        left = several.select("space", "key", "id", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+        right = several.select("space", "key", F.col("id").alias("other"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+        same = left.join(right, ["space", "key", "i", "j"]).where((F.col("id") < F.col("other")) | ((F.col("i") < F.col("j")) & (F.col("id") != F.col("other")))).select("space", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+        star = sized.where(~few & (F.col("id") != F.col("first"))).select("space", F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+        # With all_pairs, a class too large to expand stands in a link by its first id.
+        rep = sized.where(few | (F.col("id") == F.col("first"))).select("space", "key", "id", block.alias("block"))
+        many = size.where(F.col("n") > BLOCK).select("space", "key", blocks.alias("blocks"))
         links = self.links().select("space", "key_a", "key_b")
-        # A class too large to expand stands in a link by its first id.
-        rep = m.join(size, ["space", "key"]).where((F.col("n") <= all_pairs) | (F.col("id") == F.col("first"))).select("space", "key", "id")
-        a = rep.select("space", F.col("key").alias("key_a"), F.col("id").alias("x"))
-        b = rep.select("space", F.col("key").alias("key_b"), F.col("id").alias("y"))
-        cross = links.join(a, ["space", "key_a"]).join(b, ["space", "key_b"]).where("x <> y").select("space", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        for end, at in (("key_a", "i"), ("key_b", "j")):
+            links = links.join(many.withColumnRenamed("key", end), ["space", end], "left").withColumn(at, F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        a = rep.select("space", F.col("key").alias("key_a"), F.col("id").alias("x"), F.col("block").alias("i"))
+        b = rep.select("space", F.col("key").alias("key_b"), F.col("id").alias("y"), F.col("block").alias("j"))
+        cross = links.join(a, ["space", "key_a", "i"]).join(b, ["space", "key_b", "j"]).where("x <> y").select("space", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         return same.unionByName(star).unionByName(cross).distinct()
 
     def link_counts(self) -> DataFrame:

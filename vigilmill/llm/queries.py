@@ -61,6 +61,16 @@ def p6_found(spark, d):
     return near_duplicates.NearDuplicates(forum_texts(spark, d)).pairs().withColumnRenamed("space", "table_name")
 
 
+def p6_classes(spark, d):
+    got = near_duplicates.NearDuplicates(forum_texts(spark, d)).members()
+    return got.select(F.col("space").alias("table_name"), "id", F.lower(F.hex("key")).alias("class_key"))
+
+
+def p6_class_links(spark, d):
+    got = near_duplicates.NearDuplicates(forum_texts(spark, d)).links()
+    return got.select(F.col("space").alias("table_name"), F.lower(F.hex("key_a")).alias("class_a"), F.lower(F.hex("key_b")).alias("class_b"), "similarity")
+
+
 def p6_link_counts(spark, d):
     return near_duplicates.NearDuplicates(forum_texts(spark, d)).link_counts().withColumnRenamed("space", "table_name")
 
@@ -102,6 +112,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_masked": p5_masked,
     "p6_found": p6_found,
+    "p6_classes": p6_classes,
+    "p6_class_links": p6_class_links,
     "p6_link_counts": p6_link_counts,
     "p8_packing": p8_packing,
     "p8_fill": p8_fill,
