@@ -29,6 +29,21 @@ def test_traps():
         assert found(t) == set(), t
 
 
+def test_names_of_any_form():
+    """Particles, words of other use, lower case, other scripts."""
+    for n in ("Maria de Souza", "Juan de la Cruz", "Will Smith", "Diane Lane", "Marie Le Gall", "Anh Do", "maren lindquist", "Иван Петров"):
+        assert ("name", n) in found(f"I saw Dr. {n} in the renal unit last week."), n
+
+
+def test_form_keeps_what_the_tagger_finds():
+    """A tagged particle or listed word doesn't drop a name; a title is cut off."""
+    for view, name in (("saw Ludwig van Beethoven here", "Ludwig van Beethoven"), ("saw Dr. Will Smith here", "Will Smith"), ("saw Dr. Smith here", None)):
+        tags = np.zeros(len(view), np.int8)
+        tags[4:-5] = 2
+        tags[4] = 1
+        assert [view[a:z] for a, z, _ in pii.spans_of(view, 0, tags)] == ([name] if name else [])
+
+
 def test_positions_in_disguised_text():
     t = "tel ６６０－５５５－０１９１ ok, and​ I s­aw Dr. Maren Lindquist in the renal unit."
     got = {(k, a) for a, _, k in pii.find([t], TAGGER, TABLE)[0]}

@@ -3,14 +3,12 @@
 A character-level bidirectional LSTM scores each character for each tag, and a
 CRF picks the best tag sequence. Text is first folded character by character
 (full-width digits, look-alike letters, accents; invisible characters drop
-out), with a map back to stored positions. Only surroundings of characters
-that personal information can't do without are decoded: an ``@`` or spelled-out
-``at``, six digits in a row but for separators, a number beside a capitalised
-word or street word, two capitalised words in a row. That is a property of the
-sought items themselves, checked on every text as a whole. Long stretches are
-covered by overlapping windows; their scores are blended and one Viterbi pass
-over the whole stretch reconciles them. Found spans are then snapped to token
-edges and checked for form (a phone has seven digits, and so on).
+out), with a map back to stored positions. Every text is decoded as a whole: a
+name may stand in any letters, case and script, so no part of a text can be
+left out. Texts are covered by overlapping windows; their scores are blended
+and one Viterbi pass over the whole text reconciles them. Found spans are then
+snapped to token edges and checked for form (a phone has seven digits, a name
+two words, and so on).
 """
 
 from __future__ import annotations
@@ -33,30 +31,28 @@ TYPES = ["name", "phone", "id_number", "email", "address"]
 TAGS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
 WINDOW, STRIDE, MARGIN, BATCH = 96, 64, 32, 256
 EMBED, HIDDEN = 16, 40
+#: Characters decoded at once; these only bound memory.
+CELLS, PART = 400_000, 1_000_000
 #: Characters the model tells apart: printable ASCII, line feed, other letters, everything else.
 VOCAB = 98
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 
 # Letters without a canonical decomposition, by their plain form.
 _PLAIN = {"ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ð": "d", "þ": "th", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "⁄": "/", "，": ",", "．": "."}
-# Capitalised words that are no part of a person's name.
-NO_NAME = frozenset("""On In At By To Of For From With Without The A An My Your His Her Its Our Their This That These Those Every Each Since Before After Around Between About Until Till During While When Where What Why Who Which How Is Are Was Were Be Am
-Do Does Did Has Have Had Can Could Will Would Should If And Or But Not No Yes So Then Now I We You He She It They There Here Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March July August September October November December
-Der Die Das Den Dem Ein Eine Mein Meine Im Am Um Bei Nach Seit Und Oder Ich Wir Sie Es Hat Über Packung Le La Les Un Une Mon Ma Mes Je Il Elle Nous El Los Las Mi Yo Tome Gracias Llevo Because So Dr Mr Mrs Ms Prof Version Ticket Order Type Disease Lane Unit Renal GP TSH LDL NHS SSN""".split())
-_CAPITAL = re.compile(r"[A-Z][A-Za-z'-]*")
-_BETWEEN = re.compile(r"-?[ ,\n]+(?:[A-Za-z]\.? )?[a-z]?")
+# Titles, which are no part of a name.
+_TITLE = re.compile(r"(?i:dr|mr|mrs|ms|prof|herr|frau|dra|mme)(?:\. ?| )")
 _MAIL = re.compile(r"@|[(\[] ?at ?[)\]]| at (?=[\w.-]+ ?[(\[]?dot)")
-_NUMBER = re.compile(r"[0-9](?:[ ().\-/]{0,2}\d){5,}")
 _DATE = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d")
 _STREET_WORD = r"rue|avenue|av\.|boulevard|bd|chemin|place|allee|quai|impasse|route"
-_HOUSE = re.compile(rf"[0-9]{{1,4}}[A-Za-z]?(?: (?:bis|BIS))?,? (?:[A-Z][A-Za-z]+|[a-z][A-Z]{{2,}}|{_STREET_WORD})")
-_STREET = re.compile(r"(?:strasse|weg|gasse|platz|allee|ring|str\.) \d|(?<!\w)(?:calle|c/|cl\.|avenida|avda\.?|plaza|paseo|camino|via|rua) [a-z ]{2,30}\d")
 _STREETS = re.compile(rf"(?i)\b(?:{_STREET_WORD}|street|st|road|rd|ave|lane|ln|drive|close|court|terrace|blvd|way|square|row|walk|crescent)\b|(?:strasse|str\.|weg|gasse|platz|ring)\b|\b(?:calle|avenida|avda|plaza|paseo|camino)\b|c/")
-_STREET_SIGNS = ("strasse ", "weg ", "gasse ", "platz ", "allee ", "ring ", "str. ", "calle ", "c/ ", "cl. ", "avenida ", "avda", "plaza ", "paseo ", "camino ", "via ", "rua ")
 #: Surfaces that are almost certainly personal; texts with one are no background for training.
 _SURE = re.compile(rf"\d,? (?:{_STREET_WORD}) |(?i:strasse|weg|gasse|platz|allee|str\.) \d|(?<!\w)(?i:calle|c/|avenida|avda\.?|plaza|paseo|camino) |\d[a-c]? (?:Old )?[A-Z][a-z]+ (?:Street|St\.?|Road|Rd\.?|Ave|Avenue|Lane|Drive|Close|Court|Terrace|Blvd)|555|7700|23125|99 ?00|\b999[ -]|\b9\d\d[ -]\d\d[ -]\d{{4}}|QQ|\b[XYZ][ -]?\d{{7}}|(?<![\dX])\d{{8,}}")
 
 
+#: Letters of scripts without blanks between words: Thai to Khmer, kana, ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 class Folds(dict):
     """What a character is to the model; fills itself."""
 
@@ -64,9 +60,9 @@ class Folds(dict):
         c = _fold_char(chr(key))
         c = "".join(LOOKALIKE.get(x, x) for x in c)
         c = "".join(_PLAIN.get(x, x) for x in c)
-        c = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        c = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M")
         if c and not c.isascii():
-            c = "".join(x if x.isascii() else "\x01" if x.isalpha() else "\x02" for x in c)
+            c = "".join(x if x.isascii() else "\x02" if not x.isalpha() else "\x03" if _UNSPACED.match(x) else "\x01" for x in c)
         self[key] = c
         return c
 
@@ -80,45 +76,11 @@ def folded(text: str, table: Folds) -> tuple[str, np.ndarray | None]:
     return "".join(parts), np.repeat(np.arange(len(text)), [len(p) for p in parts])
 
 
-def cores(view: str) -> list[tuple[int, int]]:
-    """Where personal information may be (see the module's text)."""
-    low = view.lower()
-    out = [m.span() for m in _MAIL.finditer(low)] if "@" in low or "at)" in low or "at]" in low or "dot" in low else []
-    out += [m.span() for m in _NUMBER.finditer(view) if not _DATE.fullmatch(m[0])]
-    out += [m.span() for m in _HOUSE.finditer(view)]
-    if any(w in low for w in _STREET_SIGNS):
-        out += [m.span() for m in _STREET.finditer(low)]
-    last = None
-    for m in _CAPITAL.finditer(view):
-        w = m[0]
-        if len(w) == 1 or w in NO_NAME:
-            if len(w) > 1 or w == "I":
-                last = None
-            continue
-        if last is not None and m.start() - last[1] <= 6 and _BETWEEN.fullmatch(view, last[1], m.start()):
-            out.append((last[0], m.end()))
-        last = m.span()
-    return out
-
-
-def stretches(view: str) -> list[tuple[int, int]]:
-    """Cores with their surroundings, merged."""
-    got: list[list[int]] = []
-    n = len(view)
-    for a, z in sorted(cores(view)):
-        a, z = max(0, a - MARGIN), min(n, z + MARGIN)
-        if got and a <= got[-1][1]:
-            got[-1][1] = max(got[-1][1], z)
-        else:
-            got.append([a, z])
-    return [(a, z) for a, z in got]
-
-
 _CODE = np.full(256, VOCAB - 1, np.int16)
 for _c in range(32, 127):
     _CODE[_c] = _c - 32
 _CODE[10] = 95
-_CODE[1] = 96
+_CODE[1] = _CODE[3] = 96
 
 
 def codes(view: str) -> np.ndarray:
@@ -304,11 +266,16 @@ class Tagger:
 
     def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """Best tags of each stretch; stretches of like length run together."""
-        order = sorted(range(len(scores)), key=lambda k: len(scores[k]))
-        out: list[np.ndarray] = [np.empty(0, np.int8)] * len(scores)
+        out: list[np.ndarray] = [np.zeros(len(s), np.int8) for s in scores]
         tr, k = self.p["T"], len(TAGS)
-        for g in range(0, len(order), BATCH):
-            part = order[g : g + BATCH]
+        # Each tag but O costs at least its lead over O, and changes at most two
+        # transitions and the start: where that can't pay anywhere, all is O.
+        gain = 2 * max(0.0, float(tr.max() - tr[0, 0])) + max(0.0, float(self.p["S"].max() - self.p["S"][0]))
+        order = [j for j, s in enumerate(scores) if len(s) and float((s[:, 1:].max(1) - s[:, 0]).max()) + gain >= 0]
+        order.sort(key=lambda j: len(scores[j]))
+        while order:  # the longest first, at most CELLS cells at once
+            n = min(BATCH, max(1, CELLS // max(1, len(scores[order[-1]]))))
+            part, order = order[-n:], order[:-n]
             t, b = len(scores[part[-1]]), len(part)
             e = np.zeros((t, b, k), np.float32)
             size = np.array([len(scores[j]) for j in part])
@@ -338,7 +305,7 @@ _FORM = {
     "email": re.compile(r"[\w.+-]+(?:\s?@\s?|\s?[(\[] ?at ?[)\]]\s?| at )[\w-]+", re.I),
     "phone": re.compile(r"[+(]?\d[\d ()./-]{5,}"),
     "id_number": re.compile(r"[A-Z]{0,3}[ -]?\d[\d -]{4,}", re.I),
-    "name": re.compile(r"[A-Za-z\x01'-]+(?:,? [A-Za-z]\.?)?,? ?\n?[A-Za-z\x01'-]{2,}"),
+    "name": re.compile(r"[A-Za-z\x01\x03][A-Za-z\x01\x03'. \n-]*(?:,[A-Za-z\x01\x03'. \n-]+)?$"),
     "address": re.compile(r".*\d", re.S),
 }
 
@@ -378,15 +345,18 @@ def spans_of(view: str, start: int, tags: np.ndarray) -> list[tuple[int, int, st
             z -= 1
         s = view[a:z]
         digits = sum(c.isdigit() for c in s)
-        if kind == "name":  # two words with a capital each
-            full = [w for w in re.findall(r"[A-Za-z\x01'-]+", s) if len(w) > 1]
-            if len(full) < 2 or not all(any(c.isupper() for c in w) for w in full) or any(w in NO_NAME or w.capitalize() in NO_NAME for w in full):
+        if kind == "name":
+            title = _TITLE.match(s)
+            if title:
+                a, s = a + title.end(), s[title.end():]
+            # Two words, but for scripts without blanks.
+            if s.count("\x03") < 2 and sum(len(w) > 1 for w in re.findall(r"[A-Za-z\x01'-]+", s)) < 2:
                 continue
         if kind == "address" and not _STREETS.search(s) and sum(any(c.isupper() for c in w) for w in re.findall(r"[A-Za-z\x01'-]{2,}", s)) < 2:
             continue
         if kind == "phone" and _DATE.fullmatch(s):
             continue
-        ok = bool(_FORM[kind].match(s)) and {"email": len(s) > 5, "phone": 7 <= digits <= 15, "id_number": digits >= 6, "name": digits == 0 and len(s) > 4, "address": digits >= 1 and len(s) > 6}[kind]
+        ok = bool(_FORM[kind].match(s)) and {"email": len(s) > 5, "phone": 7 <= digits <= 15, "id_number": digits >= 6, "name": digits == 0, "address": digits >= 1 and len(s) > 6}[kind]
         if ok and (not out or a >= out[-1][1]):
             out.append((a, z, kind))
     return out
@@ -400,27 +370,24 @@ def find(texts: list[str | None], tagger: Tagger, table: Folds) -> list[list[tup
         if not t:
             continue
         view, at = folded(t, table)
-        parts = stretches(view)
-        if not parts:
+        if not view:
             continue
         maps[k] = (view, at)
-        c = codes(view)
-        for a, z in parts:
-            jobs.append((k, a))
-            views.append(c[a:z])
+        jobs.append(k)
+        views.append(codes(view))
     if not jobs:
         return found
-    for (k, a), tags in zip(jobs, tagger.viterbi(tagger.emissions(views)), strict=True):
+    for k, tags in zip(jobs, tagger.viterbi(tagger.emissions(views)), strict=True):
         if not tags.any():
             continue
         view, at = maps[k]
-        for s, e, kind in spans_of(view, a, tags):
+        for s, e, kind in spans_of(view, 0, tags):
             found[k].append((s, e, kind) if at is None else (int(at[s]), int(at[e - 1]) + 1, kind))
     return found
 
 
 def training_windows(examples: list[tuple[str, list[tuple[int, int, str]]]], table: Folds) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows around the cores of labelled texts, with a tag a character."""
+    """Windows of labelled texts, with a tag a character."""
     number = {t: k for k, t in enumerate(TYPES)}
     out = []
     for text, spans in examples:
@@ -433,11 +400,10 @@ def training_windows(examples: list[tuple[str, list[tuple[int, int, str]]]], tab
                 tags[inside] = 2 * number[kind] + 2
                 tags[inside[0]] = 2 * number[kind] + 1
         c = codes(view)
-        for a, z in stretches(view):
-            for s in range(a, max(a + 1, z - WINDOW + STRIDE), STRIDE):
-                e = min(z, s + WINDOW)
-                if e - s > 4:
-                    out.append((c[s:e], tags[s:e]))
+        for s in range(0, max(1, len(view) - WINDOW + STRIDE), STRIDE):
+            e = min(len(view), s + WINDOW)
+            if e - s > 4:
+                out.append((c[s:e], tags[s:e]))
     return out
 
 
@@ -448,8 +414,8 @@ def plain_pieces(texts: list[str], table: Folds | None = None) -> list[str]:
 
     table, names, out = table or Folds(), {g.lower() for g in GIVEN}, []
     for t in texts:
-        for piece in re.split(r"(?<=[.!?])\s+", t):
-            if not 20 < len(piece) < 200:
+        for piece in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", t):
+            if not (20 if piece.isascii() else 5) < len(piece) < 200:
                 continue
             view, _ = folded(piece, table)
             if _MAIL.search(view.lower()) or _SURE.search(view):
@@ -459,17 +425,18 @@ def plain_pieces(texts: list[str], table: Folds | None = None) -> list[str]:
     return out
 
 
-def train(examples: int = 6000, epochs: int = 6, seed: int = 3, background: list[str] | None = None, report=None) -> Tagger:
+def train(examples: int = 6000, epochs: int = 6, seed: int = 3, background: list[str] | None = None, report=None, start: Tagger | None = None, rate: float = 4e-3) -> Tagger:
     """A tagger from ``examples`` composed texts (see pii_training).
 
     ``background``: texts without personal information to mix in, a bounded
     sample; those with a surface that might be personal are left out.
+    ``start``: a tagger to go on from, at a lower ``rate``.
     """
     from .pii_training import example
 
     rng = random.Random(seed)
     table = Folds()
-    return Tagger().fit(training_windows([example(rng, background or []) for _ in range(examples)], table), epochs, report=report)
+    return (start or Tagger()).fit(training_windows([example(rng, background or []) for _ in range(examples)], table), epochs, rate=rate, report=report)
 
 
 def _run(weights: dict[str, np.ndarray], replace: bool):
@@ -478,9 +445,13 @@ def _run(weights: dict[str, np.ndarray], replace: bool):
         tagger.p = weights
         table = Folds()
         for b in batches:
-            for lo in range(0, b.num_rows, 4000):
-                part = b.slice(lo, 4000)
-                texts = part["text"].to_pylist()
+            every = b["text"].to_pylist()
+            ends = np.cumsum([len(t or "") for t in every])
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART, "right")))
+                part, texts = b.slice(lo, hi - lo), every[lo:hi]
+                lo = hi
                 got = find(texts, tagger, table)
                 if replace:
                     out = []

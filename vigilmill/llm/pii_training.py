@@ -21,6 +21,16 @@ Thea Theo Thomas Tobias Tomas Ursula Uwe Vera Viktor Wanda Wei Yara Yasmin Yuki
 # Parts that surnames are composed of.
 STEMS = "Ander Aver Berg Black Brack Brandt Carl Dolv Eck Fair Fern Fisk Gold Grel Hall Harn Holm Hov Jask Jens Kess Kort Lam Lind Lund Mar Mer Merr Morv Nesk Nor Olm Orl Peder Plim Pol Pry Quil Ras Ros Rusk Sax Schmid Sund Stav Tan Tans Thor Tren Urb Vel Vosk Walt Wend Win Yel".split()
 ENDS = "a adze aga arsky ault bury brook dóttir edze eira elli en enko ens er ero eros ez field hart ia ić ington ley mann mark mond moor more oğlu ova ova quist ski sen son ström szky ton vault wald wick".split()
+# Particles of surnames, and whole surnames (also words of other use).
+PARTICLES = "van|von|de|de la|del|da|di|dos|du|van der|Le|El|bin|al".split("|")
+FAMILIES = "Smith Lane Do Young Street Gall Souza Cruz Beethoven Garcia March Wood Hill Fischer Rossi Dubois Park Church Day Long Brown King Nguyen Lopez Meyer Silva Moreau Jones Miller Costa".split()
+GIVEN_WORDS = "Will Diane Ludwig Anh Juan Mark May April June Grace Hope Rose Art Bill Jan Faith Drew Marie Dawn Frank".split()
+# Names in other scripts.
+OTHER_SCRIPTS = "Иван Петров|Ольга Смирнова|Дмитрий Кузнецов|Анна Волкова|Γιώργος Παππάς|Ελένη Νικολάου|محمد حسن|فاطمة علي|אברהם כהן|שרה לוי|राज शर्मा|प्रिया सिंह".split("|")
+#: Capitalised words that are no part of a name, for picking background.
+NO_NAME = frozenset("""On In At By To Of For From With Without The A An My Your His Her Its Our Their This That These Those Every Each Since Before After Around Between About Until Till During While When Where What Why Who Which How Is Are Was Were Be Am
+Does Did Has Have Had Can Could Would Should If And Or But Not No Yes So Then Now I We You He She It They There Here Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February July August September October November December
+Der Die Das Den Dem Ein Eine Mein Meine Im Am Um Bei Nach Seit Und Oder Ich Wir Sie Es Hat Über La Les Un Une Mon Ma Mes Je Il Elle Nous Los Las Yo Tome Gracias Llevo Because Dr Mr Mrs Ms Prof Version Ticket Order Type Disease Unit Renal GP TSH LDL NHS SSN""".split())
 # Parts of street addresses.
 STREETS = "Alder Bellfounder Birch Castle Chapel Church Copperfield Elm Ferryman Garden Gooseberry Heron High Hill Juniper Kiln King Lantern Larch Maple Market Mill Millrace Mint Oak Old Orchard Park Quarry River Ropewalk Rose Saltern School Station Tannery Thistle Victoria Water Weaver West".split()
 KINDS = "Street St. St Road Rd. Rd Avenue Ave Lane Ln Drive Dr Close Court Ct Terrace Blvd Boulevard Way Place Square Row Walk Crescent".split()
@@ -57,6 +67,16 @@ def surname(r: random.Random) -> str:
 
 def name(r: random.Random) -> str:
     g, s = given(r), surname(r)
+    y = r.random()
+    if y < 0.04:
+        return r.choice(OTHER_SCRIPTS)
+    if y < 0.16:
+        g = r.choice(GIVEN_WORDS) if r.random() < 0.5 else g
+        s = r.choice(FAMILIES) if r.random() < 0.6 else s
+    if 0.1 < y < 0.24:
+        return f"{g} {r.choice(PARTICLES)} {s}"
+    if y > 0.95:
+        return f"{g} {s}".lower()
     x = r.random()
     out = f"{s}, {g}" if x < 0.15 else f"{g} {r.choice('ABCDEFGHJKLMNPRSTW')}. {s}" if x < 0.35 else f"{g} {s}"
     return out.upper() if r.random() < 0.1 else out
@@ -134,7 +154,9 @@ My sugars went {#3}-{#3}-{#3} within three months.|My readings were {#3}-{#2}-{#
 She gave {a} as home.|They moved to {a}.|Nach {#1} Tagen war es weg.|Über {#2} Nutzer berichten davon.|Gegen {#1}:{#2} Uhr war es gut.|Ich trinke {#1},{#1} Liter am Tag.|Ma glycémie restait à {#1},{#1} malgré {d}.|Gracias, mañana pregunto.|Overall, I was fine in {t}. Nobody asked about {d}.|Eventually, {t} Pharmacy closed. Going there again.|I will ask my endo in {t} about {d}.|in the {t} leaflet of {M} - a locum laughed about it in {t}|Patient no. {i}.|NHS number is {i}|SSN {i}
 They mailed the box to {a} instead of my place.|The parcel went to {a} again.|Mail the letter to {a}.|They sent the kit to {a} by mistake.|The courier came to {a} twice.|bring it to {a} please|She signed as {n} and gave {a}.|return it to {n}, {a}.|My new address: {a}.|Ich wohne in der {a}.|Vivo en {a}.|J'habite au {a}.
 {n} asked me to call {p}.|Dr. {n} said to call {p}.|I wrote to {e} and called {p}.|My mom, {n}, is fine.|{n} ({e})|ask {n} or {n} about it.
-EDIT: thanks everyone, answered.|Type Two Diabetes Clinic.|Long Term Care Act {y}.|New Year in Old {t}.|United Kingdom and South Africa.|Prior Authorization Form {#4}.|It cost {#4} in {y}.|Nr. {#2} auf der Liste.|Im {#2}. Quartal {y} stieg es.|"""
+EDIT: thanks everyone, answered.|Type Two Diabetes Clinic.|Long Term Care Act {y}.|New Year in Old {t}.|United Kingdom and South Africa.|Prior Authorization Form {#4}.|It cost {#4} in {y}.|Nr. {#2} auf der Liste.|Im {#2}. Quartal {y} stieg es.|
+谢谢大家的回复，今天好多了。|（这是我自己的经历，仅供参考。）|医生说：“先停药三天！”，后来好了。|我从{#1}月开始吃{d}，有点头晕。|薬を飲んでから眠れません。ありがとう。|ขอบคุณครับ กินยาแล้วดีขึ้น|Спасибо за ответ, мне стало лучше.|После {d} болит голова, это нормально?|Ευχαριστώ πολύ για την απάντηση.|شكرا جزيلا على الرد|मुझे अब बेहतर लग रहा है
+Die Apotheke in {t} hatte es nicht.|Mir hat der Arzt in {t} {d} gegeben.|por la lluvia en {t} no fui|Tomo {d} por la noche.|« Revenez lundi », a dit la pharmacienne.|Next {D} I will ask.|After {d}, my brother had cramps.|{d}, however, did nothing.|{d} or {d}, that is the question.|Will {d} help me?|As always, I was late.|Do I need {d}?|In {t} the Dra. {s} was kind.|Severe nausea, {#2} days in.|an A1c of {#2}.{#1} after the {M} visit"""
 
 
 def fill(r: random.Random, carrier: str) -> list[Piece]:
@@ -172,10 +194,7 @@ def example(r: random.Random, background: list[str], words: int = 3) -> tuple[st
             spans.append((len(text), len(text) + len(s), kind))
         text += s
     x = r.random()
-    if x < 0.04:
-        text = text.upper()
-    elif x < 0.06:
-        text = text.swapcase()
-    if len(text) != (spans[-1][1] if spans else 0) and any(a >= len(text) for a, _, _ in spans):
-        return example(r, background, words)  # upper-casing changed the length
+    turned = text.upper() if x < 0.04 else text.swapcase() if x < 0.06 else text
+    if len(turned) == len(text):  # ß and the like would shift the labels
+        text = turned
     return text, spans
