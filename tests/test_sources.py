@@ -147,6 +147,17 @@ def test_incremental_ingest(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
+def test_ingest_takes_old_records_and_late_copies(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    os.makedirs(src)
+    schema = "id string, retrieved_on bigint, subreddit string, body string"
+    line = lambda i, t: json.dumps({"id": i, "retrieved_on": t, "subreddit": "s", "body": "b"}) + "\n"
+    for k, text in enumerate((line("a", 1700000000), line("b", 1710000000), line("old", 1600000000) + line("t1_a", 1720000000) + line("none", None))):
+        (tmp_path / f"src/{k}.jsonl").write_text(text)
+        ingest.ingest(spark, src, schema, out, cp).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "none", "old"]
+
+
 def test_resume(spark, rows, tmp_path):
     df = rows([("r1", "u", "s", "d", "m", ""), ("r2", "u", "s", "d", "bad", "")], "record_id string, user_id string, subreddit string, date string, message string, context string")
     path = str(tmp_path / "log")
