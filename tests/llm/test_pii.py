@@ -6,6 +6,8 @@ from vigilmill.llm import pii
 from vigilmill.llm.pii_training import example
 from vigilmill.llm.train_pii import held_out
 
+from pii_cases import CASES
+
 TAGGER = pii.Tagger.load()
 TABLE = pii.Folds()
 
@@ -29,6 +31,15 @@ def test_traps():
         assert found(t) == set(), t
 
 
+def test_hand_labelled_sentences():
+    """Sentences the generator did not make: 0.9 of the spans, 0.9 right."""
+    hit = have = want = 0
+    for (text, spans), got in zip(CASES, pii.find([t for t, _ in CASES], TAGGER, TABLE), strict=True):
+        a, b = {(k, text.index(x)) for k, x in spans}, {(k, s) for s, _, k in got}
+        hit, have, want = hit + len(a & b), have + len(b), want + len(a)
+    assert hit / want >= 0.9 and hit / have >= 0.9, (hit, have, want)
+
+
 def test_names_of_any_form():
     """Particles, words of other use, lower case, other scripts."""
     for n in ("Maria de Souza", "Juan de la Cruz", "Will Smith", "Diane Lane", "Marie Le Gall", "Anh Do", "maren lindquist", "Иван Петров"):
@@ -77,19 +88,30 @@ def test_gradient():
 
 
 def test_training_learns():
-    r = random.Random(8)
-    data = pii.training_windows([example(r, [], 1) for _ in range(300)], TABLE)
-    losses = []
-    pii.Tagger(hidden=12).fit(data, epochs=4, batch=8, report=lambda e, loss: losses.append(loss))
-    assert losses[-1] < 0.8 * losses[0]
+    got = pii.train(96, hidden=12, rate=1e-2)
+    assert np.mean(got.losses[-8:]) < 0.5 * np.mean(got.losses[:8])
+
+
+def test_intervals_give_the_tags_of_the_whole():
+    """Viterbi on the intervals that may hold tags equals Viterbi on all."""
+    r = random.Random(6)
+    texts = [example(r, [])[0] * r.choice((1, 1, 6)) for _ in range(60)]
+    views = [pii.codes(pii.folded(t, TABLE)[0]) for t in texts]
+    sizes = np.array([len(v) for v in views])
+    some = TAGGER.emissions(np.concatenate(views), sizes)
+    part = TAGGER.tags(list(some.values()))
+    whole = TAGGER.viterbi([s for s, _ in some.values()])
+    assert all((a == b).all() for a, b in zip(part, whole, strict=True))
+    closed = [k for k in range(len(views)) if k not in some]
+    assert all(not x.any() for x in TAGGER.viterbi([TAGGER.scores(views[k][:, None])[:, :, 0] for k in closed]))
 
 
 def test_windows_agree_with_one_pass():
     """Far from any window's edge, blended scores equal those of the whole."""
     t = "My mother (Owen Quilaga, born in spring) takes it too. " * 6
     v = pii.codes(t)
-    whole = TAGGER.scores(v[:, None].astype(np.int16))[:, 0]
-    parts = TAGGER.emissions([v])[0]
+    whole = TAGGER.scores(v[:, None])[:, :, 0]
+    parts = TAGGER.emissions(v, np.array([len(v)]))[0][0]
     assert (whole.argmax(1) == parts.argmax(1)).mean() > 0.97
 
 

@@ -13,11 +13,14 @@ two words, and so on).
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import multiprocessing
 import os
 import random
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,13 @@ from .visual import LOOKALIKE, _fold_char
 
 TYPES = ["name", "phone", "id_number", "email", "address"]
 TAGS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
-WINDOW, STRIDE, MARGIN, BATCH = 96, 64, 32, 256
-EMBED, HIDDEN = 16, 40
+WINDOW, STRIDE, BATCH = 224, 192, 512
+EMBED, HIDDEN = 16, 24
 #: Characters decoded at once; these only bound memory.
-CELLS, PART = 400_000, 1_000_000
-#: Characters the model tells apart: printable ASCII, line feed, other letters, everything else.
-VOCAB = 98
+CELLS, PART = 400_000, 500_000
+#: Characters the model tells apart: printable ASCII, line feed, other small (or caseless) letters, other capitals,
+#: letters of unspaced scripts, frequent Chinese and Japanese family names, everything else.
+VOCAB = 101
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 
 # Letters without a canonical decomposition, by their plain form.
@@ -44,11 +48,14 @@ _TITLE = re.compile(r"(?i:dr|mr|mrs|ms|prof|herr|frau|dra|mme)(?:\. ?| )")
 _MAIL = re.compile(r"@|[(\[] ?at ?[)\]]| at (?=[\w.-]+ ?[(\[]?dot)")
 _DATE = re.compile(r"(?:19|20)\d\d-[01]\d-[0-3]\d")
 _STREET_WORD = r"rue|avenue|av\.|boulevard|bd|chemin|place|allee|quai|impasse|route"
-_STREETS = re.compile(rf"(?i)\b(?:{_STREET_WORD}|street|st|road|rd|ave|lane|ln|drive|close|court|terrace|blvd|way|square|row|walk|crescent)\b|(?:strasse|str\.|weg|gasse|platz|ring)\b|\b(?:calle|avenida|avda|plaza|paseo|camino)\b|c/")
 #: Surfaces that are almost certainly personal; texts with one are no background for training.
 _SURE = re.compile(rf"\d,? (?:{_STREET_WORD}) |(?i:strasse|weg|gasse|platz|allee|str\.) \d|(?<!\w)(?i:calle|c/|avenida|avda\.?|plaza|paseo|camino) |\d[a-c]? (?:Old )?[A-Z][a-z]+ (?:Street|St\.?|Road|Rd\.?|Ave|Avenue|Lane|Drive|Close|Court|Terrace|Blvd)|555|7700|23125|99 ?00|\b999[ -]|\b9\d\d[ -]\d\d[ -]\d{{4}}|QQ|\b[XYZ][ -]?\d{{7}}|(?<![\dX])\d{{8,}}")
 
 
+# Characters that Chinese and Japanese family names often start with.
+_FAMILY = frozenset("王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何林罗羅郑鄭梁谢謝宋唐许許韩韓冯馮邓鄧曹彭曾肖田董袁潘蒋蔡余杜叶葉程苏蘇魏吕呂丁任沈姚卢盧姜崔钟鍾谭陆陸范汪石廖贾夏韦傅方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严武戴莫孔汤佐藤鈴木高橋渡辺伊山中村小加吉佐々")
+
+
 #: Letters of scripts without blanks between words: Thai to Khmer, kana, ideographs.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -62,7 +69,7 @@ class Folds(dict):
         c = "".join(_PLAIN.get(x, x) for x in c)
         c = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M")
         if c and not c.isascii():
-            c = "".join(x if x.isascii() else "\x02" if not x.isalpha() else "\x03" if _UNSPACED.match(x) else "\x01" for x in c)
+            c = "".join(x if x.isascii() else "\x02" if not x.isalpha() else "\x05" if x in _FAMILY else "\x03" if _UNSPACED.match(x) else "\x04" if x.isupper() else "\x01" for x in c)
         self[key] = c
         return c
 
@@ -76,19 +83,35 @@ def folded(text: str, table: Folds) -> tuple[str, np.ndarray | None]:
     return "".join(parts), np.repeat(np.arange(len(text)), [len(p) for p in parts])
 
 
-_CODE = np.full(256, VOCAB - 1, np.int16)
+_CODE = np.full(256, 97, np.int64)
 for _c in range(32, 127):
     _CODE[_c] = _c - 32
 _CODE[10] = 95
-_CODE[1] = _CODE[3] = 96
+_CODE[[1, 3, 4, 5]] = [96, 98, 99, 100]
+_CODE[2] = 97
 
 
 def codes(view: str) -> np.ndarray:
     return _CODE[np.frombuffer(view.encode("latin-1", "replace"), np.uint8)]
 
 
+def one_thread() -> None:
+    """Keep numpy's matrix products in this task's own thread: the products
+    are small, and a pool of threads per task would only spin."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for f in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, f):
+                getattr(lib, f)(1)
+                return
+
+
 class Tagger:
-    """BiLSTM scores and CRF transitions, in numpy."""
+    """BiLSTM scores and CRF transitions, in numpy.
+
+    Arrays are (time, unit, sequence), so each gate of a step is one
+    contiguous block; the gates stand in the order in, forget, out, new.
+    """
 
     def __init__(self, hidden: int = HIDDEN, seed: int = 1):
         r = np.random.default_rng(seed)
@@ -101,123 +124,146 @@ class Tagger:
         self.h = hidden
 
     def _lstm(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """x: (T, B) codes, in reading order of the direction; (T, B, h)."""
+        """x: (T, B) codes, in reading order of the direction; (T, h, B)."""
         p, h = self.p, self.h
-        table = p["E"] @ p[f"W{d}"] + p[f"B{d}"]
-        u = p[f"U{d}"]
+        # sigmoid(z) = (tanh(z / 2) + 1) / 2: halving is done once, in the weights.
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], p["E"].dtype), h)[:, None]
+        table = np.ascontiguousarray((p["E"] @ p[f"W{d}"] + p[f"B{d}"]).T * half)
+        u = np.ascontiguousarray(p[f"U{d}"].T * half)
         t, b = x.shape
-        hs, c, hid = np.empty((t, b, h), np.float32), np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
+        kind = table.dtype
+        hs, c, hid = np.empty((t, h, b), kind), np.zeros((h, b), kind), np.zeros((h, b), kind)
+        g, e = np.empty((4 * h, b), kind), np.empty((4 * h, b), kind)
+        tc = np.empty((h, b), kind)
         for s in range(t):
-            g = table[x[s]]
-            g += hid @ u
-            g[:, : 3 * h] *= 0.5
+            if keep is not None:
+                g, tc, before = np.empty((4 * h, b), kind), np.empty((h, b), kind), c.copy()
+            np.matmul(u, hid, out=g)
+            np.take(table, x[s], axis=1, out=e, mode="clip")
+            g += e
             np.tanh(g, out=g)
-            a = g[:, : 3 * h]
+            a = g[: 3 * h]
             a *= 0.5
             a += 0.5
-            i, f, o, n = g[:, :h], g[:, h : 2 * h], g[:, 2 * h : 3 * h], g[:, 3 * h :]
-            before = c
-            c = f * c + i * n
-            tc = np.tanh(c)
-            prior = hid
-            hid = o * tc
-            hs[s] = hid
+            c *= g[h : 2 * h]
+            c += g[:h] * g[3 * h :]
+            np.tanh(c, out=tc)
+            prior, hid = hid, hs[s]
+            np.multiply(g[2 * h : 3 * h], tc, out=hid)
             if keep is not None:
-                keep.append((i, f, o, n, before, tc, prior))
+                keep.append((g, before, tc, prior))
         return hs
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """(T, B) codes to (T, B, tags)."""
-        f = self._lstm(x, "f")
-        b = self._lstm(x[::-1], "b")[::-1]
-        return np.concatenate([f, b], 2) @ self.p["O"] + self.p["c"]
+        """(T, B) codes to (T, tags, B)."""
+        o, h = self.p["O"].T, self.h
+        out = np.ascontiguousarray(o[:, :h]) @ self._lstm(x, "f")
+        out += np.ascontiguousarray(o[:, h:]) @ self._lstm(x[::-1], "b")[::-1]
+        out += self.p["c"][:, None]
+        return out
 
     # Training: exact gradients of the CRF's log-likelihood.
 
     def step(self, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients for codes, tags and mask, each (T, B)."""
         p, h = self.p, self.h
         t, b = x.shape
         kf: list = []
         kb: list = []
-        f = self._lstm(x, "f", kf)
-        bw = self._lstm(x[::-1], "b", kb)[::-1]
-        both = np.concatenate([f, bw], 2)
-        e = both @ p["O"] + p["c"]
-        k, tr = e.shape[2], p["T"]
-        lse = lambda z, ax: z.max(ax) + np.log(np.exp(z - z.max(ax, keepdims=True)).sum(ax))
-        alpha = np.empty_like(e)
-        beta = np.zeros_like(e)
-        alpha[0] = e[0] + p["S"]
+        both = np.concatenate([self._lstm(x, "f", kf), self._lstm(x[::-1], "b", kb)[::-1]], 1)
+        e = (p["O"].T @ both + p["c"][:, None]).astype(np.float64)
+        k, tr = e.shape[1], p["T"].astype(np.float64)
+        move, top = np.exp(tr - tr.max()), e.max(1, keepdims=True)
+        ee = np.exp(e - top)
+        # Forward and backward sums, scaled to 1 at each step; masked steps change nothing.
+        alpha, beta, z = np.empty_like(e), np.ones_like(e), np.ones((t, b))
+        alpha[0] = ee[0] * np.exp(p["S"].astype(np.float64))[:, None]
+        z[0] = alpha[0].sum(0)
+        alpha[0] /= z[0]
         for s in range(1, t):
-            a = lse(alpha[s - 1][:, :, None] + tr, 1) + e[s]
-            alpha[s] = np.where(m[s][:, None], a, alpha[s - 1])
-        for s in range(t - 2, -1, -1):
-            z = lse(tr + (e[s + 1] + beta[s + 1])[:, None, :], 2)
-            beta[s] = np.where(m[s + 1][:, None], z, beta[s + 1])
-        logz = lse(alpha[-1], 1)
-        marg = np.exp(alpha + beta - logz[None, :, None]) * m[:, :, None]
-        de = marg.copy()
+            a = move.T @ alpha[s - 1] * ee[s]
+            total = a.sum(0)
+            z[s] = np.where(m[s], total, 1)
+            alpha[s] = np.where(m[s], a / total, alpha[s - 1])
+        pair = np.zeros((k, k))
+        for s in range(t - 1, 0, -1):
+            w = ee[s] * beta[s] / z[s]
+            pair += (alpha[s - 1] * m[s]) @ w.T
+            beta[s - 1] = np.where(m[s], move @ w, beta[s])
+        marg = alpha * beta * m[:, None, :]
+        logz = ((np.log(z) + top[:, 0] + tr.max()) * m).sum(0) - tr.max()
         bi = np.arange(b)
-        gold = p["S"][y[0]] + e[0, bi, y[0]]
-        dtr, ds = np.zeros_like(tr), marg[0].sum(0)
-        np.subtract.at(ds, y[0], 1)
-        for s in range(t):
-            de[s, bi, y[s]] -= m[s]
-            if s:
-                on = m[s]
-                gold = gold + np.where(on, tr[y[s - 1], y[s]] + e[s, bi, y[s]], 0)
-                pair = np.exp(alpha[s - 1][:, :, None] + tr + (e[s] + beta[s])[:, None, :] - logz[:, None, None]) * on[:, None, None]
-                dtr += pair.sum(0)
-                np.subtract.at(dtr, (y[s - 1][on], y[s][on]), 1)
+        on = m[1:]
+        gold = p["S"][y[0]] + e[0, y[0], bi]
+        gold = gold + np.where(on, tr[y[:-1], y[1:]] + np.take_along_axis(e[1:], y[1:, None, :], 1)[:, 0], 0).sum(0)
         loss = float((logz - gold).mean())
-        de /= b
-        g = {"O": np.einsum("tbh,tbk->hk", both, de), "c": de.sum((0, 1)), "T": dtr / b, "S": ds / b, "E": np.zeros_like(p["E"])}
-        dboth = de @ p["O"].T
-        for d, keep, dh_all, xs in (("f", kf, dboth[:, :, :h], x), ("b", kb, dboth[::-1, :, h:], x[::-1])):
+        de = marg.copy()
+        np.put_along_axis(de, y[:, None, :], np.take_along_axis(de, y[:, None, :], 1) - m[:, None, :], 1)
+        ds = marg[0].sum(1) - np.bincount(y[0], minlength=k)
+        dtr = pair * move - np.bincount((y[:-1] * k + y[1:])[on], minlength=k * k).reshape(k, k)
+        de = (de / b).astype(both.dtype)
+        g = {"O": np.einsum("thb,tkb->hk", both, de, optimize=True), "c": de.sum((0, 2)), "T": (dtr / b).astype(both.dtype), "S": (ds / b).astype(both.dtype), "E": np.zeros_like(p["E"])}
+        dboth = p["O"] @ de
+        for d, keep, dh_all, xs in (("f", kf, dboth[:, :h], x), ("b", kb, dboth[::-1, h:], x[::-1])):
             u = p[f"U{d}"]
-            du, dgx = np.zeros_like(u), np.zeros((VOCAB, 4 * h), np.float32)
-            dh, dc = np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)
+            du, every = np.zeros((4 * h, h), both.dtype), np.empty((t, 4 * h, b), both.dtype)
+            dh, dc = np.zeros((h, b), both.dtype), np.zeros((h, b), both.dtype)
             for s in range(t - 1, -1, -1):
-                i, fg, o, n, before, tc, prior = keep[s]
+                q, before, tc, prior = keep[s]
+                i, fg, o, n = q[:h], q[h : 2 * h], q[2 * h : 3 * h], q[3 * h :]
                 dh = dh + dh_all[s]
                 dc = dc + dh * o * (1 - tc * tc)
-                dg = np.concatenate([dc * n * i * (1 - i), dc * before * fg * (1 - fg), dh * tc * o * (1 - o), dc * i * (1 - n * n)], 1)
-                du += prior.T @ dg
-                np.add.at(dgx, xs[s], dg)
-                dh, dc = dg @ u.T, dc * fg
-            g[f"U{d}"], g[f"W{d}"], g[f"B{d}"] = du, p["E"].T @ dgx, dgx.sum(0)
+                dg = every[s]
+                dg[:h], dg[h : 2 * h], dg[2 * h : 3 * h], dg[3 * h :] = dc * n * i * (1 - i), dc * before * fg * (1 - fg), dh * tc * o * (1 - o), dc * i * (1 - n * n)
+                du += dg @ prior.T
+                dh, dc = u @ dg, dc * fg
+            seen = np.zeros((t * b, VOCAB), both.dtype)
+            seen[np.arange(t * b), xs.ravel()] = 1
+            dgx = seen.T @ every.transpose(0, 2, 1).reshape(t * b, 4 * h)
+            g[f"U{d}"], g[f"W{d}"], g[f"B{d}"] = du.T, p["E"].T @ dgx, dgx.sum(0)
             g["E"] += dgx @ p[f"W{d}"].T
         return loss, g
 
-    def fit(self, data: list[tuple[np.ndarray, np.ndarray]], epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 2, report=None) -> Tagger:
-        """Adam over windows (codes, tags), batched by length."""
-        r = np.random.default_rng(seed)
+    def fit(self, shards: list[Callable[[int], list[tuple[np.ndarray, np.ndarray]]]], steps: int, rate: float = 4e-3, report=None) -> Tagger:
+        """Adam; each step sums the gradients of one batch a shard.
+
+        A shard makes its batch of windows (codes, tags) for a step number.
+        Several shards run in processes of their own, one a shard.
+        """
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        n, total = 0, epochs * (len(data) // batch + 1)
-        for ep in range(epochs):
-            order = sorted(range(len(data)), key=lambda k: len(data[k][0]) // 12 + r.random() * 0.9)
-            groups = [order[k : k + batch] for k in range(0, len(order), batch)]
-            r.shuffle(groups)
-            losses = []
-            for g in groups:
-                t = max(len(data[k][0]) for k in g)
-                x, y, m = np.full((t, len(g)), VOCAB - 1, np.int16), np.zeros((t, len(g)), np.int64), np.zeros((t, len(g)), bool)
-                for j, k in enumerate(g):
-                    a, z = data[k]
-                    x[: len(a), j], y[: len(a), j], m[: len(a), j] = a, z, True
-                loss, grad = self.step(x, y, m)
-                losses.append(loss)
-                n += 1
-                norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
-                lr = rate * min(1.0, n / 40) * (1 - 0.9 * n / total)
-                for k, v in grad.items():
-                    v = v * min(1.0, 5.0 / (norm + 1e-9))
-                    m1[k] = 0.9 * m1[k] + 0.1 * v
-                    m2[k] = 0.999 * m2[k] + 0.001 * v * v
-                    self.p[k] = (self.p[k] - lr * (m1[k] / (1 - 0.9**n)) / (np.sqrt(m2[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
-            if report:
-                report(ep, float(np.mean(losses)))
+        pipes, crew = [], []
+        if len(shards) > 1:
+            ctx = multiprocessing.get_context("fork")
+            for s in shards:
+                here, there = ctx.Pipe()
+                w = ctx.Process(target=_serve, args=(self.h, s, there), daemon=True)
+                w.start()
+                pipes.append(here)
+                crew.append(w)
+        losses: list[float] = []
+        for n in range(1, steps + 1):
+            if pipes:
+                for q in pipes:
+                    q.send((n, self.p))
+                got = [q.recv() for q in pipes]
+            else:
+                got = [self.step(*padded(shards[0](n)))]
+            losses.append(sum(x[0] for x in got) / len(got))
+            grad = {k: sum(x[1][k] for x in got) / len(got) for k in self.p}
+            norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
+            lr = rate * min(1.0, n / 40) * (1 - 0.95 * n / steps)
+            for k, v in grad.items():
+                v = v * min(1.0, 5.0 / (norm + 1e-9))
+                m1[k] = 0.9 * m1[k] + 0.1 * v
+                m2[k] = 0.999 * m2[k] + 0.001 * v * v
+                self.p[k] = (self.p[k] - lr * (m1[k] / (1 - 0.9**n)) / (np.sqrt(m2[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
+            if report and (n % 100 == 0 or n == steps):
+                report(n, float(np.mean(losses[-100:])))
+        for q, w in zip(pipes, crew, strict=True):
+            q.send(None)
+            w.join()
+        self.losses = losses
         return self
 
     def save(self, path: str = MODEL) -> None:
@@ -233,45 +279,96 @@ class Tagger:
 
     # Decoding.
 
-    def emissions(self, views: list[np.ndarray]) -> list[np.ndarray]:
-        """Blended scores for each stretch of codes, from overlapping windows."""
-        jobs = []  # (stretch, start, end)
-        for k, v in enumerate(views):
-            s = 0
-            while True:
-                jobs.append((k, s, min(len(v), s + WINDOW)))
-                if s + WINDOW >= len(v):
-                    break
-                s += STRIDE
-        out = [np.zeros((len(v), len(TAGS)), np.float32) for v in views]
-        weight = [np.zeros(len(v), np.float32) for v in views]
-        jobs.sort(key=lambda j: j[2] - j[1])
-        for g in range(0, len(jobs), BATCH):
-            part = jobs[g : g + BATCH]
-            t = part[-1][2] - part[-1][1]
-            x = np.full((t, len(part)), VOCAB - 1, np.int16)
-            for j, (k, s, e) in enumerate(part):
-                x[: e - s, j] = views[k][s:e]
+    def emissions(self, view: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Blended scores of stretches, from overlapping windows, and which
+        characters may get a tag.
+
+        ``view`` holds the stretches' codes one after the other, ``sizes``
+        their lengths. Every window is scored; of stretches of one window only
+        those come out in which some character may get a tag (see most).
+        """
+        starts = np.cumsum(sizes) - sizes
+        many = np.maximum(1, -((WINDOW - sizes) // STRIDE) + 1)
+        many = np.where(sizes <= WINDOW, 1, many)
+        owner = np.repeat(np.arange(len(sizes)), many)
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        at = rank * STRIDE
+        size = np.minimum(sizes[owner] - at, WINDOW)
+        order = np.argsort(size, kind="stable")
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        open_ = np.zeros(len(sizes), bool)
+        for g in range(0, len(order), BATCH):
+            part = order[g : g + BATCH]
+            t = int(size[part[-1]])
+            step = np.arange(t)[:, None]
+            inside = step < size[part]
+            x = np.where(inside, view[np.minimum(starts[owner[part]] + at[part] + step, len(view) - 1)], 97)
             sc = self.scores(x)
-            for j, (k, s, e) in enumerate(part):
-                n = e - s
-                w = np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)).astype(np.float32)
-                if s == 0:
-                    w[: n // 2] = n
-                if e == len(views[k]):
-                    w[n // 2 :] = n
-                out[k][s:e] += sc[:n, j] * w[:, None]
-                weight[k][s:e] += w
-        return [o / w[:, None] for o, w in zip(out, weight, strict=True)]
+            several = many[owner[part]] > 1
+            may = self.most(sc, inside) >= 0
+            hot = may.any(0) | several
+            open_[owner[part[hot]]] = True
+            for c in np.flatnonzero(hot):
+                n = size[part[c]]
+                kept[int(part[c])] = sc[:n, :, c].copy(), may[:n, c].copy()
+        first = np.cumsum(many) - many
+        out = {}
+        for k in np.flatnonzero(open_):
+            n, w = int(sizes[k]), int(first[k])
+            if many[k] == 1:
+                out[int(k)] = kept[w]
+                continue
+            total, weight = np.zeros((n, len(TAGS)), np.float32), np.zeros(n, np.float32)
+            for j in range(w, w + int(many[k])):
+                a, z = int(at[j]), int(at[j] + size[j])
+                v = np.minimum(np.arange(1, z - a + 1), np.arange(z - a, 0, -1)).astype(np.float32)
+                if a == 0:
+                    v[: (z - a) // 2] = z - a
+                if z == n:
+                    v[(z - a) // 2 :] = z - a
+                total[a:z] += kept[j][0] * v[:, None]
+                weight[a:z] += v
+            total /= weight[:, None]
+            out[int(k)] = total, self.most(total[:, :, None])[:, 0] >= 0
+        return out
+
+    def most(self, scores: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """An upper bound, for each cell of (T, B), of what a run of tags but O
+        that holds it can gain over staying with O; scores are (T, tags, B)."""
+        tr, st = self.p["T"] - self.p["T"][0, 0], self.p["S"] - self.p["S"][0]
+        lead = scores[:, 1:] - scores[:, :1]
+        enter = (lead + tr[0, 1:, None]).max(1)
+        enter[0] = np.maximum(enter[0], (lead[0] + st[1:, None]).max(0))
+        go_on = (lead + tr[1:, 1:].max(0)[:, None]).max(1)
+        if inside is not None:
+            enter, go_on = np.where(inside, enter, -1e6), np.where(inside, go_on, -1e6)
+        return best_through(enter, go_on) + max(0.0, float(tr[1:, 0].max()))
+
+    def tags(self, scores: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The best tags of each stretch. Only intervals that may hold tags but
+        O are searched, each with a certain O at either side."""
+        out, parts, places = [], [], []
+        for j, (s, may) in enumerate(scores):
+            out.append(np.zeros(len(s), np.int8))
+            edge = np.flatnonzero(np.diff(np.r_[False, may, False]))
+            for a, z in zip(edge[::2], edge[1::2], strict=True):
+                lo, hi = max(0, a - 1), min(len(s), z + 1)
+                e = s[lo:hi].copy()
+                if lo < a:
+                    e[0, 1:] = -1e6
+                if hi > z:
+                    e[-1, 1:] = -1e6
+                parts.append(e)
+                places.append((j, lo, hi))
+        for (j, lo, hi), got in zip(places, self.viterbi(parts), strict=True):
+            out[j][lo:hi] = np.where(got > 0, got, out[j][lo:hi])
+        return out
 
     def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """Best tags of each stretch; stretches of like length run together."""
         out: list[np.ndarray] = [np.zeros(len(s), np.int8) for s in scores]
         tr, k = self.p["T"], len(TAGS)
-        # Each tag but O costs at least its lead over O, and changes at most two
-        # transitions and the start: where that can't pay anywhere, all is O.
-        gain = 2 * max(0.0, float(tr.max() - tr[0, 0])) + max(0.0, float(self.p["S"].max() - self.p["S"][0]))
-        order = [j for j, s in enumerate(scores) if len(s) and float((s[:, 1:].max(1) - s[:, 0]).max()) + gain >= 0]
+        order = [j for j, s in enumerate(scores) if len(s)]
         order.sort(key=lambda j: len(scores[j]))
         while order:  # the longest first, at most CELLS cells at once
             n = min(BATCH, max(1, CELLS // max(1, len(scores[order[-1]]))))
@@ -301,11 +398,19 @@ class Tagger:
         return out
 
 
+def best_through(enter: np.ndarray, go_on: np.ndarray) -> np.ndarray:
+    """For each cell of (T, B), the most that a run down the column can gain
+    which holds it: ``enter`` at its first cell, ``go_on`` at the others."""
+    c = np.cumsum(go_on, 0, dtype=np.float64)
+    ahead = np.maximum.accumulate(c[::-1], 0)[::-1] - c
+    return c + np.maximum.accumulate(enter - c, 0) + ahead
+
+
 _FORM = {
-    "email": re.compile(r"[\w.+-]+(?:\s?@\s?|\s?[(\[] ?at ?[)\]]\s?| at )[\w-]+", re.I),
+    "email": re.compile(r".*[\w)\]](?:\s?@\s?|\s?[(\[<{] ?(?:at|arroba|a) ?[)\]>}]\s?| at | arroba )[\w-]", re.I | re.S),
     "phone": re.compile(r"[+(]?\d[\d ()./-]{5,}"),
     "id_number": re.compile(r"[A-Z]{0,3}[ -]?\d[\d -]{4,}", re.I),
-    "name": re.compile(r"[A-Za-z\x01\x03][A-Za-z\x01\x03'. \n-]*(?:,[A-Za-z\x01\x03'. \n-]+)?$"),
+    "name": re.compile(r"[A-Za-z\x01\x03-\x05][A-Za-z\x01\x03-\x05'. \n-]*(?:,[A-Za-z\x01\x03-\x05'. \n-]+)?$"),
     "address": re.compile(r".*\d", re.S),
 }
 
@@ -316,7 +421,7 @@ _EDGE = {
     "phone": re.compile(r"(?:[+(]?\d[\d ()./-]{0,12})?[+(\d]*$"),
     "id_number": re.compile(r"(?:(?<![A-Za-z\d])[A-Z]{0,2}[ -]?(?:\d{2,3}[ -]){0,3})?[A-Za-z\d]*$"),
     "address": re.compile(rf"(?:(?:\d{{1,4}}[a-c]?(?: bis)?,? )?(?:(?i:{_STREET_WORD}|calle|c/|avda\.|avenida|plaza|paseo|camino) )?(?:(?:de|del|du|des|la|las|los|l') ?){{0,2}})?[A-Za-z\d'-]*$"),
-    "name": re.compile(r"[A-Za-z\x01'-]*$"),
+    "name": re.compile(r"[A-Za-z\x01\x04'-]*$"),
 }
 
 
@@ -337,12 +442,18 @@ def spans_of(view: str, start: int, tags: np.ndarray) -> list[tuple[int, int, st
     out = []
     for a, z, kind in got:
         a -= len(_EDGE[kind].search(view[max(0, a - 40) : a])[0])
-        tail = re.compile({"email": r"[\w.-]*", "phone": r"\d*", "id_number": r"[A-Za-z\d]*", "address": r"[A-Za-z\d]*", "name": r"[A-Za-z\x01'-]*"}[kind]).match(view, z)
+        tail = re.compile({"email": r"[\w.-]*", "phone": r"\d*", "id_number": r"[A-Za-z\d]*", "address": r"[A-Za-z\d]*", "name": r"[A-Za-z\x01\x04'-]*"}[kind]).match(view, z)
         z = tail.end()
         while a < z and view[a] in " ,;:.\n-\"'":
             a += 1
         while z > a and view[z - 1] in " ,;:\n-\"'(":
             z -= 1
+        if kind == "email":
+            # No address runs over a line end, and none starts with its own separator.
+            line = next(((a + m.start(), a + m.end()) for m in re.finditer(r"[^\n]+", view[a:z]) if _FORM["email"].match(m[0])), (a, z))
+            a, z = line
+            if re.match(r"(?i)[(\[ ]*(?:dot|punto|at|arroba)\b", view[a:z]):
+                a -= len(re.search(r"(?:[\w+-]+[\s.]*)?$", view[max(0, a - 40) : a])[0])
         s = view[a:z]
         digits = sum(c.isdigit() for c in s)
         if kind == "name":
@@ -350,10 +461,8 @@ def spans_of(view: str, start: int, tags: np.ndarray) -> list[tuple[int, int, st
             if title:
                 a, s = a + title.end(), s[title.end():]
             # Two words, but for scripts without blanks.
-            if s.count("\x03") < 2 and sum(len(w) > 1 for w in re.findall(r"[A-Za-z\x01'-]+", s)) < 2:
+            if s.count("\x03") + s.count("\x05") < 2 and sum(len(w) > 1 for w in re.findall(r"[A-Za-z\x01\x04'-]+", s)) < 2:
                 continue
-        if kind == "address" and not _STREETS.search(s) and sum(any(c.isupper() for c in w) for w in re.findall(r"[A-Za-z\x01'-]{2,}", s)) < 2:
-            continue
         if kind == "phone" and _DATE.fullmatch(s):
             continue
         ok = bool(_FORM[kind].match(s)) and {"email": len(s) > 5, "phone": 7 <= digits <= 15, "id_number": digits >= 6, "name": digits == 0, "address": digits >= 1 and len(s) > 6}[kind]
@@ -365,27 +474,43 @@ def spans_of(view: str, start: int, tags: np.ndarray) -> list[tuple[int, int, st
 def find(texts: list[str | None], tagger: Tagger, table: Folds) -> list[list[tuple[int, int, str]]]:
     """For each text its spans (start, end, type) in stored positions."""
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    jobs, views, maps = [], [], {}
+    jobs, views, maps = [], [], []
     for k, t in enumerate(texts):
-        if not t:
-            continue
-        view, at = folded(t, table)
-        if not view:
-            continue
-        maps[k] = (view, at)
-        jobs.append(k)
-        views.append(codes(view))
+        if t:
+            view, at = folded(t, table)
+            if view:
+                jobs.append(k)
+                views.append(view)
+                maps.append(at)
     if not jobs:
         return found
-    for k, tags in zip(jobs, tagger.viterbi(tagger.emissions(views)), strict=True):
+    some = tagger.emissions(codes("".join(views)), np.array([len(v) for v in views]))
+    for j, tags in zip(some, tagger.tags(list(some.values())), strict=True):
         if not tags.any():
             continue
-        view, at = maps[k]
-        for s, e, kind in spans_of(view, 0, tags):
-            found[k].append((s, e, kind) if at is None else (int(at[s]), int(at[e - 1]) + 1, kind))
+        at = maps[j]
+        for s, e, kind in spans_of(views[j], 0, tags):
+            found[jobs[j]].append((s, e, kind) if at is None else (int(at[s]), int(at[e - 1]) + 1, kind))
     return found
 
 
+def padded(windows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, tags and mask of windows, each (T, B)."""
+    t = max(len(a) for a, _ in windows)
+    x, y, m = np.full((t, len(windows)), 97, np.int64), np.zeros((t, len(windows)), np.int64), np.zeros((t, len(windows)), bool)
+    for j, (a, z) in enumerate(windows):
+        x[: len(a), j], y[: len(a), j], m[: len(a), j] = a, z, True
+    return x, y, m
+
+
+def _serve(hidden: int, shard: Callable, pipe) -> None:
+    one_thread()
+    tagger = Tagger(hidden)
+    while (job := pipe.recv()) is not None:
+        n, tagger.p = job
+        pipe.send(tagger.step(*padded(shard(n))))
+
+
 def training_windows(examples: list[tuple[str, list[tuple[int, int, str]]]], table: Folds) -> list[tuple[np.ndarray, np.ndarray]]:
     """Windows of labelled texts, with a tag a character."""
     number = {t: k for k, t in enumerate(TYPES)}
@@ -402,45 +527,69 @@ def training_windows(examples: list[tuple[str, list[tuple[int, int, str]]]], tab
         c = codes(view)
         for s in range(0, max(1, len(view) - WINDOW + STRIDE), STRIDE):
             e = min(len(view), s + WINDOW)
-            if e - s > 4:
+            if e - s > 1:
                 out.append((c[s:e], tags[s:e]))
     return out
 
 
-def plain_pieces(texts: list[str], table: Folds | None = None) -> list[str]:
-    """Sentences of ``texts`` that hardly hold anything personal: no mail sign,
-    no surface of a number or address as in pii_training, no given name."""
+def plain_pieces(texts: list[str], table: Folds | None = None, longest: int = 400) -> list[str]:
+    """Runs of sentences of ``texts``, as they stand, that hardly hold anything
+    personal: no mail sign, no surface of a number or address as in
+    pii_training, no given name."""
     from .pii_training import GIVEN
 
     table, names, out = table or Folds(), {g.lower() for g in GIVEN}, []
     for t in texts:
-        for piece in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", t):
-            if not (20 if piece.isascii() else 5) < len(piece) < 200:
-                continue
+        run = ""
+        for piece in re.split(r"(?<=[.!?])(?=\s)|(?<=[。！？])|(?<=\n)", t):
             view, _ = folded(piece, table)
-            if _MAIL.search(view.lower()) or _SURE.search(view):
-                continue
-            if not {w.lower() for w in re.findall(r"[A-Za-z]+", view)} & names:
-                out.append(piece)
-    return out
+            bad = _MAIL.search(view.lower()) or _SURE.search(view) or {w.lower() for w in re.findall(r"[A-Za-z]+", view)} & names
+            if bad or len(run) + len(piece) > longest:
+                out.append(run.strip())
+                run = ""
+            if not bad and len(piece) <= longest:
+                run += piece
+        out.append(run.strip())
+    return [x for x in out if len(x) > (12 if x.isascii() else 4)]
 
 
-def train(examples: int = 6000, epochs: int = 6, seed: int = 3, background: list[str] | None = None, report=None, start: Tagger | None = None, rate: float = 4e-3) -> Tagger:
-    """A tagger from ``examples`` composed texts (see pii_training).
+def composed(seed: int, background: list[str], batch: int = 96, pool: int = 8) -> Callable[[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """A shard for Tagger.fit: new composed texts at every step.
 
-    ``background``: texts without personal information to mix in, a bounded
-    sample; those with a surface that might be personal are left out.
-    ``start``: a tagger to go on from, at a lower ``rate``.
+    ``pool`` batches are made at a time and cut by length, so that a batch has
+    little padding; shards take like lengths at the same step.
     """
     from .pii_training import example
 
-    rng = random.Random(seed)
     table = Folds()
-    return (start or Tagger()).fit(training_windows([example(rng, background or []) for _ in range(examples)], table), epochs, rate=rate, report=report)
+    ready: list[list[tuple[np.ndarray, np.ndarray]]] = []
+
+    def make(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        nonlocal ready
+        block, k = divmod(n - 1, pool)
+        if not k:
+            r = random.Random(seed * 1_000_003 + block)
+            some = sorted(training_windows([example(r, background) for _ in range(batch * pool)], table), key=lambda w: len(w[0]))
+            ready = [some[len(some) * j // pool : len(some) * (j + 1) // pool] for j in range(pool)]
+            random.Random(block).shuffle(ready)
+        return ready[k]
+
+    return make
+
+
+def train(steps: int, seed: int = 3, background: list[str] | None = None, report=None, start: Tagger | None = None, rate: float = 4e-3, processes: int = 1, hidden: int = HIDDEN) -> Tagger:
+    """A tagger from composed texts (see pii_training), new ones at each step.
+
+    ``background``: texts without personal information to mix in, a bounded
+    sample; those with a surface that might be personal are left out.
+    ``start``: a tagger to go on from, at a lower ``rate``.
+    """
+    return (start or Tagger(hidden)).fit([composed(seed + 101 * k, background or []) for k in range(processes)], steps, rate=rate, report=report)
 
 
 def _run(weights: dict[str, np.ndarray], replace: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         tagger = Tagger(weights["Uf"].shape[0])
         tagger.p = weights
         table = Folds()
