@@ -28,3 +28,16 @@ def test_partitioning_does_not_matter(spark, data, n):
     a, b = (sorted(map(repr, keep_one_delivery(x).collect())) for x in (df.coalesce(1), df.repartition(n)))
     assert a == b
     assert len(a) == len({i for i, _, _ in data if i})
+
+
+def test_both_ways_of_joining_agree(rows):
+    df = rows([("a", 5, "x"), ("a", 3, "y"), ("b", None, "q"), ("c", 1, "n"), ("c", 1, "n"), ("c", 1, "m"), (None, 1, "n")], SCHEMA)
+    a, b = (sorted(map(tuple, keep_one_delivery(df, broadcast_ids=n).collect())) for n in (0, 100))
+    assert a == b == [("a", 3, "y", 2), ("b", None, "q", 1), ("c", 1, "m", 3)]
+
+
+def test_no_sort_aggregation_of_single_copies(rows):
+    """The choice of ids with several copies hashes; only tied rows are sorted."""
+    df = rows([("a", 5, "x"), ("b", 3, "y"), ("b", 3, "z")], SCHEMA)
+    plan = keep_one_delivery(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "LeftAnti" in plan

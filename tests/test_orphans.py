@@ -52,3 +52,14 @@ def test_by_month_and_empty(rows):
     got = {(r["target_table"], r["month"], r["kind"], r["n_references"], r["n_targets"]) for r in orphans.orphans_by_month(orphans.forum_orphans(none, comments)).collect()}
     assert got == {("posts", "2023-11", "missing", 1, 1), ("posts", "unknown", "missing", 1, 1)}
     assert orphans.forum_orphans(none, rows([], COMMENT)).count() == 0
+
+
+def test_undeclared_mask_fails(rows):
+    """A reference whose null mask was not declared stops the job instead of vanishing."""
+    import pytest
+
+    refs = rows([(1, "a", "b"), (2, "a", None), (3, None, "b")], "n int, x string, y string")
+    targets = rows([("a", "b")], "x string, y string")
+    assert orphans.resolve_references(refs, targets, ["x", "y"]).count() == 3
+    with pytest.raises(Exception, match="undeclared null mask"):
+        orphans.resolve_references(refs, targets, ["x", "y"], masks=[0b10]).collect()

@@ -31,6 +31,23 @@ def test_pages_loses_no_boundary_second():
         list(forum_api.pages(lambda a, b: [{"id": "x", "created_utc": "soon"}], 1, 9, 7))
 
 
+def test_a_second_that_fills_pages():
+    """The other end of a full second comes from a descending query; if both ends don't meet, the read fails."""
+    def api(n):
+        all_ = [{"id": f"x{k:02d}", "created_utc": 500} for k in range(n)] + [{"id": "z", "created_utc": 900}]
+        asc = lambda a, b: [r for r in all_ if a <= r["created_utc"] < b][:7]
+        desc = lambda a, b: [r for r in all_ if a <= r["created_utc"] < b][::-1][:7]
+        return all_, asc, desc
+
+    all_, asc, desc = api(12)
+    assert sorted(r["id"] for r in forum_api.pages(asc, 500, 1000, 7, fetch_newest=desc)) == sorted(r["id"] for r in all_)
+    all_, asc, desc = api(20)
+    with pytest.raises(ValueError, match="more records"):
+        list(forum_api.pages(asc, 500, 1000, 7, fetch_newest=desc))
+    with pytest.raises(ValueError, match="more records"):
+        list(forum_api.pages(asc, 500, 1000, 7))
+
+
 def test_items_and_waits():
     assert forum_api.items_of({"data": [{"a": 1}, 3]}) == [{"a": 1}] == forum_api.items_of([{"a": 1}, None])
     for bad in (3, {"data": 5}):

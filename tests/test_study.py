@@ -151,3 +151,22 @@ def test_extractor_lines(rows, spark):
 def test_user_prompt(rows):
     df = rows([("r", "s", "d", "m", " c\n d ")], "record_id string, subreddit string, date string, message string, context string")
     assert df.select(records.user_prompt(F.col("context"))).first()[0] == "record_id: r\nsubreddit: s\ndate: d\n<thread_context>\nc d\n</thread_context>\n<focal_text>\nm\n</focal_text>"
+
+
+def test_recall_takes_the_first_matching_copy(rows):
+    """A record whose first copy has no match is recalled with its second."""
+    copies = rows([("1a", "1", 10, "nothing here"), ("1b", "1", 20, "took drugab twice"), ("2a", "2", None, "drugab"), ("2b", "2", 5, "drugab again"), ("3a", "3", 1, None), ("2b", "2", 5, "drugab again")], "doc_id string, id string, retrieved_on long, text string")
+    got = {r["id"]: (r["text"], len(r["drug_match_details"]), r["n_copies"]) for r in recall.recalled_once(copies, {"drugab": ["drugab"]}).collect()}
+    assert got == {"1": ("took drugab twice", 1, 1), "2": ("drugab again", 1, 3)}
+    assert recall.recalled_once(copies.where("false"), {"drugab": ["drugab"]}).count() == 0
+    s = recall.scan_stats(copies, recall.recalled_once(copies, {"drugab": ["drugab"]})).first().asDict()
+    assert s == {"n_rows": 6, "n_records": 3, "n_recalled": 2}
+
+
+def test_last_line_of_a_term_wins(spark, tmp_path):
+    """Also if its code is the smaller one."""
+    from vigilmill.sources import readers
+
+    (tmp_path / "pt.asc").write_text("200$Dry mouth$x\n100$DRY MOUTH$y\n300$Rash\n", encoding="latin-1")
+    got = {r["pt_key"]: (r["pt_code"], r["pt_term"]) for r in extractions.terms(readers.term_dictionary(spark, str(tmp_path / "pt.asc"))).collect()}
+    assert got == {"dry mouth": (100, "DRY MOUTH"), "rash": (300, "Rash")}

@@ -68,3 +68,11 @@ def test_osa(spark, pairs):
         longest = max(len(r["a"]), len(r["b"]))
         if longest and 1 - want / longest >= 0.8:
             assert r["c"] == want
+
+
+def test_author_hash_ignores_case(rows):
+    from vigilmill.functions.ids import author_hash
+
+    df = rows([("Ann",), ("aNN ",), ("bo",), ("[Deleted]",), (None,), ("",)], "a string")
+    got = [r[0] for r in df.select(author_hash(F.col("a"), b"salt")).collect()]
+    assert got[0] == got[1] != got[2] and len(got[0]) == 32 and got[3:] == ["", "", ""]

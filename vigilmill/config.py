@@ -19,6 +19,8 @@ OUTCOMES = ["resolved", "improving", "ongoing", "worsening", "unknown"]
 
 #: Alias and target lists are collected to the driver; a longer one is refused.
 MOST_TARGETS = 10_000
+#: Terms of a dictionary that every task may hold (about 100 bytes each).
+MOST_TERMS = 500_000
 
 NOTICE = "Counts are self-reported mentions: no incidence rates, and no evidence of causation."
 

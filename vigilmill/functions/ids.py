@@ -55,8 +55,8 @@ def hmac_sha256(text: Column, salt: bytes) -> Column:
 
 
 def author_hash(author: Column, salt: bytes) -> Column:
-    """32 hex digits for an author; empty for missing or deleted ones."""
+    """32 hex digits for an author, case ignored; empty for missing or deleted ones."""
     from .text import squeeze
 
-    a = squeeze(author)
-    return F.when((a == "") | F.lower(a).isin("[deleted]", "deleted"), F.lit("")).otherwise(F.substring(hmac_sha256(a, salt), 1, 32))
+    a = F.lower(squeeze(author))
+    return F.when(a.isin("", "[deleted]", "deleted"), F.lit("")).otherwise(F.substring(hmac_sha256(a, salt), 1, 32))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import MOST_TARGETS, OUTCOMES
+from ..config import MOST_TERMS, OUTCOMES
 from ..functions.ids import bare_id
 from ..functions.text import squeeze
 from ..session import Scratch
@@ -75,17 +75,23 @@ def normal_events(answers: FlatAnswers, targets: list[str]) -> DataFrame:
 
 
 def terms(dictionary: DataFrame) -> DataFrame:
-    """``pt_key, pt_code, pt_term``: one row per term, case ignored; the last
-    code wins where a term occurs again."""
-    d = dictionary.where("pt_term is not null").select(F.lower(squeeze(F.col("pt_term"))).alias("pt_key"), "pt_code", F.trim("pt_term").alias("pt_term"))
-    return d.groupBy("pt_key").agg(F.max(F.struct("pt_code", "pt_term")).alias("t")).select("pt_key", "t.pt_code", "t.pt_term")
+    """``pt_key, pt_code, pt_term``: one row per term, case ignored.
+
+    Where a term occurs again the last line wins, by the reader's ``_file``
+    and ``_pos``. A table without them has no line order: there the greatest
+    code wins.
+    """
+    order = [c for c in ("_file", "_pos") if c in dictionary.columns]
+    d = dictionary.where("pt_term is not null").select(F.lower(squeeze(F.col("pt_term"))).alias("pt_key"), F.struct(*order, "pt_code", F.trim("pt_term").alias("pt_term")).alias("t"))
+    return d.groupBy("pt_key").agg(F.max("t").alias("t")).select("pt_key", "t.pt_code", "t.pt_term")
 
 
-def term_names(dictionary: DataFrame) -> list[str]:
-    """All terms in lower case; a dictionary beyond MOST_TARGETS is refused."""
-    rows = terms(dictionary).select("pt_key").limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} terms")
+def term_names(dictionary: DataFrame, most: int = MOST_TERMS) -> list[str]:
+    """All terms in lower case, for a matcher in every task; a dictionary of
+    more than ``most`` terms is refused."""
+    rows = terms(dictionary).select("pt_key").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
     return sorted(r[0] for r in rows if r[0])
 
 
@@ -158,12 +164,28 @@ def keyword_extractor(targets: dict[str, list[str]], symptoms: list[str]) -> Ext
     import re
 
     drugs = [(d, re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, names)) + r")(?![a-z0-9])", re.I)) for d, names in targets.items()]
-    signs = [(s, re.compile(rf"\b{re.escape(s)}\b", re.I)) for s in symptoms]
+    words = re.compile(r"\w+")
+    # Terms by their words, so that one pass over a text finds any number of them.
+    signs: dict[tuple[str, ...], str] = {}
+    for s in symptoms:
+        signs.setdefault(tuple(words.findall(s.lower())), s)
+    signs.pop((), None)
+    sizes = sorted({len(k) for k in signs})
+
+    def signs_in(text: str) -> Iterator[tuple[str, str]]:
+        at = [(m.start(), m.end(), m[0].lower()) for m in words.finditer(text)]
+        seen = set()
+        for i in range(len(at)):
+            for n in sizes:
+                s = signs.get(tuple(w for _, _, w in at[i : i + n])) if i + n <= len(at) else None
+                if s and s not in seen:
+                    seen.add(s)
+                    yield s, text[at[i][0] : at[i + n - 1][1]]
 
     def run(row: dict) -> str:
         text = row["message"] or ""
         own = [d for d, p in drugs if p.search(text)]
-        events = [{"original_expression": m[0], "meddra_pt": s, "meddra_pt_zh": "", "onset": "", "severity": "", "outcome": "unknown", "confidence": 0.5} for s, p in signs if (m := p.search(text))]
+        events = [{"original_expression": x, "meddra_pt": s, "meddra_pt_zh": "", "onset": "", "severity": "", "outcome": "unknown", "confidence": 0.5} for s, x in signs_in(text)]
         return json.dumps({"regimens": [{"drugs": own, "adverse_events": events}]} if own else {"regimens": []}, ensure_ascii=False)
 
     return run

@@ -36,8 +36,12 @@ def resolve_references(refs: DataFrame, targets: DataFrame, keys: list[str], pay
     each mask's columns first, so no reference row multiplies; where partial
     keys hit several targets, each payload column is the smallest value.
 
-    ``masks`` limits the masks that get a join to those that can occur (a
-    statement about the data model; other masks raise at run time).
+    ``masks`` limits the masks that get a join to those that can occur: a
+    statement about the data model. A reference of another mask fails the job,
+    so none is lost.
+
+    Each mask has an anti-join for what is missing and an inner join for what
+    is found, on the same shuffled sides, which Spark computes once.
 
     Cases: null keys as declared above; repeated references stay repeated;
     empty ``refs`` or ``targets`` give no rows or all ``missing``; columns of
@@ -51,13 +55,16 @@ def resolve_references(refs: DataFrame, targets: DataFrame, keys: list[str], pay
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(f"unknown match semantics: {match}")
-    mask, hit = free_name("_mask", refs.columns), free_name("_hit", [*refs.columns, *targets.columns])
+    mask = free_name("_mask", refs.columns)
     status = free_name("ref_status", refs.columns)
     out = {p: free_name(p, [*refs.columns, status]) for p in payload}
     inner = {p: f"_p{i}" for i, p in enumerate(payload)}
     n, every = len(keys), (1 << len(keys)) - 1
     wanted = sorted(masks if masks is not None else {sum(b << i for i, b in enumerate(bits)) for bits in product((0, 1), repeat=n)})
     tagged = refs.withColumn(mask, null_mask(keys))
+    if masks is not None:
+        known = F.col(mask).isin(wanted)
+        tagged = tagged.withColumn(mask, F.when(known, F.col(mask)).otherwise(F.raise_error(F.concat(F.lit("a reference has the undeclared null mask "), F.col(mask).cast("string"))).cast("int")))
     none = [F.lit(None).cast(targets.schema[p].dataType).alias(out[p]) for p in payload]
     parts = []
     for m in wanted:
@@ -69,10 +76,11 @@ def resolve_references(refs: DataFrame, targets: DataFrame, keys: list[str], pay
             continue
         names = {k: f"_t{i}" for i, k in enumerate(on)}
         side = targets.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])).select(*[F.col(k).alias(names[k]) for k in on], *[F.col(p).alias(inner[p]) for p in payload])
-        side = side.groupBy(*names.values()).agg(F.count(F.lit(1)).alias(hit), *[F.min(p).alias(p) for p in inner.values()])
+        side = side.groupBy(*names.values()).agg(*[F.min(p).alias(p) for p in inner.values()]) if payload else side.distinct()
         cond = reduce(lambda a, b: a & b, [own[k] == side[names[k]] for k in on])
-        got = own.join(side, cond, "left")
-        parts.append(got.select(*[own[c] for c in own.columns], F.when(side[hit].isNull(), F.lit("missing")).otherwise(F.lit("found")).alias(status), *[side[inner[p]].alias(out[p]) for p in payload]))
+        parts.append(own.join(side, cond, "left_anti").select("*", F.lit("missing").alias(status), *none))
+        got = own.join(side, cond)
+        parts.append(got.select(*[own[c] for c in own.columns], F.lit("found").alias(status), *[side[inner[p]].alias(out[p]) for p in payload]))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -97,10 +105,9 @@ def forum_orphans(posts: DataFrame, comments: DataFrame) -> DataFrame:
     refs = comment_references(comments).withColumnRenamed("target_comment_id", "ref_comment_id").withColumnRenamed("post_id", "ref_post_id").withColumnRenamed("first_on", "own_first_on")
     p, c = delivery_state(posts, "selftext"), delivery_state(comments, "body")
     none = F.lit(None).cast("string")
-    # The two masks read disjoint targets; giving each join its own table spares the union.
-    by_post = resolve_references(refs.where(F.col("ref_post_id").isNotNull()), p.select(F.col("id").alias("ref_post_id"), none.alias("ref_comment_id"), "first_on", F.col("withdrawn").cast("int").alias("withdrawn")), ["ref_post_id", "ref_comment_id"], ["first_on", "withdrawn"], masks=[0b10])
-    by_comment = resolve_references(refs.where(F.col("ref_comment_id").isNotNull()), c.select(none.alias("ref_post_id"), F.col("id").alias("ref_comment_id"), "first_on", F.col("withdrawn").cast("int").alias("withdrawn")), ["ref_post_id", "ref_comment_id"], ["first_on", "withdrawn"], masks=[0b01])
-    every = by_post.unionByName(by_comment)
+    withdrawn = F.col("withdrawn").cast("int").alias("withdrawn")
+    targets = p.select(F.col("id").alias("ref_post_id"), none.alias("ref_comment_id"), "first_on", withdrawn).unionByName(c.select(none.alias("ref_post_id"), F.col("id").alias("ref_comment_id"), "first_on", withdrawn))
+    every = resolve_references(refs, targets, ["ref_post_id", "ref_comment_id"], ["first_on", "withdrawn"], masks=[0b01, 0b10])
     kind = F.when(F.col("ref_status") == "missing", F.lit("missing")).when(F.col("withdrawn") == 1, F.lit("deleted")).when(F.col("first_on") > F.col("own_first_on"), F.lit("late"))
     table = F.when(F.col("ref_post_id").isNotNull(), F.lit("posts")).otherwise(F.lit("comments"))
     return every.select("comment_id", "ref_field", table.alias("target_table"), F.coalesce("ref_post_id", "ref_comment_id").alias("target"), kind.alias("kind"), F.col("own_first_on").alias("first_on")).where(F.col("kind").isNotNull())

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..config import CLASS_TERMS, FUZZY_MIN_LENGTH, FUZZY_SIMILARITY, MOST_TARGETS
 from ..functions.osa import close_distance, similarity
 from ..functions.text import half_even
+from ..session import Scratch
+from .dedup import keep_one_delivery
 
 MATCH = "canonical_drug string, matched_text string, matched_alias string, match_type string, edit_distance int, similarity double"
 
@@ -67,6 +69,9 @@ def token_candidates(words: DataFrame, names: dict[str, list[str]], least: float
     each distinct ``token`` near a name; tokens that are names have none."""
     eligible = [(d, a) for d, own in names.items() for a in own if len(a) >= FUZZY_MIN_LENGTH and a.isalpha()]
     known = sorted({a for own in names.values() for a in own})
+    if not eligible:
+        none = [F.lit(None).cast(k).alias(c) for c, k in (("canonical_drug", "string"), ("matched_alias", "string"), ("edit_distance", "int"), ("similarity", "double"))]
+        return words.where("false").select("token", *none)
     pairs = F.array(*[F.struct(F.lit(d).alias("canonical_drug"), F.lit(a).alias("alias")) for d, a in eligible])
     w = words.where(~F.col("token").isin(known)).select("token", F.explode(pairs).alias("p")).select("token", "p.canonical_drug", F.col("p.alias").alias("matched_alias"))
     d = w.withColumn("edit_distance", close_distance(F.col("token"), F.col("matched_alias"), least)).where("edit_distance is not null")
@@ -77,11 +82,12 @@ def token_candidates(words: DataFrame, names: dict[str, list[str]], least: float
 def find_matches(texts: DataFrame, names: dict[str, list[str]], least: float = FUZZY_SIMILARITY) -> DataFrame:
     """``doc_id`` and MATCH columns, one row per text and drug.
 
-    ``texts``: doc_id (unique, any type), text. Null texts have no match. Of
+    ``texts``: doc_id (any type; repeated rows of one doc_id have one text),
+    text. Null texts have no match. Of
     several fuzzy tokens for one drug the most similar wins, then the fewer
     edits, then the smaller token.
     """
-    exact = exact_matches(texts, names)
+    exact = exact_matches(texts, names).dropDuplicates(["doc_id", "canonical_drug"])
     per_doc = texts.where("text is not null").select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
     cand = token_candidates(per_doc.select("token").distinct(), names, least)
     found = per_doc.join(cand, "token").join(exact.select("doc_id", "canonical_drug"), ["doc_id", "canonical_drug"], "left_anti")
@@ -113,6 +119,35 @@ def recalled(texts: DataFrame, names: dict[str, list[str]], include_class_only:
     return out.where((F.size("matched_target_drugs") > 0) | (F.lit(include_class_only) & F.col("class_only")))
 
 
+def recalled_once(copies: DataFrame, names: dict[str, list[str]], include_class_only: bool = False) -> DataFrame:
+    """Each record once: the first delivered copy among those that match.
+
+    ``copies``: doc_id (a copy's own), id (its record), retrieved_on, text and
+    more. A record whose first copy has no match but whose second has is
+    recalled with the second. Copies of equal time are ordered by their columns.
+    """
+    got = recalled(copies, names, include_class_only).drop("doc_id")
+    got = Scratch(copies.sparkSession, "recalled").put(got)
+    return keep_one_delivery(got, "id", "retrieved_on")
+
+
+def matches_once(copies: DataFrame, matches: DataFrame) -> DataFrame:
+    """``matches`` (doc_id and MATCH columns) of each record's first matching
+    copy, with the record's ``id``."""
+    m = matches.dropDuplicates(["doc_id", "canonical_drug"])
+    own = copies.join(m.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = keep_one_delivery(own.select("id", "retrieved_on", *[c for c in copies.columns if c not in ("id", "doc_id", "retrieved_on")], "doc_id"), "id", "retrieved_on")
+    return m.join(first.select("doc_id", "id"), "doc_id")
+
+
+def scan_stats(copies: DataFrame, recalled_df: DataFrame) -> DataFrame:
+    """One row: ``n_rows`` read, ``n_records`` in scope, ``n_recalled``."""
+    a = copies.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_records"))
+    b = recalled_df.agg(F.count(F.lit(1)).alias("n_recalled"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def mention_set(drugs: Column) -> Column:
     return F.when(F.size(drugs) == 0, F.lit("class_only")).otherwise(F.array_join(F.array_sort(drugs), " + "))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.ids import bare_id, hmac_sha256, record_id
+from ..functions.ids import author_hash, bare_id, record_id
 from ..functions.text import iso_utc, squeeze
 from ..operators import context, extractions, localize, recall, records, tables
 from ..operators.dedup import keep_one_delivery
@@ -25,43 +25,45 @@ def targets(spark, d):
     return list(names(spark, d))
 
 
-def post_texts(spark, d):
-    """Each post once, in scope of the study period: doc_id, subreddit, text."""
-    p = keep_one_delivery(table(spark, d, "posts"))
-    at = records.seconds(F.col("created_utc"))
+def _copies(df, *cols):
+    """Delivered copies: ``doc_id`` names a copy, ``id`` its record."""
+    key = F.concat_ws("\u001f", bare_id(F.col("id")), F.xxhash64(*[f"`{c}`" for c in df.columns]).cast("string"))
+    return df.select(key.alias("doc_id"), bare_id(F.col("id")).alias("id"), "retrieved_on", records.community(F.col("subreddit")).alias("subreddit"), *cols).where("id is not null")
+
+
+def post_copies(spark, d):
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("selftext", F.lit("")))
-    return p.select(F.col("id").alias("doc_id"), records.community(F.col("subreddit")).alias("subreddit"), at.alias("created_utc"), F.greatest(F.coalesce("num_comments", F.lit(0)), F.lit(0)).alias("num_comments"), text.alias("text")).where((F.col("created_utc") >= START) & (F.col("created_utc") < END))
+    return _copies(table(spark, d, "posts"), records.seconds(F.col("created_utc")).alias("created_utc"), F.greatest(F.coalesce("num_comments", F.lit(0)), F.lit(0)).alias("num_comments"), text.alias("text"))
 
 
-def comment_texts(spark, d):
-    c = keep_one_delivery(table(spark, d, "comments"))
-    return c.select(F.col("id").alias("doc_id"), records.community(F.col("subreddit")).alias("subreddit"), F.coalesce("body", F.lit("")).alias("text"))
+def comment_copies(spark, d):
+    return _copies(table(spark, d, "comments"), F.coalesce("body", F.lit("")).alias("text"))
 
 
 def recalled_posts(spark, d, class_only=False):
-    return recall.recalled(post_texts(spark, d), names(spark, d), class_only)
+    return recall.recalled_once(post_copies(spark, d), names(spark, d), class_only)
 
 
-def recall_exact_by_drug(spark, d):
-    m = recall.exact_matches(post_texts(spark, d), names(spark, d))
-    return m.groupBy("canonical_drug").agg(F.count(F.lit(1)).alias("n_records"))
+def recall_exact_matches(spark, d):
+    return recall.matches_once(post_copies(spark, d), recall.exact_matches(post_copies(spark, d), names(spark, d))).select("id", "canonical_drug", "matched_text", "matched_alias").withColumnRenamed("id", "doc_id")
 
 
-def recall_exact_matches(spark, d):
-    return recall.exact_matches(post_texts(spark, d), names(spark, d)).select("doc_id", "canonical_drug", "matched_text", "matched_alias")
+def recall_exact_by_drug(spark, d):
+    return recall_exact_matches(spark, d).groupBy("canonical_drug").agg(F.count(F.lit(1)).alias("n_records"))
 
 
 def recall_fuzzy_vocabulary(spark, d):
-    words = post_texts(spark, d).select(F.explode(recall.tokens(F.col("text"))).alias("token")).distinct()
+    words = post_copies(spark, d).select(F.explode(recall.tokens(F.col("text"))).alias("token")).distinct()
     return recall.token_candidates(words, names(spark, d)).select("token", "canonical_drug", "matched_alias", "edit_distance", "similarity")
 
 
 def recall_full_policy(spark, d):
-    return recall.find_matches(post_texts(spark, d), names(spark, d))
+    got = recalled_posts(spark, d).select(F.col("id").alias("doc_id"), F.explode("drug_match_details").alias("m"))
+    return got.select("doc_id", "m.*")
 
 
 def recall_comments(spark, d):
-    return recall.by_drug(recall.recalled(comment_texts(spark, d), names(spark, d)))
+    return recall.by_drug(recall.recalled_once(comment_copies(spark, d), names(spark, d)))
 
 
 def recall_mention_sets(spark, d):
@@ -77,20 +79,31 @@ def recall_matched_terms(spark, d):
 
 
 def recall_rate_by_community(spark, d):
-    scope = post_texts(spark, d)
-    return recall.recall_rate(scope, recall.recalled(scope, names(spark, d)), "subreddit")
+    scope = post_copies(spark, d).select(F.col("id").alias("doc_id"), "subreddit")
+    return recall.recall_rate(scope, recalled_posts(spark, d).select(F.col("id").alias("doc_id"), "subreddit"), "subreddit")
 
 
 def recall_by_community(spark, d):
     return recalled_posts(spark, d).groupBy("subreddit").agg(F.count(F.lit(1)).alias("n_records"), F.sum("num_comments").cast("long").alias("n_comments"))
 
 
+def recall_in_period(spark, d):
+    """Recall within the study period only: the filter precedes the match."""
+    scope = post_copies(spark, d).where((F.col("created_utc") >= START) & (F.col("created_utc") < END))
+    return recall.by_drug(recall.recalled_once(scope, names(spark, d)))
+
+
 def recall_top_n(spark, d):
-    return recalled_posts(spark, d).select("doc_id", "subreddit", "created_utc").orderBy("subreddit", "created_utc", "doc_id").limit(50)
+    return recalled_posts(spark, d).select(F.col("id").alias("doc_id"), "subreddit", "created_utc").orderBy("subreddit", F.col("created_utc").asc_nulls_first(), "doc_id").limit(50)
+
+
+def scan_stats(spark, d):
+    """What a recall went through: copies read, records in scope, records recalled."""
+    return recall.scan_stats(post_copies(spark, d), recalled_posts(spark, d, True))
 
 
 def class_term_posts(spark, d):
-    return post_texts(spark, d).where(recall.class_term_hit(F.col("text"))).select("doc_id")
+    return post_copies(spark, d).where(recall.class_term_hit(F.col("text"))).select(F.col("id").alias("doc_id")).distinct()
 
 
 def year_slices_plan(spark, d):
@@ -111,7 +124,7 @@ def record_id_hash(spark, d):
 
 
 def author_hmac(spark, d):
-    return table(spark, d, "posts").select(bare_id(F.col("id")).alias("post_id"), hmac_sha256(F.coalesce("author", F.lit("")), SALT).alias("author_hash")).where("post_id is not null").distinct()
+    return table(spark, d, "posts").select(bare_id(F.col("id")).alias("post_id"), author_hash(F.col("author"), SALT).alias("author_hash")).where("post_id is not null").distinct()
 
 
 def created_iso(spark, d):
@@ -154,7 +167,7 @@ def union_posts_comments(spark, d):
 
 def semi_selected_comments(spark, d):
     """Comments under recalled posts."""
-    sel = recalled_posts(spark, d).select(F.col("doc_id").alias("thread"))
+    sel = recalled_posts(spark, d).select(F.col("id").alias("thread"))
     c = keep_one_delivery(table(spark, d, "comments")).select(F.col("id").alias("comment_id"), bare_id(F.col("link_id")).alias("thread"))
     return c.join(sel, "thread", "left_semi").select("comment_id", F.col("thread").alias("post_id"))
 
@@ -249,7 +262,7 @@ def extractor_offline(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    recall_exact_by_drug, recall_exact_matches, recall_fuzzy_vocabulary, recall_full_policy, recall_comments, recall_mention_sets, recall_match_flags, recall_matched_terms, recall_rate_by_community, recall_by_community, recall_top_n,
+    recall_exact_by_drug, recall_exact_matches, recall_fuzzy_vocabulary, recall_full_policy, recall_comments, recall_mention_sets, recall_match_flags, recall_matched_terms, recall_rate_by_community, recall_by_community, recall_in_period, recall_top_n, scan_stats,
     class_term_posts, year_slices_plan, time_range_scan, normalized_whitespace, record_id_hash, author_hmac, created_iso, clean_records, clean_audit, clean_summary, clean_limit, thread_context, union_posts_comments,
     semi_selected_comments, anti_missing_records, log_latest, log_pending, regimens_merged, events_normalized, flatten_posts, flatten_exposures, flatten_events, pt_validation, group_summary, term_frequency, top10_terms_per_group,
     symptom_pairs, exclusive_users, exclusive_term_pivot, localized_summary, extractor_offline,

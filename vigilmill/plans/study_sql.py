@@ -7,9 +7,10 @@ from .study_queries import END, LABELS, SALT, START
 _ID = "nullif(trim(regexp_replace(trim({0}), '^t[13]_', '')), '')"
 _COMMUNITY = "regexp_replace(lower(trim(coalesce(subreddit, ''))), '^/?r/', '')"
 _SECONDS = "CASE WHEN created_utc >= 100000000000 THEN CAST(floor(created_utc / 1000) AS BIGINT) WHEN created_utc > 0 THEN created_utc END"
-_POSTS_ONCE = f"""p1 AS (SELECT *, {_ID.format('id')} AS k FROM posts),
-p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY retrieved_on NULLS LAST, id NULLS FIRST, author NULLS FIRST, created_utc NULLS FIRST, subreddit NULLS FIRST, title NULLS FIRST, selftext NULLS FIRST, score NULLS FIRST, num_comments NULLS FIRST, link_flair_text NULLS FIRST, url NULLS FIRST) AS rn FROM p1 WHERE k IS NOT NULL) WHERE rn = 1),
-docs AS (SELECT * FROM (SELECT k AS doc_id, {_COMMUNITY} AS subreddit, {_SECONDS} AS created_utc, greatest(coalesce(num_comments, 0), 0) AS num_comments, coalesce(title, '') || chr(10) || coalesce(selftext, '') AS text FROM p) WHERE created_utc >= {START} AND created_utc < {END})"""
+_POST_COPIES = f"""p1 AS (SELECT *, {_ID.format('id')} AS k FROM posts),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS doc_id, k, retrieved_on, {_COMMUNITY} AS subreddit, {_SECONDS} AS created_utc, greatest(coalesce(num_comments, 0), 0) AS num_comments, coalesce(title, '') || chr(10) || coalesce(selftext, '') AS text FROM p1 WHERE k IS NOT NULL)"""
+_COMMENT_COPIES = f"""c0 AS (SELECT *, {_ID.format('id')} AS k FROM comments),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS doc_id, k, retrieved_on, {_COMMUNITY} AS subreddit, NULL AS created_utc, 0 AS num_comments, coalesce(body, '') AS text FROM c0 WHERE k IS NOT NULL)"""
 _COMMENTS_ONCE = f"""c1 AS (SELECT *, {_ID.format('id')} AS k FROM comments),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY retrieved_on NULLS LAST, id NULLS FIRST, author NULLS FIRST, created_utc NULLS FIRST, subreddit NULLS FIRST, body NULLS FIRST, link_id NULLS FIRST, parent_id NULLS FIRST, score NULLS FIRST) AS rn FROM c1 WHERE k IS NOT NULL) WHERE rn = 1)"""
 _NAMES = """nm AS (SELECT DISTINCT lower(trim(canonical)) AS drug, a.alias FROM drug_aliases, (SELECT unnest(list_distinct(list_transform(list_append(aliases, canonical), lambda x: lower(trim(x))))) AS alias) a WHERE a.alias <> ''),
@@ -29,7 +30,14 @@ matches AS (SELECT doc_id, canonical_drug, matched_text, lower(matched_text) AS
 klass AS (SELECT doc_id FROM docs WHERE regexp_matches(text, '(?i)(?:^|[^a-z0-9])(?:gliflozins|gliflozin|sglt 2|sglt-2|sglt2)(?:$|[^a-z0-9])')),
 per AS (SELECT doc_id, string_agg(canonical_drug, ' + ' ORDER BY canonical_drug) AS mention_set, count(*) AS n, bool_or(match_type = 'exact') AS ex, bool_or(match_type = 'fuzzy') AS fz FROM matches GROUP BY doc_id),
 allper AS (SELECT * FROM per UNION ALL SELECT doc_id, 'class_only', 0, false, false FROM klass WHERE doc_id NOT IN (SELECT doc_id FROM per))"""
-_POST_MATCHES = f"WITH {_POSTS_ONCE}, {_MATCHES}"
+_POST_MATCHES = f"WITH {_POST_COPIES}, {_MATCHES}"
+
+
+def _first(hits: str) -> str:
+    """Of each record the first copy among those in ``hits``."""
+    return f"first AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY k ORDER BY retrieved_on NULLS LAST, subreddit, created_utc NULLS FIRST, num_comments, text) AS rn FROM docs d WHERE doc_id IN (SELECT doc_id FROM {hits})) WHERE rn = 1)"
+
+
 
 # The answers: fences and second encodings peeled off, then nested arrays by position.
 _FENCE = "CASE WHEN regexp_matches({0}, '^\\s*```') THEN regexp_extract({0}, '(?s)^\\s*```[^`\\n]*\\n?(.*?)\\n?\\s*```\\s*$', 1) ELSE {0} END"
@@ -115,34 +123,36 @@ _PIVOT_P = ", ".join(f"CASE WHEN (SELECT n FROM nsolo WHERE drug = '{t}') > 0 TH
 _PIVOT_KEEP = " OR ".join(f"((SELECT n FROM nsolo WHERE drug = '{t}') > 0 AND 100.0 * n_{t} / (SELECT n FROM nsolo WHERE drug = '{t}') >= 0.5)" for t in _DRUGS)
 
 SQL = {
-    "recall_exact_by_drug": f"WITH {_POSTS_ONCE}, {_NAMES}, {_EXACT} SELECT canonical_drug, count(*) AS n_records FROM exact GROUP BY 1",
-    "recall_exact_matches": f"WITH {_POSTS_ONCE}, {_NAMES}, {_EXACT} SELECT doc_id, canonical_drug, matched_text, lower(matched_text) AS matched_alias FROM exact",
-    "recall_fuzzy_vocabulary": f"WITH {_POSTS_ONCE}, {_NAMES}, {_FUZZY} SELECT token, canonical_drug, matched_alias, edit_distance, similarity FROM cand",
-    "recall_full_policy": f"{_POST_MATCHES} SELECT * FROM matches",
-    "recall_comments": f"WITH {_COMMENTS_ONCE}, docs AS (SELECT k AS doc_id, coalesce(body, '') AS text FROM c), {_MATCHES} SELECT canonical_drug, count(*) AS n_records FROM matches GROUP BY 1",
-    "recall_mention_sets": f"{_POST_MATCHES} SELECT mention_set, count(*) AS n_records FROM allper GROUP BY 1",
-    "recall_match_flags": f"{_POST_MATCHES} SELECT count(*) AS n_records, count(*) FILTER (WHERE ex) AS n_exact, count(*) FILTER (WHERE fz) AS n_fuzzy, count(*) FILTER (WHERE fz AND NOT ex) AS n_only_fuzzy, count(*) FILTER (WHERE n = 0) AS n_class_only, count(*) FILTER (WHERE n > 1) AS n_multi_drug FROM allper",
-    "recall_matched_terms": f"{_POST_MATCHES} SELECT canonical_drug, matched_text, matched_alias, match_type, edit_distance, similarity, count(*) AS n_records FROM matches GROUP BY ALL",
-    "recall_rate_by_community": f"{_POST_MATCHES} SELECT d.subreddit, count(*) AS n_in_scope, count(p.doc_id) AS n_recalled, round_even(1000000.0 * count(p.doc_id) / count(*), 0) / 10000.0 AS percent_recalled FROM docs d LEFT JOIN per p USING (doc_id) GROUP BY 1",
-    "recall_by_community": f"{_POST_MATCHES} SELECT subreddit, count(*) AS n_records, CAST(sum(num_comments) AS BIGINT) AS n_comments FROM docs JOIN per USING (doc_id) GROUP BY 1",
-    "recall_top_n": f"{_POST_MATCHES} SELECT doc_id, subreddit, created_utc FROM docs JOIN per USING (doc_id) ORDER BY subreddit, created_utc, doc_id LIMIT 50",
-    "class_term_posts": f"{_POST_MATCHES} SELECT doc_id FROM klass",
+    "recall_exact_by_drug": f"WITH {_POST_COPIES}, {_NAMES}, {_EXACT}, {_first('exact')} SELECT canonical_drug, count(*) AS n_records FROM exact JOIN first USING (doc_id) GROUP BY 1",
+    "recall_exact_matches": f"WITH {_POST_COPIES}, {_NAMES}, {_EXACT}, {_first('exact')} SELECT k AS doc_id, canonical_drug, matched_text, lower(matched_text) AS matched_alias FROM exact JOIN first USING (doc_id)",
+    "recall_fuzzy_vocabulary": f"WITH {_POST_COPIES}, {_NAMES}, {_FUZZY} SELECT token, canonical_drug, matched_alias, edit_distance, similarity FROM cand",
+    "recall_full_policy": f"{_POST_MATCHES}, {_first('per')} SELECT k AS doc_id, m.* EXCLUDE (doc_id) FROM matches m JOIN first USING (doc_id)",
+    "recall_comments": f"WITH {_COMMENT_COPIES}, {_MATCHES}, {_first('per')} SELECT canonical_drug, count(*) AS n_records FROM matches JOIN first USING (doc_id) GROUP BY 1",
+    "recall_mention_sets": f"{_POST_MATCHES}, {_first('allper')} SELECT mention_set, count(*) AS n_records FROM allper JOIN first USING (doc_id) GROUP BY 1",
+    "recall_match_flags": f"{_POST_MATCHES}, {_first('allper')} SELECT count(*) AS n_records, count(*) FILTER (WHERE ex) AS n_exact, count(*) FILTER (WHERE fz) AS n_fuzzy, count(*) FILTER (WHERE fz AND NOT ex) AS n_only_fuzzy, count(*) FILTER (WHERE n = 0) AS n_class_only, count(*) FILTER (WHERE n > 1) AS n_multi_drug FROM allper JOIN first USING (doc_id)",
+    "recall_matched_terms": f"{_POST_MATCHES}, {_first('per')} SELECT canonical_drug, matched_text, matched_alias, match_type, edit_distance, similarity, count(*) AS n_records FROM matches JOIN first USING (doc_id) GROUP BY ALL",
+    "recall_rate_by_community": f"{_POST_MATCHES}, {_first('per')}, a AS (SELECT subreddit, count(DISTINCT k) AS n_in_scope FROM docs GROUP BY 1), b AS (SELECT subreddit, count(*) AS n FROM first GROUP BY 1) SELECT subreddit, n_in_scope, coalesce(n, 0) AS n_recalled, round_even(1000000.0 * coalesce(n, 0) / n_in_scope, 0) / 10000.0 AS percent_recalled FROM a LEFT JOIN b USING (subreddit)",
+    "recall_by_community": f"{_POST_MATCHES}, {_first('per')} SELECT subreddit, count(*) AS n_records, CAST(sum(num_comments) AS BIGINT) AS n_comments FROM first GROUP BY 1",
+    "recall_in_period": f"WITH {_POST_COPIES.replace('docs AS MATERIALIZED', 'alldocs AS')}, docs AS MATERIALIZED (SELECT * FROM alldocs WHERE created_utc >= {START} AND created_utc < {END}), {_MATCHES}, {_first('per')} SELECT canonical_drug, count(*) AS n_records FROM matches JOIN first USING (doc_id) GROUP BY 1",
+    "scan_stats": f"{_POST_MATCHES} SELECT (SELECT count(*) FROM docs) AS n_rows, (SELECT count(DISTINCT k) FROM docs) AS n_records, (SELECT count(DISTINCT k) FROM docs WHERE doc_id IN (SELECT doc_id FROM allper)) AS n_recalled",
+    "recall_top_n": f"{_POST_MATCHES}, {_first('per')} SELECT k AS doc_id, subreddit, created_utc FROM first ORDER BY subreddit, created_utc NULLS FIRST, k LIMIT 50",
+    "class_term_posts": f"{_POST_MATCHES} SELECT DISTINCT k AS doc_id FROM klass JOIN docs USING (doc_id)",
     "year_slices_plan": f"SELECT CAST(y AS INTEGER) AS slice_year, greatest({START + 86400 * 40}, CAST(epoch(make_timestamp(y, 1, 1, 0, 0, 0)) AS BIGINT)) AS start_at, least({END + 86400 * 100}, CAST(epoch(make_timestamp(y + 1, 1, 1, 0, 0, 0)) AS BIGINT)) AS end_at FROM range(2023, 2026) t(y)",
     "time_range_scan": "SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'",
     "normalized_whitespace": "SELECT event_id, trim(regexp_replace('  ' || event_type || ' ' || chr(9) || chr(10) || ' ' || props || ' ', '\\s+', ' ', 'g')) AS text FROM events",
     "record_id_hash": "SELECT event_id, substr(sha256(coalesce(CAST(user_id AS VARCHAR), '') || chr(31) || coalesce(event_type, '') || chr(31) || '' || chr(31) || coalesce(props, '')), 1, 24) AS record_id FROM events",
     "created_iso": f"SELECT DISTINCT {_ID.format('id')} AS post_id, coalesce(strftime(to_timestamp({_SECONDS}) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00'), '') AS created FROM posts WHERE {_ID.format('id')} IS NOT NULL",
-    "author_hmac": f"SELECT DISTINCT {_ID.format('id')} AS post_id, {_HMAC.format("coalesce(author, '')")} AS author_hash FROM posts WHERE {_ID.format('id')} IS NOT NULL",
+    "author_hmac": f"SELECT DISTINCT {_ID.format('id')} AS post_id, CASE WHEN a IN ('', '[deleted]', 'deleted') THEN '' ELSE substr({_HMAC.format('a')}, 1, 32) END AS author_hash FROM (SELECT id, lower({_tidy('author')}) AS a FROM posts) WHERE {_ID.format('id')} IS NOT NULL",
     "clean_records": f"WITH {_CLEAN} SELECT record_id, source_type, thread_id, parent_id, subreddit, date, md5(message) AS message_md5 FROM s3 WHERE st IS NULL",
     "clean_audit": f"WITH {_CLEAN} SELECT count(*) AS input_rows, count(*) FILTER (WHERE st = 'invalid_text') AS removed_invalid_or_empty_text, count(*) FILTER (WHERE st = 'missing_user') AS removed_missing_or_deleted_user, count(*) FILTER (WHERE st = 'duplicate_record') AS removed_duplicate_record_id, count(*) FILTER (WHERE st = 'duplicate_user_text') AS removed_duplicate_user_text, count(*) FILTER (WHERE st IS NULL) AS output_rows_before_limit FROM s3",
     "clean_summary": f"WITH {_CLEAN} SELECT source_type, count(*) AS n_rows, count(DISTINCT u) AS n_users FROM s3 WHERE st IS NULL GROUP BY 1",
     "clean_limit": f"WITH {_CLEAN} SELECT record_id, source_type FROM s3 WHERE st IS NULL ORDER BY record_id LIMIT 100",
     "thread_context": f"WITH RECURSIVE {_CONTEXT} SELECT cid AS comment_id, CAST(n AS INTEGER) AS n_ancestors, md5(context) AS context_md5, length(context) AS n_chars FROM ctx",
     "union_posts_comments": f"SELECT source_type, subreddit, count(*) AS n_rows FROM (SELECT 'post' AS source_type, {_COMMUNITY} AS subreddit FROM posts UNION ALL SELECT 'comment', {_COMMUNITY} FROM comments) GROUP BY 1, 2",
-    "semi_selected_comments": f"{_POST_MATCHES}, {_COMMENTS_ONCE} SELECT k AS comment_id, {_ID.format('link_id')} AS post_id FROM c WHERE {_ID.format('link_id')} IN (SELECT doc_id FROM per)",
+    "semi_selected_comments": f"{_POST_MATCHES}, {_COMMENTS_ONCE} SELECT k AS comment_id, {_ID.format('link_id')} AS post_id FROM c WHERE {_ID.format('link_id')} IN (SELECT k FROM docs WHERE doc_id IN (SELECT doc_id FROM per))",
     "anti_missing_records": f"SELECT DISTINCT {_ID.format('record_id')} AS record_id FROM post_extractions WHERE {_ID.format('record_id')} IS NOT NULL AND {_ID.format('record_id')} NOT IN (SELECT {_ID.format('id')} FROM posts WHERE {_ID.format('id')} IS NOT NULL UNION ALL SELECT {_ID.format('id')} FROM comments WHERE {_ID.format('id')} IS NOT NULL)",
     "log_latest": f"{_W} SELECT rid AS record_id, log_line, status, model_name FROM last",
-    "log_pending": f"WITH {_POSTS_ONCE} SELECT k AS record_id FROM p WHERE k NOT IN (SELECT rid FROM (SELECT {_ID.format('record_id')} AS rid, arg_max(status, log_line) AS s FROM post_extractions WHERE {_ID.format('record_id')} IS NOT NULL GROUP BY 1) WHERE s = 'completed')",
+    "log_pending": f"SELECT DISTINCT k AS record_id FROM (SELECT {_ID.format('id')} AS k FROM posts) WHERE k NOT IN (SELECT rid FROM (SELECT {_ID.format('record_id')} AS rid, arg_max(status, log_line) AS s FROM post_extractions WHERE {_ID.format('record_id')} IS NOT NULL GROUP BY 1) WHERE s = 'completed')",
     "regimens_merged": f"{_W} SELECT log_line, exposure_group, n_target_drugs, regimen_pos FROM merged",
     "events_normalized": f"{_W} SELECT log_line, exposure_group, original_expression, meddra_pt, meddra_pt_zh, onset, severity, outcome, confidence FROM nev",
     "flatten_posts": f"{_W} SELECT d.record_id, d.user_id, d.subreddit, d.date_text, count(m.log_line) > 0 AS has_target_exposure, CAST(count(m.log_line) AS INTEGER) AS n_regimens, coalesce(string_agg(m.exposure_group, ' | ' ORDER BY m.regimen_pos), '') AS exposure_groups FROM done d LEFT JOIN merged m USING (log_line) GROUP BY 1, 2, 3, 4",

@@ -58,10 +58,13 @@ def input_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def term_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """``pt_code, pt_term`` of a ``$``-separated Latin-1 file without header;
-    further fields are ignored. Lines with a code that is no number fail."""
-    raw = spark.read.option("sep", "$").option("encoding", "ISO-8859-1").csv(path)
-    return raw.select(F.col("_c0").cast("bigint").alias("pt_code"), F.trim("_c1").alias("pt_term")).where("pt_term <> ''")
+    """``pt_code, pt_term`` and ORDER of a ``$``-separated Latin-1 file
+    without header; further fields are ignored. A code that is no number
+    fails the job."""
+    raw = spark.read.option("encoding", "ISO-8859-1").text(path)
+    part = F.split("value", r"\$")
+    where = [F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("_pos")]
+    return raw.select(F.trim(F.get(part, F.lit(0))).cast("bigint").alias("pt_code"), F.trim(F.get(part, F.lit(1))).alias("pt_term"), *where).where("pt_term <> ''")
 
 
 def alias_table(spark: SparkSession, path: str) -> DataFrame:
