@@ -8,9 +8,11 @@ grows with the logarithm of the longest chain, not with its length. A cycle is
 a core that never loses its last node: splicing shrinks it to a node that is
 its own parent, which is how it is detected.
 
-All joins are on node ids, which are unique, except one per undone round: raked
-leaves look up their parent, and a parent may have very many leaves. There the
-leaves are the streamed side of an equi-join that adaptive execution splits.
+A round is undone from the nodes that were live after it only, so the joins of
+both directions shrink geometrically. All are on node ids, which are unique,
+except one per undone round: raked leaves look up their parent, and a parent may
+have very many leaves. There the leaves are the streamed side of an equi-join
+that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .forum import parent_key
 
 #: Edges that one task may finish in memory (about 20 MB); more are contracted in distributed rounds.
 LOCAL_EDGES = 100_000
+#: Ids in the paths of one batch; this only bounds memory.
+MOST_IDS = 1_000_000
 CYCLE = "cycle"
 
 
@@ -101,17 +105,34 @@ def _finish_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         total[v] = -1 if top[v] < 0 else total[parent[k]] + w0[k]
     upper = pa.array(np.where(top[node] < 0, 0, top[node]), mask=top[node] < 0)
     out = {"node": t["node"].combine_chunks(), "top": labels.take(upper), "dist": pa.array(total[node])}
-    if "seg" in t.column_names:
-        seg = t["seg"].to_pylist()
-        full: dict[int, list[str]] = {}
-        name = labels.to_pylist()
-        for k in np.argsort(dist[node], kind="stable"):
-            v = node[k]
-            full[v] = [] if top[v] < 0 else [*full.get(parent[k], []), *([] if edge[parent[k]] < 0 else [name[parent[k]]]), *seg[k]]
-        out["seg"] = pa.array([None if top[v] < 0 else full[v] for v in node], pa.list_(pa.string()))
     table = pa.table(out)
-    for start in range(0, m, 20_000):
-        yield from table.slice(start, 20_000).combine_chunks().to_batches()
+    if "seg" not in t.column_names:
+        for start in range(0, m, 20_000):
+            yield from table.slice(start, 20_000).combine_chunks().to_batches()
+        return
+    seg, name = t["seg"], labels.to_pylist()
+
+    def between(k: int) -> list[str] | None:
+        """The nodes between top and node, by walking up: nothing is kept from row to row."""
+        if top[node[k]] < 0:
+            return None
+        got: list[str] = []
+        while True:
+            got += reversed(seg[k].as_py())
+            p = parent[k]
+            if edge[p] < 0:
+                return got[::-1]
+            got.append(name[p])
+            k = edge[p]
+
+    start, held, some = 0, 0, []
+    for k in range(m):
+        some.append(between(k))
+        held += len(some[-1] or ())
+        if held > MOST_IDS or k + 1 - start == 20_000 or k + 1 == m:
+            part = table.slice(start, k + 1 - start).append_column("seg", pa.array(some, pa.list_(pa.string())))
+            yield from part.combine_chunks().to_batches()
+            start, held, some = k + 1, 0, []
 
 
 def resolve_forest(edges: DataFrame, terminals: DataFrame, with_paths: bool = False, local_edges: int = LOCAL_EDGES, max_rounds: int = 200) -> tuple[DataFrame, Scratch]:
@@ -129,14 +150,19 @@ def resolve_forest(edges: DataFrame, terminals: DataFrame, with_paths: bool = Fa
     spark = edges.sparkSession
     scratch = Scratch(spark, "forest")
     seg = [F.col("seg")] if with_paths else []
-    live = edges.select("node", "parent", F.lit(1).cast("long").alias("weight"), *([F.array().cast("array<string>").alias("seg")] if with_paths else []))
+    ids = "array<string>"
+    # A node whose parent is a terminal is anchored: it has a root instead of a parent, weight is its depth and seg its path.
+    ends = terminals.select(F.col("node").alias("end"), F.col("root").alias("end_root"), F.col("depth").alias("end_depth"), *([F.col("path").alias("end_path")] if with_paths else []))
+    live = edges.join(ends, F.col("parent") == F.col("end"), "left").select(
+        "node", F.when(F.col("end").isNull(), F.col("parent")).alias("parent"), F.col("end_root").alias("root"), (F.coalesce("end_depth", F.lit(0)) + 1).cast("long").alias("weight"),
+        *([F.coalesce("end_path", F.array().cast(ids)).alias("seg")] if with_paths else []),
+    )
     live = scratch.put(live, "edges")
     out_cols = ["node", "root", "depth", *(["path"] if with_paths else [])]
     rounds: list[DataFrame] = []
-    cycles: list[DataFrame] = []
     left = live.count()
-    k = 0
     while left > local_edges:
+        k = len(rounds)
         if k == max_rounds:
             raise RuntimeError(f"{left} edges remain after {k} rounds")
         kids = live.where("node <> parent").groupBy(F.col("parent").alias("pid")).agg(F.count(F.lit(1)).alias("kids"), F.min("node").alias("only"))
@@ -147,40 +173,46 @@ def resolve_forest(edges: DataFrame, terminals: DataFrame, with_paths: bool = Fa
             .when((F.col("kids") == 1) & (_coin(F.col("node"), k) == 1) & (_coin(F.col("only"), k) == 0), F.lit("splice"))
             .otherwise(F.lit("keep"))
         )
-        m = scratch.put(m.select("node", "parent", "weight", *seg, "only", what.alias("what")), "round")
+        m = scratch.put(m.select("node", "parent", "root", "weight", *seg, "only", what.alias("what")), "round")
         rounds.append(m)
-        s = m.where("what = 'splice'").select(F.col("only").alias("child"), F.col("parent").alias("up"), F.col("weight").alias("more"), F.col("node").alias("mid"), *([F.col("seg").alias("upper")] if with_paths else []))
-        kept = m.where("what = 'keep'").select("node", "parent", "weight", *seg).join(s, F.col("node") == F.col("child"), "left")
-        live = kept.select(
+        s = m.where("what = 'splice'").select(F.col("only").alias("child"), F.col("parent").alias("up"), F.col("root").alias("up_root"), F.col("weight").alias("more"), F.col("node").alias("mid"), *([F.col("seg").alias("upper")] if with_paths else []))
+        kept = m.where("what = 'keep'").select("node", "parent", "root", "weight", *seg).join(s, F.col("node") == F.col("child"), "left")
+        over = F.col("mid").isNotNull()
+        live = scratch.put(kept.select(
             "node",
-            F.coalesce("up", "parent").alias("parent"),
+            F.when(over, F.col("up")).otherwise(F.col("parent")).alias("parent"),
+            F.when(over, F.col("up_root")).otherwise(F.col("root")).alias("root"),
             (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"),
-            *([F.when(F.col("mid").isNotNull(), F.concat("upper", F.array("mid"), "seg")).otherwise(F.col("seg")).alias("seg")] if with_paths else []),
-        )
+            *([F.when(over, F.concat("upper", F.array("mid"), "seg")).otherwise(F.col("seg")).alias("seg")] if with_paths else []),
+        ), "live")
         left = live.count()
-        k += 1
-    none_path = [F.lit(None).cast("array<string>").alias("path")] if with_paths else []
-    for m in rounds:
-        cycles.append(m.where("what = 'loop'").select("node", F.lit(CYCLE).alias("root"), F.lit(-1).cast("long").alias("depth"), *none_path))
-    done = [terminals.select(*out_cols), *cycles]
-
-    def below(rows: DataFrame) -> DataFrame:
-        """Rows node, parent, weight[, seg] resolved from what is done."""
-        upper = _union(done).select(F.col("node").alias("u"), F.col("root"), F.col("depth").alias("d"), *([F.col("path").alias("upper")] if with_paths else []))
-        got = rows.join(upper, F.col("parent") == F.col("u"))
-        depth = F.when(F.col("root") == CYCLE, F.lit(-1).cast("long")).otherwise(F.col("d") + F.col("weight"))
-        return got.select("node", "root", depth.alias("depth"), *([F.concat("upper", "seg", F.array("node")).alias("path")] if with_paths else []))
 
+    def anchored(rows: DataFrame) -> DataFrame:
+        return rows.where("parent is null").select("node", "root", F.col("weight").alias("depth"), *([F.concat("seg", F.array("node")).alias("path")] if with_paths else []))
+
+    def lost(rows: DataFrame) -> DataFrame:
+        return rows.select("node", F.lit(CYCLE).alias("root"), F.lit(-1).cast("long").alias("depth"), *([F.lit(None).cast(ids).alias("path")] if with_paths else []))
+
+    def below(rows: DataFrame, known: list[DataFrame]) -> DataFrame:
+        """Rows with a parent, resolved from ``known``."""
+        upper = _union(known).select(F.col("node").alias("u"), F.col("root").alias("r"), F.col("depth").alias("d"), *([F.col("path").alias("upper")] if with_paths else []))
+        got = rows.where("parent is not null").join(upper, F.col("parent") == F.col("u"))
+        depth = F.when(F.col("r") == CYCLE, F.lit(-1).cast("long")).otherwise(F.col("d") + F.col("weight"))
+        return got.select("node", F.col("r").alias("root"), depth.alias("depth"), *([F.concat("upper", "seg", F.array("node")).alias("path")] if with_paths else []))
+
+    # What is known at the undoing of a round: one node a cycle, and the nodes that were live after it, so the tables shrink as the rounds did.
+    known: list[DataFrame] = [lost(m.where("what = 'loop'")) for m in rounds]
     if left:
+        known.append(anchored(live))
         schema = "node string, top string, dist long" + (", seg array<string>" if with_paths else "")
-        core = scratch.put(live.coalesce(1).mapInArrow(_finish_local, schema), "core")
-        lost = core.where("top is null").select("node", F.lit(CYCLE).alias("root"), F.lit(-1).cast("long").alias("depth"), *none_path)
+        core = scratch.put(live.where("parent is not null").select("node", "parent", "weight", *seg).coalesce(1).mapInArrow(_finish_local, schema), "core")
         rest = core.where("top is not null").select("node", F.col("top").alias("parent"), F.col("dist").alias("weight"), *seg)
-        done += [lost, scratch.put(below(rest), "done")]
+        known += [lost(core.where("top is null")), scratch.put(below(rest, known), "done")]
     for m in reversed(rounds):
         for step in ("splice", "leaf"):
-            done.append(scratch.put(below(m.where(F.col("what") == step).select("node", "parent", "weight", *seg)), "done"))
-    return _union(done), scratch
+            rows = m.where(F.col("what") == step)
+            known += [scratch.put(below(rows, known), "done"), anchored(rows)]
+    return _union([terminals.select(*out_cols), *known]), scratch
 
 
 def comment_hierarchy(posts: DataFrame, comments: DataFrame, with_paths: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:

@@ -38,6 +38,12 @@ def p7_found(spark, d):
     return h.select(F.substring("node", 4, 1_000_000).alias("comment_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("node_depth"))
 
 
+def p7_rounds(spark, d):
+    """p7_found with every round distributed: none is left to one task."""
+    h = hierarchy.comment_hierarchy(table(spark, d, "posts"), table(spark, d, "comments"), local_edges=0)
+    return h.select(F.substring("node", 4, 1_000_000).alias("comment_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("node_depth"))
+
+
 def p7_paths(spark, d):
     h = hierarchy.comment_hierarchy(table(spark, d, "posts"), table(spark, d, "comments"), with_paths=True)
     return h.select(F.col("node").alias("record_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("node_depth"), F.array_join("path", "/").alias("path"))
@@ -66,6 +72,7 @@ QUERIES = {
     "p3_posts_once": p3_posts_once,
     "p3_comments_once": p3_comments_once,
     "p7_found": p7_found,
+    "p7_rounds": p7_rounds,
     "p7_paths": p7_paths,
     "p7_descendants": p7_descendants,
     "p7_descendant_counts": p7_descendant_counts,
@@ -116,3 +123,4 @@ SQL = {
     "p7_descendants": f"WITH RECURSIVE {_TREE}, flat AS (SELECT node, path, unnest(range(1, len(path))) AS i FROM walk) SELECT path[i] AS ancestor, node AS descendant, CAST(len(path) - i AS INTEGER) AS distance FROM flat",
     "p7_descendant_counts": f"WITH RECURSIVE {_TREE}, flat AS (SELECT path, unnest(range(1, len(path))) AS i FROM walk) SELECT path[i] AS node, count(*) AS n_descendants, CAST(max(len(path) - i) AS INTEGER) AS height FROM flat GROUP BY 1",
 }
+SQL["p7_rounds"] = SQL["p7_found"]
