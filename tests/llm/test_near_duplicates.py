@@ -90,3 +90,17 @@ def test_bound_never_loses():
             assert nd.may_reach(v[:1], v[1:], 0.75)[0]
             lo, hi = (x.astype(np.uint8).tobytes() for x in (v[0], v[0]))
             assert nd.boxes_may_meet(lo, hi, v[1].astype(np.uint8).tobytes(), v[1].astype(np.uint8).tobytes(), 0.75)
+
+
+def test_groups_are_components(rows):
+    """Chains of links, copies and texts without links."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [(str(k), " ".join(base[5 * k : 5 * k + 50] if k < 3 else [f"v{k}{i}" for i in range(45)])) for k in range(5)]
+    texts += [("copy", texts[1][1])]
+    df = rows([("posts", i, t) for i, t in texts] + [("comments", "0", texts[0][1])], "space string, id string, text string")
+    near = nd.NearDuplicates(df)
+    got = {(r["space"], r["id"]): r["group_key"] for r in near.groups().collect()}
+    assert len({got["posts", i] for i in ("0", "1", "2", "copy")}) == 1
+    assert len(set(got.values())) == 4 and len(got) == 7
+    assert near.links().count() == 2
+    assert nd.NearDuplicates(df.where("false")).groups().count() == 0

@@ -11,8 +11,10 @@ texts lie as close in 16 dimensions as boxes can tell apart (see README), so
 its root level is a routing level: 40 keys of 7 min-hashes each. A pair at
 0.75 shares a key with probability 0.997, at 0.8 with 0.9999. Below a routing
 key, points are packed into leaves of at most 512 in order of their vectors;
-pairs come from within a leaf and from leaves whose boxes pass the bound.
-Survivors are verified on the exact sets.
+pairs come from within a leaf and from leaves whose boxes pass the bound: inner
+nodes of the leaves are joined first, then the leaves below pairs of nodes that
+pass. Survivors are verified on the sets of 32-bit word hashes: two different
+words of a pair count as one with probability 2**-32.
 
 Identical sets are one class, so copies multiply neither points nor pairs. A
 routing key that many sets share is salted by vector and its leaves are joined
@@ -30,13 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.hierarchy import resolve_forest
 from ..session import Scratch, spread
 from .visual import _Folds, look
 
 GROUPS, FULL = 16, 15
 BANDS, ROWS = 40, 7
 LEAF = 512
+#: Leaves below an inner node.
+FAN = 32
 SALTS = 64
+#: Bytes of routed rows a task should get.
+TASK_BYTES, ROUTED_BYTES = 64 << 20, 24
 #: Rows sampled to find routing keys that need salt; results don't depend on it.
 SAMPLE = 20_000
 #: Ids of one class that meet in one join key; results don't depend on it.
@@ -257,11 +264,11 @@ def boxes_may_meet(lo_a: bytes, hi_a: bytes, lo_b: bytes, hi_b: bytes, t: float)
     return bool((least == FULL).any() or least.sum() + 1e-9 >= t / (1 + t) * (la.sum() + lb.sum()))
 
 
-def _box_filter(t: float):
+def _box_filter(t: float, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [boxes_may_meet(*x, t) for x in zip(*[b[k].to_pylist() for k in ("lo", "hi", "lo_b", "hi_b")], strict=True)]
-            yield b.select(["leaf", "leaf_b"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(names).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -313,14 +320,15 @@ class NearDuplicates:
         self._links: DataFrame | None = None
 
     def _hot(self) -> frozenset[int]:
-        """Routing keys with more than 1 % of a bounded sample of rows."""
+        """Routing keys with more than 0.3 % of a bounded sample of rows. A key
+        just below that is a run which one task streams leaf by leaf."""
         n = self.sets.count()
         if n < SAMPLE // 10:
             return frozenset()
         some = self.sets.sample(min(1.0, SAMPLE / n), seed=3)
         rows = some.dropDuplicates(["space", "short"]).mapInArrow(_route(frozenset()), "route bigint, band bigint, short bigint, counts bigint")
-        seen = rows.groupBy("band").count().where(F.col("count") > max(50, min(n, SAMPLE) // 100)).select("band")
-        return frozenset(r[0] for r in seen.collect())  # at most 100 per band
+        seen = rows.groupBy("band").count().where(F.col("count") > max(50, min(n, SAMPLE) * 3 // 1000)).select("band")
+        return frozenset(r[0] for r in seen.collect())  # at most 333 per band
 
     def links(self) -> DataFrame:
         """``space, key_a, key_b, similarity``: class pairs, key_a < key_b."""
@@ -328,12 +336,21 @@ class NearDuplicates:
             return self._links
         t, hot = self.t, self._hot()
         routed = self.sets.mapInArrow(_route(hot), "route bigint, band bigint, short bigint, counts bigint")
-        packed = routed.repartition("route").sortWithinPartitions("route", "counts", "short").mapInArrow(_leaves(t, hot), _SCHEMA)
+        # As many tasks as keep each small, however large the input.
+        tasks = max(self.sets.sparkSession.sparkContext.defaultParallelism * 2, -(-self.sets.count() * BANDS * ROUTED_BYTES // TASK_BYTES))
+        packed = routed.repartition(tasks, "route").sortWithinPartitions("route", "counts", "short").mapInArrow(_leaves(t, hot), _SCHEMA)
         packed = self.scratch.put(packed, "leaves")
         leaves = packed.where("band is not null").select("band", "lo", "hi", "members").withColumn("leaf", F.xxhash64("band", "members"))
-        box = leaves.select("band", "leaf", "lo", "hi")
-        other = box.select("band", F.col("leaf").alias("leaf_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-        near = box.join(other, "band").where(F.col("leaf") < F.col("leaf_b")).select("leaf", "lo", "hi", "leaf_b", "lo_b", "hi_b").mapInArrow(_box_filter(t), "leaf bigint, leaf_b bigint").distinct()
+        # Inner nodes: leaves of one band whose boxes start alike, FAN or so a node.
+        many = leaves.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("nodes"))
+        box = self.scratch.put(leaves.select("band", "leaf", "lo", "hi").join(many, "band").withColumn("node", F.least(F.floor(F.conv(F.hex(F.substring("lo", 1, 2)), 16, 10).cast("long") * F.col("nodes") / (FULL * 256 + FULL + 1)), F.col("nodes") - 1).cast("int")), "boxes")
+        corner = lambda c, f: F.concat(*[f(F.substring(c, i + 1, 1)).alias(f"{c}{i}") for i in range(GROUPS)])
+        inner = self.scratch.put(box.groupBy("band", "node").agg(corner("lo", F.min).alias("lo"), corner("hi", F.max).alias("hi")), "inner")
+        other = inner.select("band", F.col("node").alias("node_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+        nodes = inner.join(other, "band").where("node <= node_b").mapInArrow(_box_filter(t, ["band", "node", "node_b"]), "band bigint, node int, node_b int")
+        right = box.select("band", F.col("node").alias("node_b"), F.col("leaf").alias("leaf_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+        pairs = nodes.join(box, ["band", "node"]).join(right, ["band", "node_b"]).where("node < node_b or leaf < leaf_b").where("leaf <> leaf_b")
+        near = pairs.mapInArrow(_box_filter(t, ["leaf", "leaf_b"]), "leaf bigint, leaf_b bigint").select(F.least("leaf", "leaf_b").alias("leaf"), F.greatest("leaf", "leaf_b").alias("leaf_b")).distinct()
         full = leaves.select("leaf", "members").dropDuplicates(["leaf"])
         across = near.join(full, "leaf").join(full.select(F.col("leaf").alias("leaf_b"), F.col("members").alias("members_b")), "leaf_b").select("members", "members_b").mapInArrow(_leaf_pairs(t), "a bigint, b bigint")
         cand = packed.where("a is not null").select("a", "b").unionByName(across).distinct()
@@ -385,6 +402,33 @@ class NearDuplicates:
         cross = links.join(a, ["space", "key_a", "i"]).join(b, ["space", "key_b", "j"]).where("x <> y").select("space", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         return same.unionByName(star).unionByName(cross).distinct()
 
+    def groups(self, max_rounds: int = 60) -> DataFrame:
+        """``space, id, group_key``: one row per id and class, with the least
+        class key of all classes that links connect with it.
+
+        Each round hangs a class on its least neighbour, which gives a forest;
+        its roots become the classes of the next round.
+        """
+        name = lambda k: F.concat_ws(":", "space", F.lower(F.hex(k)))
+        m = self.members().withColumn("class", name("key"))
+        links = self.scratch.put(self.links().select(name("key_a").alias("a"), name("key_b").alias("b")), "edges")
+        label = self.scratch.put(m.select(F.col("class").alias("node"), F.col("class").alias("root")).distinct(), "labels")
+        for _ in range(max_rounds):
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = self.scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), "least")
+            ends = least.where("parent > node").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"))
+            found, own = resolve_forest(least.where("parent < node"), ends)
+            root = self.scratch.put(found.select(F.col("node").alias("n"), F.col("root").alias("r")), "roots")
+            own.close()
+            label = self.scratch.put(label.join(root, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root")), "labels")
+            left = links.join(root, F.col("a") == F.col("n")).select("b", F.col("r").alias("ra")).join(root, F.col("b") == F.col("n")).select(F.least("ra", "r").alias("a"), F.greatest("ra", "r").alias("b")).where("a <> b").distinct()
+            links = self.scratch.put(left, "edges")
+            if links.isEmpty():
+                break
+        else:
+            raise RuntimeError(f"links remain after {max_rounds} rounds")
+        return m.join(label, F.col("class") == F.col("node")).select("space", "id", F.substring_index("root", ":", -1).alias("group_key"))
+
     def link_counts(self) -> DataFrame:
         """``space, id, n_copies, n_links``: per id, ids with an equal word set
         (itself included) and classes at the similarity."""

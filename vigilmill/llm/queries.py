@@ -71,6 +71,11 @@ def p6_class_links(spark, d):
     return got.select(F.col("space").alias("table_name"), F.lower(F.hex("key_a")).alias("class_a"), F.lower(F.hex("key_b")).alias("class_b"), "similarity")
 
 
+def p6_groups(spark, d):
+    """One row per document and word set, with its group: classes connected by links."""
+    return near_duplicates.NearDuplicates(forum_texts(spark, d)).groups().withColumnRenamed("space", "table_name")
+
+
 def p6_link_counts(spark, d):
     return near_duplicates.NearDuplicates(forum_texts(spark, d)).link_counts().withColumnRenamed("space", "table_name")
 
@@ -114,6 +119,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_classes": p6_classes,
     "p6_class_links": p6_class_links,
+    "p6_groups": p6_groups,
     "p6_link_counts": p6_link_counts,
     "p8_packing": p8_packing,
     "p8_fill": p8_fill,
@@ -147,6 +153,16 @@ k AS (SELECT DISTINCT table_name, id, text, {_look('text')} AS look FROM t WHERE
 several AS (SELECT table_name, look FROM k WHERE look <> '' GROUP BY 1, 2 HAVING count(DISTINCT text) > 1),
 m AS (SELECT k.* FROM k JOIN several USING (table_name, look))
 SELECT DISTINCT a.table_name, a.id AS id_a, b.id AS id_b FROM m a JOIN m b ON a.table_name = b.table_name AND a.look = b.look AND a.id < b.id AND a.text <> b.text""",
+    "p6_found": f"""WITH t AS (SELECT 'posts' AS table_name, {_ID} AS id, selftext AS text FROM posts UNION SELECT 'comments', {_ID}, body FROM comments),
+l AS (SELECT table_name, id, regexp_extract_all(lower({_look('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM t WHERE id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT table_name, id, list_distinct(w) AS w FROM l WHERE len(w) >= 40),
+u AS (SELECT DISTINCT table_name, id, w, len(w) AS n FROM s),
+k AS (SELECT row_number() OVER () AS rid, * FROM u), x AS (SELECT rid, table_name, n, unnest(w) AS word FROM k),
+f AS (SELECT word, count(*) AS c FROM x GROUP BY word),
+p AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY rid ORDER BY c, word) AS rk FROM x JOIN f USING (word)) WHERE rk <= n - ceil(0.75 * n) + 1),
+c AS (SELECT DISTINCT a.rid AS ra, b.rid AS rb FROM p a JOIN p b ON a.word = b.word AND a.table_name = b.table_name AND a.rid < b.rid AND a.n >= 0.75 * b.n AND b.n >= 0.75 * a.n),
+v AS (SELECT a.table_name, a.id AS x, b.id AS y, len(list_intersect(a.w, b.w)) AS i, a.n AS na, b.n AS nb FROM c JOIN k a ON a.rid = ra JOIN k b ON b.rid = rb)
+SELECT DISTINCT table_name, least(x, y) AS id_a, greatest(x, y) AS id_b FROM v WHERE x <> y AND i >= 0.75 * (na + nb - i) - 1e-9""",
     "p9_found": f"""WITH i AS (SELECT item_id, coalesce(lower(lang), '') LIKE 'zh%' AS zh, {_RUNS} AS w FROM eval_items), d AS (SELECT doc_id, {_RUNS} AS w FROM documents),
 ig AS (SELECT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i WHERE NOT zh)),
 dg AS (SELECT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS p FROM d)),
