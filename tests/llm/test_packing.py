@@ -63,3 +63,24 @@ def test_documents(rows):
             assert len(v) == -(-n[d] // cap) and [(k, k * cap) for k in range(len(v))] == [(a, b) for a, b, _ in sorted(v)]
     assert {x["window_name"] for x in out} == {"a", "b"}
     assert p.pack_documents(docs.where("false"), windows).count() == p.pack_documents(docs, windows.where("false")).count() == 0
+
+
+def test_two_windows_of_one_name(spark, rows):
+    """Windows of one name and different capacity are packed apart."""
+    docs = rows([(k, "word " * (5 + 7 * k % 23)) for k in range(60)], "doc_id long, text string")
+    windows = rows([("a", 64), ("a", 128)], "window_name string, capacity_tokens int")
+    got = {r["capacity"]: r for r in p.fill_report(p.pack_documents(docs, windows)).collect()}
+    for c in (64, 128):
+        assert got[c]["fullest"] <= c and got[c]["n_items"] == 60 and got[c]["n_bins"] <= got[c]["least_bins"] + 1
+
+
+def test_islands_beat_best_fit(rows):
+    """Sizes on which best fit by size needs a bin more than the islands, over tasks, with migration."""
+    size = [42, 22, 13, 28, 14, 13, 42, 18, 12, 21, 9, 36, 42, 30, 39, 35, 44, 32, 41, 16, 8, 27, 36, 22, 43, 15]
+    plain = p.best_fit(sorted(range(len(size)), key=lambda i: -size[i]), size, 60)
+    placed = rows([("w", 60, 0, k, 0, s) for k, s in enumerate(size)], "window_name string, capacity long, block long, doc_id long, piece_no int, n_tokens long")
+    from vigilmill.session import Scratch
+
+    got = p.pack_blocks(placed, Scratch(placed.sparkSession, "t")).collect()
+    assert len(got) == len(size) and max(r["used"] for r in got) <= 60
+    assert max(r["bin_no"] for r in got) + 1 < len(plain[0])

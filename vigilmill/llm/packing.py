@@ -3,8 +3,9 @@
 A solution is a set of bins. Crossover injects whole well-filled bins of one
 parent into the other, removes the bins that then hold an item twice, and puts
 the displaced items back by best fit, largest first. Populations live on
-islands whose elites migrate in a ring; the islands of one block of documents
-run in one task. Blocks are hash-sized (about BLOCK items), so a task's work is
+islands, each a row that any task may evolve; elites migrate in a ring through a
+written table. An island whose best solution has the least possible number of
+bins stops. Blocks are hash-sized (about BLOCK items), so a task's work is
 bounded and blocks scale with the data. Between rounds the poorly filled bins
 of all blocks are dissolved and their items form new blocks: what one block
 can't combine, another can.
@@ -16,7 +17,6 @@ import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,64 +112,145 @@ def crossover(a: tuple[list[Bin], list[int]], b: tuple[list[Bin], list[int]], si
     return best_fit(loose, size, capacity, bins, room)
 
 
-def pack(size: list[int], capacity: int, seed: int = 0, islands: int = ISLANDS, population: int = POPULATION, generations: int = GENERATIONS, migrate: int = MIGRATE) -> list[Bin]:
-    """Bins of item numbers for one block (every size is 1..capacity)."""
-    if not size:
-        return []
-    rng = random.Random(seed)
-    n = len(size)
-    largest_first = sorted(range(n), key=lambda i: (-size[i], i))
-    least = -(-sum(size) // capacity)
-    start = best_fit(largest_first, size, capacity)
-    if len(start[0]) <= least or n < 3:
-        return start[0]  # no packing has fewer bins
+Solution = tuple[list[Bin], list[int]]  # bins and their room
+
+
+def score(s: Solution, capacity: int) -> tuple[int, float]:
+    return -len(s[0]), fitness(s[1], capacity)
+
+
+def solution(places: list[int], size: list[int], capacity: int) -> Solution:
+    """A solution from each item's bin number."""
+    bins: list[Bin] = [[] for _ in range(max(places) + 1)]
+    for i, k in enumerate(places):
+        bins[k].append(i)
+    return bins, [capacity - sum(size[i] for i in b) for b in bins]
+
 
-    def some() -> tuple[list[Bin], list[int]]:
-        order = largest_first[:]
+def places(s: Solution, n: int) -> list[int]:
+    out = [0] * n
+    for k, items in enumerate(s[0]):
+        for i in items:
+            out[i] = k
+    return out
+
+
+def first_pool(size: list[int], capacity: int, rng: random.Random, population: int) -> list[Solution]:
+    """Best fit by size, and best fits of slightly disordered items."""
+    n = len(size)
+    order = sorted(range(n), key=lambda i: (-size[i], i))
+    pool = [best_fit(order, size, capacity)]
+    while len(pool) < population:
+        some = order[:]
         for k in range(0, n - 1, 2):  # a little disorder keeps best fit good
             j = min(n - 1, k + rng.randrange(1, 12))
             if rng.random() < 0.5:
-                order[k], order[j] = order[j], order[k]
-        return best_fit(order, size, capacity)
-
-    score = lambda s: (-len(s[0]), fitness(s[1], capacity))
-    pools = [[start if not k and not p else some() for p in range(population)] for k in range(islands)]
-    for g in range(1, generations + 1):
-        for pool in pools:
-            pool.sort(key=score, reverse=True)
-            a, b = pool[0], rng.choice(pool[1:])
-            for x, y in ((a, b), (b, a)):
-                child = crossover(x, y, size, capacity, rng)
-                if score(child) > score(pool[-1]):
-                    pool[-1] = child
-                    pool.sort(key=score, reverse=True)
-        best = max((p[0] for p in pools), key=score)
-        if len(best[0]) <= least:
-            return best[0]
-        if g % migrate == 0:  # elites move on around the ring
-            elites = [p[0] for p in pools]
-            for k, pool in enumerate(pools):
-                pool[-1] = elites[k - 1]
-    return max((p[0] for p in pools), key=score)[0]
-
-
-def _pack_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["doc_id", "piece_no"], kind="stable").reset_index(drop=True)
-    capacity = int(pdf["capacity"].iloc[0])
-    size = pdf["n_tokens"].astype(int).tolist()
-    number = [0] * len(size)
-    fill = [0] * len(size)
-    for k, items in enumerate(pack(size, capacity, seed=int(key[1]) & 0xFFFF)):
-        used = sum(size[i] for i in items)
-        for i in items:
-            number[i], fill[i] = k, used
-    pdf["bin_no"], pdf["used"] = number, fill
-    return pdf[["window_name", "capacity", "doc_id", "piece_no", "n_tokens", "block", "bin_no", "used"]]
+                some[k], some[j] = some[j], some[k]
+        pool.append(best_fit(some, size, capacity))
+    return pool
+
+
+def evolve(size: list[int], capacity: int, pool: list[Solution], seed: int, generations: int, population: int = POPULATION) -> list[Solution]:
+    """One island for some generations, the best solution first; it starts
+    itself where ``pool`` is empty and stops where no packing has fewer bins."""
+    rng = random.Random(seed)
+    least = -(-sum(size) // capacity)
+    pool = pool or first_pool(size, capacity, rng, population)
+    pool.sort(key=lambda s: score(s, capacity), reverse=True)
+    for _ in range(generations if len(size) > 2 else 0):
+        if len(pool[0][0]) <= least:
+            break
+        a, b = pool[0], rng.choice(pool[1:])
+        for x, y in ((a, b), (b, a)):
+            child = crossover(x, y, size, capacity, rng)
+            if score(child, capacity) > score(pool[-1], capacity):
+                pool[-1] = child
+                pool.sort(key=lambda s: score(s, capacity), reverse=True)
+    return pool
+
+
+def pack(size: list[int], capacity: int, seed: int = 0, islands: int = ISLANDS, generations: int = GENERATIONS, migrate: int = MIGRATE) -> list[Bin]:
+    """Bins of item numbers for one block (every size is 1..capacity), with
+    all islands in this process: what pack_documents does over tasks."""
+    if not size:
+        return []
+    pools: list[list[Solution]] = [[] for _ in range(islands)]
+    for e in range(-(-generations // migrate)):
+        pools = [evolve(size, capacity, p, seed * 1009 + e * 31 + k, migrate) for k, p in enumerate(pools)]
+        elites = [p[0] for p in pools]
+        for k, p in enumerate(pools):
+            p[-1] = elites[k - 1]
+    return max((p[0] for p in pools), key=lambda s: score(s, capacity))[0]
+
+
+_KEYS = ["window_name", "capacity", "block"]
+_STATE = "window_name string, capacity bigint, block bigint, island int, size array<bigint>, pool array<array<int>>, n_bins int, fit double"
+
+
+def _evolve(epoch: int, generations: int):
+    """Rows of _KEYS, island, size, pool and guest (the elite of the island before, or null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, bins, fit = [], [], []
+            for key, capacity, island, size, pool, guest in zip(*[b[c].to_pylist() for c in ("block", "capacity", "island", "size", "pool", "guest")], strict=True):
+                own = [solution(p, size, capacity) for p in pool or []]
+                if guest:
+                    own[-1] = solution(guest, size, capacity)
+                own = evolve(size, capacity, own, (key * 1009 + epoch * 31 + island) & 0xFFFFFF, generations)
+                # A solved island need not carry its other members on.
+                keep = own if len(own[0][0]) > -(-sum(size) // capacity) else own[:1] * len(own)
+                out.append([places(s, len(size)) for s in keep])
+                bins.append(len(own[0][0]))
+                fit.append(fitness(own[0][1], capacity))
+            cols = [b[c] for c in ("window_name", "capacity", "block", "island", "size")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.list_(pa.list_(pa.int32()))), pa.array(bins, pa.int32()), pa.array(fit, pa.float64())], [c.split()[0] for c in _STATE.split(", ")])
+
+    return run
 
 
 _PACKED = "window_name string, capacity bigint, doc_id bigint, piece_no int, n_tokens bigint, block bigint, bin_no int, used bigint"
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their best solution to one row an item."""
+    for b in batches:
+        for window, capacity, block, items, best in zip(*[b[c].to_pylist() for c in ("window_name", "capacity", "block", "items", "best")], strict=True):
+            n, used = len(items), [0] * (max(best) + 1)
+            for x, k in zip(items, best, strict=True):
+                used[k] += x["n_tokens"]
+            col = lambda f, k: pa.array([f(i) for i in range(n)], k)
+            yield pa.RecordBatch.from_arrays(
+                [col(lambda i: window, pa.string()), col(lambda i: capacity, pa.int64()), col(lambda i: items[i]["doc_id"], pa.int64()), col(lambda i: items[i]["piece_no"], pa.int32()),
+                 col(lambda i: items[i]["n_tokens"], pa.int64()), col(lambda i: block, pa.int64()), col(lambda i: best[i], pa.int32()), col(lambda i: used[best[i]], pa.int64())],
+                [c.split()[0] for c in _PACKED.split(", ")])
+
+
+def pack_blocks(placed: DataFrame, scratch: Scratch, islands: int = ISLANDS, generations: int = GENERATIONS, migrate: int = MIGRATE) -> DataFrame:
+    """Items with a ``block`` (_PACKED): a genetic algorithm per block.
+
+    Each island of a block is a row of its own that any task may evolve; after
+    ``migrate`` generations the elites go to the next island of their block
+    through a written table.
+    """
+    blocks = scratch.put(placed.groupBy(*_KEYS).agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece_no", "n_tokens"))).alias("items")), "blocks")  # about BLOCK items each
+    none = F.lit(None)
+    state = blocks.select(*_KEYS, F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.n_tokens").alias("size"), none.cast("array<array<int>>").alias("pool"), none.cast("array<int>").alias("guest"))
+    state = spread_rows(state)
+    for e in range(-(-generations // migrate)):
+        if e:
+            elite = state.select(*_KEYS, F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("pool")[0].alias("guest"))
+            state = state.join(elite, [*_KEYS, "island"])
+        state = scratch.put(state.mapInArrow(_evolve(e, migrate), _STATE), "islands")
+    best = state.groupBy(*_KEYS).agg(F.max_by(F.col("pool")[0], F.struct(-F.col("n_bins"), "fit", -F.col("island"))).alias("best"))
+    return blocks.join(best, _KEYS).mapInArrow(_placed, _PACKED)
+
+
+def spread_rows(state: DataFrame) -> DataFrame:
+    """Islands over all cores: a row is some hundredths of a second of work, and a partition of rows by size alone would hold thousands."""
+    return state.repartition(max(2 * state.sparkSession.sparkContext.defaultParallelism, int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *_KEYS, "island")
+
+
 def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """Every document in bins of every window size.
 
@@ -202,7 +283,7 @@ def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str = TO
             break
         limits = spark.createDataFrame([(w, c, max(1, round(n / block))) for (w, c), n in per_window.items()], "window_name string, capacity bigint, blocks bigint")
         placed = loose.join(F.broadcast(limits), ["window_name", "capacity"]).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(r)), F.col("blocks"))).drop("blocks")
-        packed = scratch.put(placed.groupBy("window_name", "block").applyInPandas(_pack_block, _PACKED), f"round{r}-")
+        packed = scratch.put(pack_blocks(placed, scratch), f"round{r}-")
         last = r == rounds - 1
         good = packed if last else packed.where(F.col("used") >= FULL_ENOUGH * F.col("capacity"))
         done.append(good.select("window_name", "capacity", F.concat_ws("-", F.lit(f"r{r}"), F.col("block").cast("string"), F.col("bin_no").cast("string")).alias("bin_id"), "doc_id", "piece_no", "n_tokens"))
