@@ -2,10 +2,10 @@
 
 Two steps. *Folding* needs no corpus: composed form, full-width and half-width
 forms, joined letters, invisible characters and blanks. *Script-aware repair*
-does: per token the dominant script is found, look-alike letters are
-substituted only in tokens that mix scripts (or that consist of look-alikes
-alone in a text of the other script), and only if the result is a word of the
-corpus. Everything that works on whole texts is one pass of Arrow batches over
+does: per token the dominant script is that of its letters without a look-alike;
+look-alikes of other scripts are substituted towards it, only in tokens that mix
+scripts (or that consist of look-alikes alone in a Latin text), and only if the
+result is a word of the corpus. Everything that works on whole texts is one pass of Arrow batches over
 the dirty rows; the vocabulary and the repairs are tables, never collected.
 """
 
@@ -25,11 +25,34 @@ from ..session import Scratch, free_name, spread
 # Letters of other alphabets with the shape of a Latin letter.
 CYRILLIC = "аеорсухһіїјѕԁԛԝӏѵАВЕЅІЇЈКМНОРСТУХҮԚԜӀ"
 CYRILLIC_AS = "aeopcyxhiïjsdqwlvABESIÏJKMHOPCTYXYQWI"
-GREEK = "ονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ"
-GREEK_AS = "ovpcjABEZHIKMNOPTYXC"
+GREEK = "αονρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ"
+GREEK_AS = "aovpcjABEZHIKMNOPTYXC"
 ARMENIAN = "օսոհցՕՍԼ"
 ARMENIAN_AS = "ounhgOUL"
-LOOKALIKE = dict(zip(CYRILLIC + GREEK + ARMENIAN, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS, strict=True))
+CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ"
+CHEROKEE_AS = "ABCDEGHJKLMPRSTVWZ"
+OTHER_LATIN = "ɑɡ"
+OTHER_LATIN_AS = "ag"
+LOOKALIKE = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE + OTHER_LATIN, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + OTHER_LATIN_AS, strict=True))
+
+
+def _accented() -> dict[str, str]:
+    """Letters that are a look-alike with accents, as the Latin letter with them."""
+    out = {}
+    for code in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base in LOOKALIKE:
+            latin = unicodedata.normalize("NFC", LOOKALIKE[base] + "".join(marks))
+            if len(latin) == 1:
+                out[chr(code)] = latin
+    return out
+
+
+LOOKALIKE |= {k: v for k, v in _accented().items() if k not in LOOKALIKE}
+#: The other way round, by script: Latin letters as letters of that script.
+AS_SCRIPT: dict[str, dict[int, str]] = {}
+for _s, _own, _latin in (("CYRILLIC", CYRILLIC, CYRILLIC_AS), ("GREEK", GREEK, GREEK_AS), ("ARMENIAN", ARMENIAN, ARMENIAN_AS)):
+    AS_SCRIPT[_s] = {ord(b): a for a, b in reversed(list(zip(_own, _latin, strict=True)))}
 
 # Characters that show nothing, beyond Unicode's format class Cf.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
@@ -88,35 +111,55 @@ def script(c: str) -> str:
     return name.split()[0] if not name.startswith("CJK") else "HAN"
 
 
+def dominant(token: str) -> str | None:
+    """The script of the token's letters that look like no letter of another
+    one; ``LATIN`` if there are none, None if they are of several."""
+    own = {script(c) for c in token if c.isalpha() and c not in LOOKALIKE}
+    for s in own - {"LATIN"}:
+        if s in AS_SCRIPT:  # Latin letters may stand for its own
+            own = {script(c) for c in token if c.isalpha() and c not in LOOKALIKE and ord(c) not in AS_SCRIPT[s]}
+            break
+    return own.pop() if len(own) == 1 else None if own else "LATIN"
+
+
+_LOOK = str.maketrans(LOOKALIKE)
+
+
+def as_latin(token: str) -> str:
+    return unicodedata.normalize("NFC", token.translate(_LOOK))
+
+
+def plain_form(token: str) -> str:
+    """The token with all look-alikes as letters of its dominant script."""
+    s = dominant(token)
+    return as_latin(token) if s == "LATIN" else token.translate(AS_SCRIPT[s]) if s in AS_SCRIPT else token
+
+
 def suspects(text: str) -> list[str]:
     """Tokens of a folded text that may hold substituted letters, once each.
 
-    A token is suspect if it has a look-alike of a Latin letter and either
-    Latin letters too (mixed scripts, Latin dominant or not), or nothing but
-    look-alikes while most letters of the text are Latin.
+    A token is suspect if it mixes letters of its dominant script with
+    look-alikes of another one, or has nothing but look-alikes of Latin
+    letters while most letters of the text are Latin.
     """
     if text.isascii():
         return []
-    found = dict.fromkeys(w for w in _WORD.findall(text) if not w.isascii() and any(c in LOOKALIKE for c in w))
+    found = dict.fromkeys(w for w in _WORD.findall(text) if not w.isascii() and (any(c in LOOKALIKE for c in w) or any(c.isascii() for c in w)))
     if not found:
         return []
     letters = [c for c in text if c.isalpha()]
     latin = sum(c < "ɐ" for c in letters) * 2 > len(letters)
     out = []
     for w in found:
-        kinds = {script(c) for c in w if c.isalpha() and c not in LOOKALIKE}
-        if kinds == {"LATIN"} or (not kinds and latin):
+        s = dominant(w)
+        if s == "LATIN":
+            if any(c in LOOKALIKE for c in w) and (latin or any(c.isalpha() and c < "ɐ" for c in w)):
+                out.append(w)
+        elif s in AS_SCRIPT and any(ord(c) in AS_SCRIPT[s] for c in w):
             out.append(w)
     return out
 
 
-_LOOK = str.maketrans(LOOKALIKE)
-
-
-def as_latin(token: str) -> str:
-    return unicodedata.normalize("NFC", token.translate(_LOOK))
-
-
 def look(text: str, table: dict | None = None) -> str:
     """Folded text with look-alikes in suspect tokens as Latin letters: the
     comparison form where no vocabulary is at hand (word comparison)."""
@@ -124,7 +167,7 @@ def look(text: str, table: dict | None = None) -> str:
         return text.strip(" ").replace("\t", " ")
     f = fold(text, table)
     bad = set(suspects(f))
-    return _WORD.sub(lambda m: as_latin(m[0]) if m[0] in bad else m[0], f) if bad else f
+    return _WORD.sub(lambda m: plain_form(m[0]) if m[0] in bad else m[0], f) if bad else f
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +178,14 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["raw"], pa.array(folds, pa.string()), pa.array([suspects(f) for f in folds], pa.list_(pa.string()))], ["raw", "folded", "tokens"])
 
 
+def _plain_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["token"], pa.array([plain_form(t) for t in b["token"].to_pylist()], pa.string())], ["token", "repaired"])
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each batch that could be the result of a repair."""
-    pure = re.compile(r"[A-Za-zÀ-ɏ]+(?:[’'ʼ][A-Za-zÀ-ɏ]+)*")
+    """Distinct words of each batch that could be the result of a repair: of one script."""
+    pure = re.compile(r"[A-Za-zÀ-ɏ]+(?:[’'ʼ][A-Za-zÀ-ɏ]+)*|[Ͱ-Ͽἀ-῿]+|[Ѐ-ԯ]+|[԰-֏]+")
     for b in batches:
         seen = set(pure.findall("\n".join(t for t in b["text"].to_pylist() if t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
@@ -149,24 +197,23 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, good in zip(b["folded"].to_pylist(), b["good"].to_pylist(), strict=True):
             if good:
                 bad = set(good)
-                text = _WORD.sub(lambda m: as_latin(m[0]) if m[0] in bad else m[0], text)
+                text = _WORD.sub(lambda m: plain_form(m[0]) if m[0] in bad else m[0], text)
             out.append(text)
         yield pa.RecordBatch.from_arrays([b["raw"], pa.array(out, pa.string()), pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in out], pa.string())], ["raw", "repaired", "key"])
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """``word``: the distinct Latin words of all of ``texts`` (column text)."""
+    """``word``: the distinct words of one script of all of ``texts`` (column text)."""
     return spread(texts.select("text")).mapInArrow(_words, "word string").distinct()
 
 
 def repairs(suspect_tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """``token, repaired`` for suspect tokens whose Latin form is a word.
+    """``token, repaired`` for suspect tokens whose plain form is a word.
 
     A word is one of ``words``, or a form that at least two different suspect
     spellings lead to (so two disguised copies agree without a plain one).
     """
-    frm, to = zip(*LOOKALIKE.items(), strict=True)
-    cand = suspect_tokens.select("token").distinct().withColumn("repaired", F.translate("token", "".join(frm), "".join(to)))
+    cand = suspect_tokens.select("token").distinct().mapInArrow(_plain_forms, "token string, repaired string")
     agreed = cand.groupBy("repaired").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("repaired").alias("word"))
     known = words.join(cand.select(F.col("repaired").alias("word")).distinct(), "word", "left_semi").unionByName(agreed).distinct()
     return cand.join(known.withColumnRenamed("word", "repaired"), "repaired", "left_semi").select("token", "repaired")
@@ -204,10 +251,11 @@ def consistent_texts(df: DataFrame, text_col: str, vocabulary_from: DataFrame |
     canon = canonical_texts(texts if vocabulary_from is None else texts.unionByName(vocabulary_from.select("text")), scratch)
     c = F.col(text_col)
     dirty = c.isNotNull() & ~is_clean(c)
-    key = F.when(dirty, F.md5(F.encode(c, "UTF-8")))
     raw, form = free_name("_raw", df.columns), free_name("_form", df.columns)
-    joined = df.withColumn(raw, key).join(canon.select(F.col("raw").alias(raw), F.col("repaired").alias(form)), raw, "left")
-    return joined.select(*[F.coalesce(form, text_col).alias(k) if k == text_col else F.col(f"`{k}`") for k in df.columns])
+    # Only dirty rows are joined; all others, most of a corpus, stay where they are.
+    joined = df.where(dirty).withColumn(raw, F.md5(F.encode(c, "UTF-8"))).join(canon.select(F.col("raw").alias(raw), F.col("repaired").alias(form)), raw, "left")
+    mended = joined.select(*[F.coalesce(form, text_col).alias(k) if k == text_col else F.col(f"`{k}`") for k in df.columns])
+    return df.where(~dirty).unionByName(mended)
 
 
 def look_alike_classes(texts: DataFrame) -> DataFrame:
@@ -231,25 +279,24 @@ def look_alike_classes(texts: DataFrame) -> DataFrame:
     return members.join(several, ["space", "key"], "left_semi").select("space", "id", "raw", "key")
 
 
-#: Up to so many rows of one form are given as all pairs; of more, see look_alike_pairs.
-ALL_PAIRS = 200
+#: Ids of one spelling that meet in one join key; results don't depend on it.
+BLOCK = 1000
 
 
-def look_alike_pairs(members: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """``space, id_a, id_b``: ids whose texts look the same but differ.
+def look_alike_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``space, id_a, id_b``: all pairs of ids whose texts look the same but differ.
 
-    In a form with more than ``all_pairs`` rows, the pairs are those with the
-    form's first id, and with the first id of a text that differs from that
-    one's: linear in the rows, and it loses no row, as look_alike_classes
-    gives each row's class exactly.
+    Spellings of a form are paired first, then the ids of the two spellings,
+    in blocks of about ``block`` ids: rows of equal texts never meet, and no
+    join key grows with a form that very many rows share.
     """
-    group = members.groupBy("space", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "raw")).alias("first"))
-    sized = members.join(group, ["space", "key"])
-    small = sized.where(F.col("n") <= all_pairs).select("space", "key", "id", "raw")
-    other = small.select("space", "key", F.col("id").alias("id_b"), F.col("raw").alias("raw_b"))
-    near = small.join(other, ["space", "key"]).where((F.col("id") < F.col("id_b")) & (F.col("raw") != F.col("raw_b"))).select("space", F.col("id").alias("id_a"), "id_b")
-    large = sized.where(F.col("n") > all_pairs)
-    unlike = large.where(F.col("raw") != F.col("first.raw")).groupBy("space", "key").agg(F.min(F.struct("id", "raw")).alias("second"))
-    star = large.join(unlike, ["space", "key"]).withColumn("hub", F.when(F.col("raw") != F.col("first.raw"), F.col("first.id")).otherwise(F.col("second.id")))
-    far = star.where(F.col("id") != F.col("hub")).select("space", F.least("id", "hub").alias("id_a"), F.greatest("id", "hub").alias("id_b"))
-    return near.unionByName(far).distinct()
+    n = members.groupBy("space", "key", "raw").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    other = n.select("space", "key", F.col("raw").alias("raw_b"), F.col("blocks").alias("blocks_b"))
+    pairs = n.join(other, ["space", "key"]).where("raw < raw_b")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    met = pairs.withColumn("i", each("blocks")).withColumn("j", each("blocks_b")).drop("blocks", "blocks_b")
+    own = members.join(n, ["space", "key", "raw"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    a = own.select("space", "key", "raw", F.col("part").alias("i"), F.col("id").alias("x"))
+    b = own.select("space", "key", F.col("raw").alias("raw_b"), F.col("part").alias("j"), F.col("id").alias("y"))
+    got = met.join(a, ["space", "key", "raw", "i"]).join(b, ["space", "key", "raw_b", "j"]).where("x <> y")
+    return got.select("space", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
