@@ -53,3 +53,15 @@ def test_units_cover_the_text(rows):
         assert all(t[a:z] == t[a:z].strip() and z > a for _, a, z in units)
         assert [n for n, *_ in units] == list(range(len(units)))
     assert s.sentence_units(df.where("false"), TAGGER).count() == 0
+
+
+def test_stored_tagger_is_the_trained_one():
+    stored = s.stored_tagger()
+    for t, _ in HELD_OUT:
+        assert s.split_units(t, stored) == s.split_units(t, TAGGER)
+
+
+def test_units_with_text_and_columns(rows):
+    df = rows([(1, "One here. Two there.", "en", 5), (2, None, "de", 5), (1, "One here. Two there.", "en", 5)], "doc_id bigint, text string, lang string, extra int")
+    got = sorted(tuple(r) for r in s.sentence_units(df, with_text=True, keep=("lang",)).select("doc_id", "lang", "unit_no", "unit").collect())
+    assert got == [(1, "en", 0, "One here."), (1, "en", 0, "One here."), (1, "en", 1, "Two there."), (1, "en", 1, "Two there.")]

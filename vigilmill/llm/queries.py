@@ -105,9 +105,7 @@ def p10_found(spark, d):
 
 
 def p10_sentences(spark, d):
-    docs = table(spark, d, "documents")
-    units = sentences.sentence_units(docs)
-    return docs.select("doc_id", "lang", "text").join(units, "doc_id").select("doc_id", "unit_no", "lang", F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("unit"))
+    return sentences.sentence_units(table(spark, d, "documents"), with_text=True, keep=("lang",)).select("doc_id", "unit_no", "lang", "unit")
 
 
 QUERIES = {

@@ -13,6 +13,8 @@ punctuation stripped for scripts that have none.
 
 from __future__ import annotations
 
+import json
+import os
 import random
 import re
 import unicodedata
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from ..session import spread
 from .sentence_seeds import ABBREVIATIONS, BEFORE_LETTER, NUMBER_ABBREVIATIONS, ORDINAL_BEFORE, SEEDS, TITLES
 
+MODEL = os.path.join(os.path.dirname(__file__), "models", "boundary_tagger.json")
 TERMINATORS = ".!?…。！？．｡।॥؟۔"
 # Opening marks and what closes them.
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "‘": "’", "‚": "‘’", "(": ")", "（": "）", "[": "]", "【": "】", "‹": "›", "《": "》"}
@@ -322,6 +325,20 @@ def trained_tagger(seeds: dict[str, list[str]] = SEEDS, texts: int = 3000, seed:
     return BoundaryTagger().train([labelled(*compose(rng, seeds, langs[k % len(langs)])) for k in range(texts)])
 
 
+def save_tagger(tagger: BoundaryTagger, path: str = MODEL) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"w": {k: round(v, 4) for k, v in sorted(tagger.w.items()) if v}, "t": tagger.t}, f, ensure_ascii=False, indent=0)
+
+
+def stored_tagger(path: str = MODEL) -> BoundaryTagger:
+    """The tagger that ``python -m vigilmill.llm.sentences`` trained and stored."""
+    out = BoundaryTagger()
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    out.w, out.t = data["w"], data["t"]
+    return out
+
+
 def split_units(text: str, tagger: BoundaryTagger) -> list[tuple[int, int]]:
     """Spans of the units: no blanks at their ends, all visible text covered."""
     cand = candidates(text)
@@ -341,32 +358,44 @@ def split_units(text: str, tagger: BoundaryTagger) -> list[tuple[int, int]]:
     return out
 
 
-def _split(model: tuple[dict[str, float], list[list[float]]]):
+def _split(model: tuple[dict[str, float], list[list[float]]], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = BoundaryTagger()
         tagger.w, tagger.t = model
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                ids, starts, ends, seqs = [], [], [], []
-                for i, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                rows, starts, ends, seqs, units = [], [], [], [], []
+                for k, text in enumerate(part["text"].to_pylist()):
                     spans = split_units(text, tagger)
-                    ids += [i] * len(spans)
+                    rows += [k] * len(spans)
                     starts += [a for a, _ in spans]
                     ends += [z for _, z in spans]
                     seqs += range(len(spans))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "unit_no", "start_pos", "end_pos"])
+                    if with_text:
+                        units += [text[a:z] for a, z in spans]
+                keys = [part[c].take(pa.array(rows, pa.int64())) for c in part.schema.names if c != "text"]
+                cols = [*keys, pa.array(seqs, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), *([pa.array(units, pa.string())] if with_text else [])]
+                yield pa.RecordBatch.from_arrays(cols, [*[c for c in part.schema.names if c != "text"], "unit_no", "start_pos", "end_pos", *(["unit"] if with_text else [])])
 
     return run
 
 
-def sentence_units(documents: DataFrame, tagger: BoundaryTagger | None = None) -> DataFrame:
+def sentence_units(documents: DataFrame, tagger: BoundaryTagger | None = None, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, unit_no, start_pos, end_pos`` for every unit of every document.
 
-    Positions are code points, the end exclusive. Null, empty and blank texts
-    have no units; repeated rows repeat their units; a text of any length is
-    one pass in one task, with memory in proportion to it; other columns are
-    ignored.
+    ``keep`` names columns that each unit takes along, ``with_text`` adds
+    ``unit``, its text, in the same pass. Positions are code points, the end
+    exclusive. Null, empty and blank texts have no units; repeated rows repeat
+    their units; a text of any length is one pass in one task, with memory in
+    proportion to it; other columns are ignored.
     """
-    tagger = tagger or trained_tagger()
-    return spread(documents.where("text is not null").select("doc_id", "text")).mapInArrow(_split((tagger.w, tagger.t)), "doc_id bigint, unit_no int, start_pos int, end_pos int")
+    tagger = tagger or stored_tagger()
+    keys = ["doc_id", *keep]
+    kinds = ", ".join(f"`{k}` {documents.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, unit_no int, start_pos int, end_pos int" + (", unit string" if with_text else "")
+    return spread(documents.where("text is not null").select(*keys, "text")).mapInArrow(_split((tagger.w, tagger.t), with_text), schema)
+
+
+if __name__ == "__main__":
+    save_tagger(trained_tagger())
