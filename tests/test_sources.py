@@ -187,3 +187,53 @@ def test_resume(spark, rows, tmp_path):
     assert extraction_log.run_pending(df, path, half, ["a"], "m") == 2
     assert extraction_log.run_pending(df, path, lambda row: "{}", ["a"], "m") == 1  # only the failed one
     assert extraction_log.run_pending(df, path, half, ["a"], "m") == 0
+
+
+STORE = {"a": [(i, 100 + i) for i in range(25)], "b": [(i + 100, 500) for i in range(3)]}
+
+
+class FakeTransport:
+    """A forum with two threads; thread x always fails. FAIL stops it after some calls."""
+
+    def __init__(self, options):
+        self.options = options
+
+    def get(self, endpoint, p):
+        q = p["link_id"]
+        if q == "x" or os.path.exists(self.options.get("down", "/none") + q):
+            raise RuntimeError("down")
+        rows = [{"id": f"c{i}", "created_utc": t, "link_id": q, "body": "b"} for i, t in STORE[q] if p["after"] <= t < p["before"]]
+        rows.sort(key=lambda r: r["created_utc"], reverse=p["sort"] == "desc")
+        return rows[: p["limit"]] + ([{"created_utc": 100, "body": "no id"}] if q == "a" else [])
+
+
+def test_thread_jobs_resume(spark, rows, tmp_path):
+    """A failed thread doesn't stop the others; a second run takes up only what is pending, without loss or repeat."""
+    from vigilmill.sources import jobs
+
+    path, down = str(tmp_path / "threads"), str(tmp_path / "down-")
+    open(down + "b", "w").close()
+    opt = {"transport": "tests.test_sources:FakeTransport", "pageSize": "7", "delay": "0", "down": down}
+    posts = rows([("a", 90.0), ("b", None), ("x", 1.0), ("a", 95.0), (None, 1.0)], "post_id string, created_utc double")
+    todo = jobs.thread_jobs(posts, 50, 1000)
+    assert {r["job_id"] for r in jobs.ingest_jobs(spark, todo, path, opt, "comments").collect()} == {"thread/b", "thread/x"}
+    assert jobs.ingested(spark, path, "comments").count() == 25
+    # A part without its note is what a crash leaves behind.
+    spark.createDataFrame([("thread/b", "lost")], "job_id string, id string").write.parquet(f"{path}/data/part=1")
+    os.remove(down + "b")
+    assert {r["job_id"] for r in jobs.ingest_jobs(spark, todo, path, opt, "comments").collect()} == {"thread/x"}
+    assert sorted(r["id"] for r in jobs.ingested(spark, path, "comments").collect()) == sorted(f"c{i}" for v in STORE.values() for i, _ in v)
+    jobs.ingest_jobs(spark, jobs.thread_jobs(posts, 50, 2000), path, opt, "comments")
+    assert jobs.ingested(spark, path, "comments").count() == 28
+    with pytest.raises(ValueError, match="other settings"):
+        jobs.ingest_jobs(spark, todo, path, opt, "posts")
+
+
+def test_log_refuses_other_settings(spark, rows, tmp_path):
+    path = str(tmp_path / "log")
+    r = rows([("1", "u", "s", "d", "text", "")], "record_id string, user_id string, subreddit string, date string, message string, context string")
+    assert extraction_log.run_pending(r, path, lambda row: "{}", ["d"], "m", at_once=2) == 1
+    assert extraction_log.run_pending(r, path, lambda row: "{}", ["d"], "m") == 0
+    with pytest.raises(ValueError, match="model_name"):
+        extraction_log.run_pending(r, path, lambda row: "{}", ["d"], "other")
+    assert extraction_log.run_pending(r, path, lambda row: row["prompt"], ["e"], "m", restart=True) == 1

@@ -170,3 +170,20 @@ def test_last_line_of_a_term_wins(spark, tmp_path):
     (tmp_path / "pt.asc").write_text("200$Dry mouth$x\n100$DRY MOUTH$y\n300$Rash\n", encoding="latin-1")
     got = {r["pt_key"]: (r["pt_code"], r["pt_term"]) for r in extractions.terms(readers.term_dictionary(spark, str(tmp_path / "pt.asc"))).collect()}
     assert got == {"dry mouth": (100, "DRY MOUTH"), "rash": (300, "Rash")}
+
+
+def test_targeted_rows(rows):
+    from vigilmill.operators.targeted import targeted_rows
+
+    posts = rows([("p", "ann", 5, 1, "S", "t", "x"), ("q", "bo", 5, 1, "S", "t", "y")], "id string, author string, created_utc long, retrieved_on long, subreddit string, title string, selftext string")
+    comments = rows([("c", "ann", 6, 2, "S", "b", "t3_p", "t3_p"), ("e", "bo", 6, 2, "S", "b", "p", "t1_c"), ("f", "bo", 6, 2, "S", "b", "q", "t3_q")], "id string, author string, created_utc long, retrieved_on long, subreddit string, body string, link_id string, parent_id string")
+    rec = rows([("p", ["d"])], "id string, matched_target_drugs array<string>")
+    own = rows([("e", ["z"])], "id string, matched_target_drugs array<string>")
+    got = {(r["record_id"], tuple(r["recalled_target_drugs"])) for r in targeted_rows(posts, comments, rec, b"s").collect()}
+    assert got == {("p", ("d",)), ("c", ("d",)), ("e", ("d",))}
+    got = {(r["record_id"], tuple(r["recalled_target_drugs"])) for r in targeted_rows(posts, comments, rec, b"s", own).collect()}
+    assert got == {("p", ("d",)), ("e", ("z",))}
+    for bad, more in ((rows([("gone", ["d"])], "id string, matched_target_drugs array<string>"), None), (rec.unionByName(rec), None), (rec, rows([("f", ["d"])], "id string, matched_target_drugs array<string>"))):
+        with pytest.raises(Exception, match="recall"):
+            targeted_rows(posts, comments, bad, b"s", more).collect()
+    assert targeted_rows(posts, comments, rec.where("false"), b"s").count() == 0

@@ -1,6 +1,7 @@
 """Command line: python -m vigilmill.cli STAGE ...
 
-Stages: plan, ingest, recall, clean, statistics. Each reads and writes tables;
+Stages: plan, ingest, threads, recall, recall-comments, clean, extract,
+statistics. Each reads and writes tables;
 everything between is one lazy DataFrame.
 """
 
@@ -16,9 +17,11 @@ from . import config
 from .operators import extractions, recall, records, tables
 from .operators.context import comment_context
 from .operators.dedup import keep_one_delivery
-from .sources import readers, sinks
-from .sources.forum_api import ForumApi, day
+from .functions.ids import bare_id
+from .sources import jobs, readers, sinks
+from .sources.forum_api import day
 from .sources.slices import plan_jobs
+from .streaming.extraction_log import run_pending
 
 
 def parser() -> argparse.ArgumentParser:
@@ -56,6 +59,25 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--salt-file", required=True)
     s.add_argument("--output", required=True)
     s.add_argument("--limit", type=int)
+    s = sub.add_parser("threads")
+    s.add_argument("--recall", required=True)
+    s.add_argument("--start-date", required=True)
+    s.add_argument("--end-date", required=True)
+    s.add_argument("--url", required=True)
+    s.add_argument("--output", required=True)
+    s = sub.add_parser("recall-comments")
+    s.add_argument("--recall", required=True)
+    s.add_argument("--comments", required=True)
+    s.add_argument("--drug-alias-file", required=True)
+    s.add_argument("--output", required=True)
+    s = sub.add_parser("extract")
+    s.add_argument("--input", required=True)
+    s.add_argument("--drug-alias-file", required=True)
+    s.add_argument("--meddra-pt", required=True)
+    s.add_argument("--output", required=True)
+    s.add_argument("--tasks", type=int)
+    s.add_argument("--concurrency", type=int, default=4)
+    s.add_argument("--restart", action="store_true")
     s = sub.add_parser("statistics")
     s.add_argument("--log", required=True)
     s.add_argument("--target-drugs", nargs="+", required=True)
@@ -66,6 +88,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def report_failures(failed) -> None:
+    """End with an error that names some of the failed jobs, if there are any."""
+    some = failed.limit(5).collect()
+    if some:
+        raise SystemExit(f"{failed.count()} jobs failed, such as " + "; ".join(f"{r[0]}: {r[1]}" for r in some))
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -74,19 +103,39 @@ def main(argv: list[str] | None = None) -> None:
     elif a.stage == "ingest":
         if not 1 <= a.page_size <= 100 or a.request_delay < 0 or a.timeout <= 0 or day(a.start_date) >= day(a.end_date):
             raise SystemExit("page size is 1 to 100, delay 0 or more, timeout positive, start before end")
-        spark.dataSource.register(ForumApi)
-        got = spark.read.format("forum_api").options(url=a.url, kind=a.kind, communities=",".join(a.subreddits), start=day(a.start_date), end=day(a.end_date), pageSize=a.page_size, delay=a.request_delay, timeout=a.timeout, maxRetries=a.max_retries).load()
-        sinks.append_slices(got, a.output)
+        options = {"url": a.url, "pageSize": str(a.page_size), "delay": str(a.request_delay), "timeout": str(a.timeout), "maxRetries": str(a.max_retries)}
+        with sinks.folder_lock(a.output):
+            report_failures(jobs.ingest_jobs(spark, jobs.slice_jobs(plan_jobs(spark, a.subreddits, [a.kind], day(a.start_date), day(a.end_date))), a.output, options, a.kind))
+    elif a.stage == "threads":
+        posts = spark.read.parquet(f"{a.recall}/manifest").select(F.col("id").alias("post_id"), "created_utc")
+        with sinks.folder_lock(a.output):
+            report_failures(jobs.ingest_jobs(spark, jobs.thread_jobs(posts, day(a.start_date), day(a.end_date)), a.output, {"url": a.url}, "comments"))
+    elif a.stage == "recall-comments":
+        names = recall.alias_map(readers.alias_table(spark, a.drug_alias_file))
+        posts = spark.read.parquet(f"{a.recall}/manifest").select("id")
+        c = keep_one_delivery(spark.read.parquet(a.comments))
+        own = c.join(posts.select(F.col("id").alias("post")), bare_id(F.col("link_id")) == F.col("post"), "left_semi")
+        texts = own.select(F.col("id").alias("doc_id"), "id", bare_id(F.col("link_id")).alias("post_id"), F.coalesce("body", F.lit("")).alias("text"))
+        # The post recall's fingerprint ties the comments' manifest to it.
+        parameters = {"names": names, "posts": sinks.content_fingerprint(posts, ["id"])}
+        summary = sinks.write_recall(recall.recalled(texts, names).drop("text"), a.output, parameters)
+        print(json.dumps({k: summary[k] for k in ("n_records", "by_drug")}))
+    elif a.stage == "extract":
+        names = recall.alias_map(readers.alias_table(spark, a.drug_alias_file))
+        extractor = extractions.keyword_extractor(names, extractions.term_names(readers.term_dictionary(spark, a.meddra_pt)))
+        with sinks.folder_lock(f"{a.output}.lock"):
+            print(run_pending(spark.read.parquet(a.input), a.output, extractor, list(names), "keywords", a.tasks, a.restart, a.concurrency, extractions.backoff), "lines appended")
     elif a.stage == "recall":
         names = recall.alias_map(readers.alias_table(spark, a.drug_alias_file))
         parameters = {"names": names, "similarity": config.FUZZY_SIMILARITY, "class_only": a.include_class_only, "limit": a.max_recalled_posts, "posts": a.posts}
         if not a.refresh_recall and not a.dry_run and sinks.saved_recall(spark, a.output, parameters) is not None:
             print("the saved recall has the same parameters")
             return
-        posts = keep_one_delivery(spark.read.parquet(a.posts))
+        posts = spark.read.parquet(a.posts)
         text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("selftext", F.lit("")))
-        texts = posts.select(F.col("id").alias("doc_id"), records.community(F.col("subreddit")).alias("subreddit"), records.seconds(F.col("created_utc")).alias("created_utc"), text.alias("text"))
-        got = recall.recalled(texts, names, a.include_class_only).orderBy("subreddit", "created_utc", "doc_id")
+        key = F.concat_ws("/", bare_id(F.col("id")), F.xxhash64(*posts.columns).cast("string"))
+        copies = posts.select(key.alias("doc_id"), bare_id(F.col("id")).alias("id"), "retrieved_on", records.community(F.col("subreddit")).alias("subreddit"), records.seconds(F.col("created_utc")).alias("created_utc"), text.alias("text")).where("id is not null")
+        got = recall.recalled_once(copies, names, a.include_class_only).withColumn("doc_id", F.col("id")).orderBy("subreddit", "created_utc", "id")
         got = got.limit(a.max_recalled_posts) if a.max_recalled_posts else got
         if a.dry_run:
             recall.by_drug(got).show()

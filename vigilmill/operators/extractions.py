@@ -13,6 +13,7 @@ from ..functions.ids import bare_id
 from ..functions.text import squeeze
 from ..session import Scratch
 from .flatten import FlatAnswers
+from .records import user_prompt
 
 RESULT = "target_drugs array<string>, record_id string, user_id string, subreddit string, date_text string, status string, model_name string, extraction string, error_text string"
 
@@ -191,29 +192,63 @@ def keyword_extractor(targets: dict[str, list[str]], symptoms: list[str]) -> Ext
     return run
 
 
-def extract(rows: DataFrame, extractor: Extractor, targets: list[str], model_name: str, attempts: int = 6, wait: Callable[[int], None] = lambda attempt: None) -> DataFrame:
+def system_prompt(targets: list[str]) -> str:
+    """What a model is told before each record."""
+    import json
+
+    return f"Read one forum record and report drug exposures with their adverse events as JSON, in the array regimens. Target drugs: {json.dumps(targets, ensure_ascii=False)}. Take events from the focal text only; the thread context explains it."
+
+
+class ChatExtractor:
+    """Extractor over a chat endpoint: system and user prompt in, JSON text out.
+
+    ``send`` takes the request body and gives the answer's text; it may raise.
+    """
+
+    def __init__(self, send: Callable[[dict], str], targets: list[str], model_name: str):
+        self.send, self.system, self.model_name = send, system_prompt(targets), model_name
+
+    def __call__(self, row: dict) -> str:
+        return self.send({"model": self.model_name, "messages": [{"role": "system", "content": self.system}, {"role": "user", "content": row["prompt"]}], "response_format": {"type": "json_object"}})
+
+
+def backoff(attempt: int) -> None:
+    """A pause that doubles with each try, 30 seconds at most."""
+    import time
+
+    time.sleep(min(30.0, 2.0 ** (attempt - 1)))
+
+
+def extract(rows: DataFrame, extractor: Extractor, targets: list[str], model_name: str, attempts: int = 6, wait: Callable[[int], None] = lambda attempt: None, at_once: int = 1) -> DataFrame:
     """Answers for cleaned rows as log lines (columns RESULT).
 
     One line per row: ``completed`` with the answer, or ``failed`` with the
-    error after ``attempts`` tries; ``wait`` is called between tries. Rows
-    are streamed, so a task holds one Arrow batch at a time; a retried task
-    repeats calls but never lines.
+    error after ``attempts`` tries; ``wait`` is called between tries. Each
+    task has ``at_once`` calls under way; rows come to the extractor with
+    ``record_id, message, context, prompt``. A task holds one Arrow batch at a
+    time; a retried task repeats calls but never lines.
     """
+    names = [c.split()[0] for c in RESULT.split(", ")]
+
+    def one(row: tuple[str, str, str, str]) -> tuple[str | None, str | None]:
+        error = None
+        for k in range(attempts):
+            try:
+                return extractor(dict(zip(("record_id", "message", "context", "prompt"), row, strict=True))), None
+            except Exception as e:  # noqa: BLE001 - any failure becomes a log line
+                error = f"{type(e).__name__}: {e}"
+                if k + 1 < attempts:
+                    wait(k + 1)
+        return None, error
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for row in pdf.to_dict("records"):
-                answer, error = None, None
-                for k in range(attempts):
-                    try:
-                        answer, error = extractor(row), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - any failure becomes a log line
-                        error = f"{type(e).__name__}: {e}"
-                        if k + 1 < attempts:
-                            wait(k + 1)
-                out.append((targets, row["record_id"], row["user_id"], row["subreddit"], row["date"], "failed" if answer is None else "completed", model_name, answer, error))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return rows.select("record_id", "user_id", "subreddit", "date", "message", "context").mapInPandas(run, RESULT)
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in frames:
+                got = list(pool.map(one, zip(pdf["record_id"], pdf["message"], pdf["context"], pdf["prompt"], strict=True)))
+                out = pdf[["record_id", "user_id", "subreddit"]].assign(date_text=pdf["date"], target_drugs=[targets] * len(pdf), model_name=model_name)
+                yield out.assign(status=["completed" if e is None else "failed" for _, e in got], extraction=[a for a, _ in got], error_text=[e for _, e in got])[names]
+
+    asked = rows.withColumn("prompt", user_prompt(F.col("context")))
+    return asked.select("record_id", "user_id", "subreddit", "date", "message", "context", "prompt").mapInPandas(run, RESULT)

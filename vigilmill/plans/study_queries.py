@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import author_hash, bare_id, record_id
 from ..functions.text import iso_utc, squeeze
-from ..operators import context, extractions, localize, recall, records, tables
+from ..operators import context, extractions, localize, recall, records, tables, targeted
 from ..operators.dedup import keep_one_delivery
 from ..operators.flatten import FlatAnswers
 from ..sources.slices import year_slices
@@ -172,6 +172,23 @@ def semi_selected_comments(spark, d):
     return c.join(sel, "thread", "left_semi").select("comment_id", F.col("thread").alias("post_id"))
 
 
+def targeted_input(spark, d):
+    """Recalled posts and all comments of their threads, with the posts' drugs."""
+    rec = recalled_posts(spark, d).select("id", "matched_target_drugs")
+    got = targeted.targeted_rows(table(spark, d, "posts"), table(spark, d, "comments"), rec, SALT, with_context=False)
+    return got.select("record_id", "source_type", "thread_id", F.array_join("recalled_target_drugs", " + ").alias("drugs"))
+
+
+def targeted_input_selected(spark, d):
+    """Recalled posts and the recalled comments of their threads, each with its own drugs."""
+    rec = recalled_posts(spark, d).select("id", "matched_target_drugs")
+    said = keep_one_delivery(table(spark, d, "comments")).withColumn("doc_id", F.col("id"))
+    said = said.join(rec.select(F.col("id").alias("post")), bare_id(F.col("link_id")) == F.col("post"), "left_semi")
+    chosen = recall.recalled(said.select("doc_id", "id", F.coalesce("body", F.lit("")).alias("text")), names(spark, d)).select("id", "matched_target_drugs")
+    got = targeted.targeted_rows(table(spark, d, "posts"), table(spark, d, "comments"), rec, SALT, chosen, with_context=False)
+    return got.where("source_type = 'comment'").select("record_id", "thread_id", F.array_join("recalled_target_drugs", " + ").alias("drugs"))
+
+
 def anti_missing_records(spark, d):
     """Records in the extraction log that no table holds."""
     log = extractions.latest_per_record(table(spark, d, "post_extractions")).select("record_id")
@@ -264,6 +281,6 @@ def extractor_offline(spark, d):
 QUERIES = {f.__name__: f for f in (
     recall_exact_by_drug, recall_exact_matches, recall_fuzzy_vocabulary, recall_full_policy, recall_comments, recall_mention_sets, recall_match_flags, recall_matched_terms, recall_rate_by_community, recall_by_community, recall_in_period, recall_top_n, scan_stats,
     class_term_posts, year_slices_plan, time_range_scan, normalized_whitespace, record_id_hash, author_hmac, created_iso, clean_records, clean_audit, clean_summary, clean_limit, thread_context, union_posts_comments,
-    semi_selected_comments, anti_missing_records, log_latest, log_pending, regimens_merged, events_normalized, flatten_posts, flatten_exposures, flatten_events, pt_validation, group_summary, term_frequency, top10_terms_per_group,
+    semi_selected_comments, targeted_input, targeted_input_selected, anti_missing_records, log_latest, log_pending, regimens_merged, events_normalized, flatten_posts, flatten_exposures, flatten_events, pt_validation, group_summary, term_frequency, top10_terms_per_group,
     symptom_pairs, exclusive_users, exclusive_term_pivot, localized_summary, extractor_offline,
 )}

@@ -150,6 +150,8 @@ SQL = {
     "thread_context": f"WITH RECURSIVE {_CONTEXT} SELECT cid AS comment_id, CAST(n AS INTEGER) AS n_ancestors, md5(context) AS context_md5, length(context) AS n_chars FROM ctx",
     "union_posts_comments": f"SELECT source_type, subreddit, count(*) AS n_rows FROM (SELECT 'post' AS source_type, {_COMMUNITY} AS subreddit FROM posts UNION ALL SELECT 'comment', {_COMMUNITY} FROM comments) GROUP BY 1, 2",
     "semi_selected_comments": f"{_POST_MATCHES}, {_COMMENTS_ONCE} SELECT k AS comment_id, {_ID.format('link_id')} AS post_id FROM c WHERE {_ID.format('link_id')} IN (SELECT k FROM docs WHERE doc_id IN (SELECT doc_id FROM per))",
+    "targeted_input": f"{_POST_MATCHES}, {_first('per')}, {_COMMENTS_ONCE} SELECT k AS record_id, 'post' AS source_type, k AS thread_id, mention_set AS drugs FROM first JOIN per USING (doc_id) UNION ALL SELECT c.k, 'comment', f.k, mention_set FROM c JOIN (SELECT first.k, mention_set FROM first JOIN per USING (doc_id)) f ON {_ID.format('c.link_id')} = f.k",
+    "targeted_input_selected": f"WITH {_COMMENTS_ONCE}, hit AS (SELECT * FROM ({_POST_MATCHES} SELECT DISTINCT k AS post FROM docs WHERE doc_id IN (SELECT doc_id FROM per))), docs AS MATERIALIZED (SELECT k AS doc_id, coalesce(body, '') AS text, {_ID.format('link_id')} AS post FROM c WHERE {_ID.format('link_id')} IN (SELECT post FROM hit)), {_MATCHES} SELECT doc_id AS record_id, post AS thread_id, mention_set AS drugs FROM per JOIN docs USING (doc_id)",
     "anti_missing_records": f"SELECT DISTINCT {_ID.format('record_id')} AS record_id FROM post_extractions WHERE {_ID.format('record_id')} IS NOT NULL AND {_ID.format('record_id')} NOT IN (SELECT {_ID.format('id')} FROM posts WHERE {_ID.format('id')} IS NOT NULL UNION ALL SELECT {_ID.format('id')} FROM comments WHERE {_ID.format('id')} IS NOT NULL)",
     "log_latest": f"{_W} SELECT rid AS record_id, log_line, status, model_name FROM last",
     "log_pending": f"SELECT DISTINCT k AS record_id FROM (SELECT {_ID.format('id')} AS k FROM posts) WHERE k NOT IN (SELECT rid FROM (SELECT {_ID.format('record_id')} AS rid, arg_max(status, log_line) AS s FROM post_extractions WHERE {_ID.format('record_id')} IS NOT NULL GROUP BY 1) WHERE s = 'completed')",
