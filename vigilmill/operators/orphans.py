@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import free_name
+from ..session import Scratch, free_name
 from .forum import comment_references, delivery_state
 
 
@@ -102,11 +102,15 @@ def forum_orphans(posts: DataFrame, comments: DataFrame) -> DataFrame:
     references, are ignored. Empty tables give no rows (no comments) or all
     ``missing`` (no targets).
     """
+    # Written once: each mask reads both sides twice, for its anti-join and its inner join.
+    scratch = Scratch(comments.sparkSession, "orphans")
     refs = comment_references(comments).withColumnRenamed("target_comment_id", "ref_comment_id").withColumnRenamed("post_id", "ref_post_id").withColumnRenamed("first_on", "own_first_on")
+    refs = scratch.put(refs, "refs")
     p, c = delivery_state(posts, "selftext"), delivery_state(comments, "body")
     none = F.lit(None).cast("string")
     withdrawn = F.col("withdrawn").cast("int").alias("withdrawn")
     targets = p.select(F.col("id").alias("ref_post_id"), none.alias("ref_comment_id"), "first_on", withdrawn).unionByName(c.select(none.alias("ref_post_id"), F.col("id").alias("ref_comment_id"), "first_on", withdrawn))
+    targets = scratch.put(targets, "targets")
     every = resolve_references(refs, targets, ["ref_post_id", "ref_comment_id"], ["first_on", "withdrawn"], masks=[0b01, 0b10])
     kind = F.when(F.col("ref_status") == "missing", F.lit("missing")).when(F.col("withdrawn") == 1, F.lit("deleted")).when(F.col("first_on") > F.col("own_first_on"), F.lit("late"))
     table = F.when(F.col("ref_post_id").isNotNull(), F.lit("posts")).otherwise(F.lit("comments"))
