@@ -122,3 +122,43 @@ def test_frames(rows):
     masked = {r["key"]: r["masked"] for r in pii.masked_texts(df, TAGGER).collect()}
     assert masked["1"] == "Please ask for [NAME] at the desk." and masked["2"] is None and masked["3"] == ""
     assert pii.personal_spans(df.where("false"), TAGGER).count() == 0
+
+
+PLAIN = "The swelling came back after the second week and the nurse told us to drink more water before every dose. "
+
+
+def test_scores_do_not_depend_on_neighbours():
+    """Scores and spans of a text are those it has alone, whatever is decoded with it."""
+    r = random.Random(8)
+    texts = [example(r, [])[0] * r.choice((1, 1, 4)) for _ in range(40)] + ["Ask (ana.berg@example.org)", PLAIN * 9]
+    views = [pii.codes(pii.folded(t, TABLE)[0]) for t in texts]
+    some = TAGGER.emissions(np.concatenate(views), np.array([len(v) for v in views]))
+    assert len(some) > 30
+    for k, (s, _) in some.items():
+        alone = TAGGER.emissions(views[k], np.array([len(views[k])]))[0][0]
+        assert np.allclose(s[:, 1:] - s[:, :1], alone[:, 1:] - alone[:, :1], atol=1e-3), texts[k]
+        plain = TAGGER.scores(np.r_[views[k], [97] * pii.TAIL][:, None])[: len(s), :, 0]
+        assert np.allclose(s[:, 1:] - s[:, :1], plain[:, 1:] - plain[:, :1], atol=1e-3), texts[k]
+    each = [pii.find([t], TAGGER, TABLE)[0] for t in texts]
+    assert pii.find(texts + texts[::-1], TAGGER, TABLE) == each + each[::-1]
+
+
+def test_cost():
+    """Hardly more cells are scored than there are characters, and no text comes out for Viterbi that can't have a tag."""
+    sizes = np.array([1 + 37 * k % 1500 for k in range(2000)])
+    view = pii.codes((PLAIN * (sizes.sum() // len(PLAIN) + 1))[: sizes.sum()])
+    cells, tagger = [], pii.Tagger.load()
+    tagger.leads = lambda x, w, rows: cells.append(x.size) or pii.Tagger.leads(tagger, x, w, rows)
+    tagger.emissions(view, sizes)
+    assert sizes.sum() <= sum(cells) < 1.05 * (sizes.sum() + 4 * len(sizes))
+    assert TAGGER.emissions(pii.codes(PLAIN * 9), np.array([9 * len(PLAIN)])) == {}
+
+
+def test_windows_of_long_texts(monkeypatch):
+    """Texts that are covered by windows have the spans of one pass."""
+    t = PLAIN * 7 + "I saw Dr. Maren Lindquist there. " + PLAIN * 8 + "Call me at (415) 555-0101 after work. " + PLAIN * 3
+    assert len(t) < pii.WHOLE
+    want = pii.find([t], TAGGER, TABLE)
+    assert {t[a:z] for a, z, _ in want[0]} == {"Maren Lindquist", "(415) 555-0101"}
+    monkeypatch.setattr(pii, "WHOLE", pii.WINDOW)
+    assert pii.find([t], TAGGER, TABLE) == want

@@ -5,8 +5,10 @@ CRF picks the best tag sequence. Text is first folded character by character
 (full-width digits, look-alike letters, accents; invisible characters drop
 out), with a map back to stored positions. Every text is decoded as a whole: a
 name may stand in any letters, case and script, so no part of a text can be
-left out. Texts are covered by overlapping windows; their scores are blended
-and one Viterbi pass over the whole text reconciles them. Found spans are then
+left out. Texts of up to WHOLE characters are scored in one pass, many side by
+side in lanes; longer ones are covered by overlapping windows whose scores are
+blended. One Viterbi pass over the whole text gives its tags, run only where a
+bound lets a tag pay. Found spans are then
 snapped to token edges and checked for form (a phone has seven digits, a name
 two words, and so on).
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import ctypes
 import glob
+import heapq
 import multiprocessing
 import os
 import random
@@ -35,10 +38,16 @@ TAGS = ["O"] + [f"{p}-{t}" for t in TYPES for p in "BI"]
 WINDOW, STRIDE, BATCH = 224, 192, 512
 EMBED, HIDDEN = 16, 24
 #: Characters decoded at once; these only bound memory.
-CELLS, PART = 400_000, 500_000
+CELLS, PART = 400_000, 1_000_000
 #: Characters the model tells apart: printable ASCII, line feed, other small (or caseless) letters, other capitals,
 #: letters of unspaced scripts, frequent Chinese and Japanese family names, everything else.
 VOCAB = 101
+#: Codes of cells between texts, in leads(): TAIL cells behind a text's end, which are read as any other character, and one or more that clear the state.
+END, PAD, TAIL = VOCAB, VOCAB + 1, 3
+#: Characters of a text that is scored in one pass; longer ones are covered by windows.
+WHOLE = 2048
+#: Lanes of a block, whose products fit the caches, and blocks that share a step's calls.
+LANES, BLOCKS = 160, 4
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 
 # Letters without a canonical decomposition, by their plain form.
@@ -74,16 +83,18 @@ class Folds(dict):
         return c
 
 
+def positions(text: str, table: Folds) -> np.ndarray | None:
+    """The stored position of each character of the model's view (None: the same)."""
+    return None if text.isascii() else np.repeat(np.arange(len(text)), [len(table[ord(c)]) for c in text])
+
+
 def folded(text: str, table: Folds) -> tuple[str, np.ndarray | None]:
     """The model's view of ``text``, and each character's stored position
     (None: the same)."""
-    if text.isascii():
-        return text, None
-    parts = [table[ord(c)] for c in text]
-    return "".join(parts), np.repeat(np.arange(len(text)), [len(p) for p in parts])
+    return text if text.isascii() else text.translate(table), positions(text, table)
 
 
-_CODE = np.full(256, 97, np.int64)
+_CODE = np.full(256, 97, np.uint8)
 for _c in range(32, 127):
     _CODE[_c] = _c - 32
 _CODE[10] = 95
@@ -122,6 +133,8 @@ class Tagger:
             self.p |= {f"W{d}": u(e, 4 * h), f"U{d}": u(h, 4 * h), f"B{d}": np.zeros(4 * h, np.float32)}
             self.p[f"B{d}"][h : 2 * h] = 1.0
         self.h = hidden
+        #: Memory that leads() writes to, kept because fresh pages cost time.
+        self.room = np.empty(0, np.float32)
 
     def _lstm(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """x: (T, B) codes, in reading order of the direction; (T, h, B)."""
@@ -279,70 +292,185 @@ class Tagger:
 
     # Decoding.
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """What leads() multiplies by: one matrix a direction, of the gates and
+        of every tag's lead over O (B tags first, with what Runs adds), for
+        (state, 1, embedding, pad); and a row of (embedding, pad) a code.
+
+        Rows of in, forget and out are halved (see _lstm). States come doubled,
+        so columns of the state are halved. PAD shuts all three, which leaves a
+        state of exactly zero.
+        """
+        p, h, k = self.p, self.h, len(TAGS) - 1
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], p["E"].dtype), h)[:, None]
+        w = np.zeros((2, 1, 4 * h + k, h + 2 + EMBED), p["E"].dtype)
+        tags = np.r_[1 : k + 1 : 2, 2 : k + 1 : 2]
+        lead = p["O"][:, tags] - p["O"][:, :1]
+        for n, d in enumerate("fb"):
+            w[n, 0, : 4 * h, :h] = p[f"U{d}"].T * half * 0.5
+            w[n, 0, : 4 * h, h] = p[f"B{d}"] * half[:, 0]
+            w[n, 0, : 4 * h, h + 1 : -1] = p[f"W{d}"].T * half
+            w[n, 0, : 3 * h, -1] = -1e3
+            w[n, 0, 4 * h :, :h] = lead[n * h : (n + 1) * h].T * 0.5
+        w[0, 0, 4 * h :, h] = p["c"][tags] - p["c"][0] + Runs(self).added
+        rows = np.zeros((VOCAB + 2, EMBED + 1), p["E"].dtype)
+        rows[:VOCAB, :-1] = p["E"]
+        rows[END, :-1] = p["E"][97]
+        rows[PAD, -1] = 1
+        # By columns, which multiplies faster.
+        return np.ascontiguousarray(w.swapaxes(2, 3)).swapaxes(2, 3), rows
+
+    def leads(self, x: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores over that of O, of lanes of codes: (step, block, lane) to
+        (step, tag but O, block, lane); w and rows as from joined(). The next
+        call overwrites the result.
+
+        Both directions run at once. A step's product also has the leads of
+        the step before, so there is one step more than cells.
+        """
+        h, (t, n, b) = self.h, x.shape
+        kind, k, width = w.dtype, len(TAGS) - 1, rows.shape[1]
+        on, g = np.zeros((2, n, w.shape[-1], b), kind), np.empty((2, n, 4 * h + k, b), kind)
+        on[:, :, h] = 1
+        c, r, e = np.zeros((2, n, h, b), kind), np.empty((2, n, h, b), kind), np.empty((2, n, b, width), kind)
+        gates, shut, new, lead = g[:, :, : 4 * h], g[:, :, : 3 * h], g[:, :, 3 * h : 4 * h], g[:, :, 4 * h :].swapaxes(1, 2)
+        enter, keep, show = g[:, :, :h], g[:, :, h : 2 * h], g[:, :, 2 * h : 3 * h]
+        state, seen, turned = on[:, :, :h], on[:, :, h + 1 :], e.transpose(0, 1, 3, 2)
+        both = np.empty((2, n, b), np.intp)
+        if self.room.size < t * k * n * b or self.room.dtype != kind:
+            self.room = np.empty(t * k * n * b, kind)
+        out = self.room[: t * k * n * b].reshape(t, k, n, b)
+        for s in range(t + 1):
+            if s < t:
+                both[0], both[1] = x[s], x[t - 1 - s]
+                np.take(rows, both, axis=0, out=e, mode="clip")
+                seen[...] = turned
+            np.matmul(w, on, out=g)
+            if s:
+                # Each cell is met twice: set the first time, added the second.
+                there, back = s - 1, t - s
+                if there <= back:
+                    out[there] = lead[0]
+                else:
+                    out[there] += lead[0]
+                if there < back:
+                    out[back] = lead[1]
+                else:
+                    out[back] += lead[1]
+            np.tanh(gates, out=gates)
+            np.add(shut, 1, out=shut)
+            np.multiply(c, keep, out=c)
+            np.multiply(enter, new, out=r)
+            np.add(c, r, out=c)
+            np.multiply(c, 0.5, out=c)
+            np.tanh(c, out=r)
+            np.multiply(show, r, out=state)
+        return out
+
     def emissions(self, view: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Blended scores of stretches, from overlapping windows, and which
-        characters may get a tag.
+        """Scores of stretches over that of O, and which characters may get a
+        tag.
 
         ``view`` holds the stretches' codes one after the other, ``sizes``
-        their lengths. Every window is scored; of stretches of one window only
-        those come out in which some character may get a tag (see most).
+        their lengths. Every stretch is scored, those of up to WHOLE characters
+        in one pass, others by overlapping windows whose scores are blended.
+        Only those stretches come out in which some character may get a tag.
+        What is scored along with a stretch changes nothing.
         """
         starts = np.cumsum(sizes) - sizes
-        many = np.maximum(1, -((WINDOW - sizes) // STRIDE) + 1)
-        many = np.where(sizes <= WINDOW, 1, many)
+        many = np.where(sizes <= WHOLE, 1, -((WINDOW - sizes) // STRIDE) + 1)
         owner = np.repeat(np.arange(len(sizes)), many)
-        rank = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        at = rank * STRIDE
-        size = np.minimum(sizes[owner] - at, WINDOW)
-        order = np.argsort(size, kind="stable")
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        open_ = np.zeros(len(sizes), bool)
-        for g in range(0, len(order), BATCH):
-            part = order[g : g + BATCH]
-            t = int(size[part[-1]])
-            step = np.arange(t)[:, None]
-            inside = step < size[part]
-            x = np.where(inside, view[np.minimum(starts[owner[part]] + at[part] + step, len(view) - 1)], 97)
-            sc = self.scores(x)
-            several = many[owner[part]] > 1
-            may = self.most(sc, inside) >= 0
-            hot = may.any(0) | several
-            open_[owner[part[hot]]] = True
-            for c in np.flatnonzero(hot):
-                n = size[part[c]]
-                kept[int(part[c])] = sc[:n, :, c].copy(), may[:n, c].copy()
+        at = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
+        size = np.where(many[owner] > 1, np.minimum(sizes[owner] - at, WINDOW), sizes[owner])
+        w, rows = self.joined()
+        runs = Runs(self)
+        open_ = many > 1
+        got: dict[int, np.ndarray] = {}
+        pay_at: dict[int, np.ndarray] = {}
+        # Pieces stand in lanes one after the other, the longest first, each with END (if it has the text's end) and PAD behind it.
+        upto = np.cumsum(size + TAIL + 1)
+        group = (upto - 1) // (-(-upto[-1] // -(-upto[-1] // PART)))
+        for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(group)) + 1):
+            part = part[np.argsort(-size[part], kind="stable")]
+            need = int((size[part] + TAIL + 1).sum())
+            lanes = int(min(LANES * BLOCKS, len(part), -(-need // (size[part[0]] + TAIL + 1))))
+            blocks = -(-lanes // LANES)
+            width = -(-lanes // blocks)
+            fill = [(0, j) for j in range(blocks * width)]
+            lane, place = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+            for j, n in enumerate(size[part].tolist()):
+                used, lane[j] = fill[0]
+                place[j] = used
+                heapq.heapreplace(fill, (used + n + TAIL + 1, int(lane[j])))
+            t = max(fill)[0]
+            cells = np.full((blocks * width, t), PAD, np.uint8)
+            for ln, a, n, v in zip(lane.tolist(), place.tolist(), size[part].tolist(), (starts[owner[part]] + at[part]).tolist(), strict=True):
+                cells[ln, a : a + n] = view[v : v + n]
+            ends = at[part] + size[part] == sizes[owner[part]]
+            for j in range(TAIL):
+                cells[lane[ends], place[ends] + size[part][ends] + j] = END
+            x = np.ascontiguousarray(cells.T).reshape(t, blocks, width)
+            sc = self.leads(x, w, rows).reshape(t, len(TAGS) - 1, -1)
+            hot = runs.pay(sc, x.reshape(t, -1) >= VOCAB, place, place + size[part] - 1, lane).T.ravel()
+            flat = lane * t + place
+            by = np.argsort(flat)
+            pays = np.empty(len(part), bool)
+            pays[by] = np.logical_or.reduceat(hot, flat[by])
+            open_[owner[part[pays]]] = True
+            for j in np.flatnonzero(pays | (many[owner[part]] > 1)):
+                got[int(part[j])] = sc[place[j] : place[j] + size[part[j]], :, lane[j]] - runs.added
+                pay_at[int(part[j])] = hot[flat[j] : flat[j] + size[part[j]]]
+        opened = np.flatnonzero(open_)
+        if not opened.size:
+            return {}
+        ends = np.cumsum(sizes[opened])
+        begins = ends - sizes[opened]
+        total, hot = np.zeros((ends[-1], len(TAGS)), np.float32), np.ones(ends[-1], bool)
         first = np.cumsum(many) - many
-        out = {}
-        for k in np.flatnonzero(open_):
-            n, w = int(sizes[k]), int(first[k])
+        for k, o in zip(opened, begins, strict=True):
+            n, p = int(sizes[k]), int(first[k])
             if many[k] == 1:
-                out[int(k)] = kept[w]
+                total[o : o + n, 1::2], total[o : o + n, 2::2], hot[o : o + n] = got[p][:, : len(TYPES)], got[p][:, len(TYPES) :], pay_at[p]
                 continue
-            total, weight = np.zeros((n, len(TAGS)), np.float32), np.zeros(n, np.float32)
-            for j in range(w, w + int(many[k])):
+            weight = np.zeros(n, np.float32)
+            for j in range(p, p + int(many[k])):
                 a, z = int(at[j]), int(at[j] + size[j])
                 v = np.minimum(np.arange(1, z - a + 1), np.arange(z - a, 0, -1)).astype(np.float32)
                 if a == 0:
                     v[: (z - a) // 2] = z - a
                 if z == n:
                     v[(z - a) // 2 :] = z - a
-                total[a:z] += kept[j][0] * v[:, None]
+                total[o + a : o + z, 1::2] += got[j][:, : len(TYPES)] * v[:, None]
+                total[o + a : o + z, 2::2] += got[j][:, len(TYPES) :] * v[:, None]
                 weight[a:z] += v
-            total /= weight[:, None]
-            out[int(k)] = total, self.most(total[:, :, None])[:, 0] >= 0
-        return out
-
-    def most(self, scores: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
-        """An upper bound, for each cell of (T, B), of what a run of tags but O
-        that holds it can gain over staying with O; scores are (T, tags, B)."""
-        tr, st = self.p["T"] - self.p["T"][0, 0], self.p["S"] - self.p["S"][0]
-        lead = scores[:, 1:] - scores[:, :1]
-        enter = (lead + tr[0, 1:, None]).max(1)
-        enter[0] = np.maximum(enter[0], (lead[0] + st[1:, None]).max(0))
-        go_on = (lead + tr[1:, 1:].max(0)[:, None]).max(1)
-        if inside is not None:
-            enter, go_on = np.where(inside, enter, -1e6), np.where(inside, go_on, -1e6)
-        return best_through(enter, go_on) + max(0.0, float(tr[1:, 0].max()))
+            total[o : o + n] /= weight[:, None]
+        may = self.most(total, begins) >= 0
+        # An interval in which no run that pays may end has none.
+        new = may.copy()
+        new[1:] &= ~may[:-1]
+        new[begins] |= may[begins]
+        if (at := np.flatnonzero(new)).size:
+            pays = np.logical_or.reduceat(hot & may, at)
+            may &= pays[np.maximum(np.cumsum(new) - 1, 0)]
+        some = np.logical_or.reduceat(may, begins)
+        return {int(k): (total[a:z], may[a:z]) for k, a, z, s in zip(opened, begins, ends, some, strict=True) if s}
+
+    def _moves(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Transitions and starts over those of O, and the most that going back to O pays."""
+        tr = self.p["T"] - self.p["T"][0, 0]
+        return tr, self.p["S"] - self.p["S"][0], max(0.0, float(tr[1:, 0].max()))
+
+    def most(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """An upper bound, for each character, of what a run of tags but O that
+        holds it can gain over staying with O; scores are (characters, tags) of
+        stretches one after the other, which begin at ``first``."""
+        tr, st, leave = self._moves()
+        lead = np.ascontiguousarray((scores[:, 1:] - scores[:, :1]).T)
+        enter = (lead + tr[0, 1:, None]).max(0)
+        enter[first] = np.maximum(enter[first], (lead[:, first] + st[1:, None]).max(0))
+        go_on = (lead + tr[1:, 1:].max(0)[:, None]).max(0)
+        go_on[first] = -1e6  # no run goes on from one stretch to the next
+        return best_through(enter[:, None], go_on[:, None])[:, 0] + leave
 
     def tags(self, scores: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """The best tags of each stretch. Only intervals that may hold tags but
@@ -371,33 +499,90 @@ class Tagger:
         order = [j for j, s in enumerate(scores) if len(s)]
         order.sort(key=lambda j: len(scores[j]))
         while order:  # the longest first, at most CELLS cells at once
-            n = min(BATCH, max(1, CELLS // max(1, len(scores[order[-1]]))))
+            longest = len(scores[order[-1]])
+            n = min(BATCH, max(1, CELLS // longest), sum(2 * len(scores[j]) >= longest for j in order[-BATCH:]))
             part, order = order[-n:], order[:-n]
             t, b = len(scores[part[-1]]), len(part)
-            e = np.zeros((t, b, k), np.float32)
+            best = np.zeros((t, k, b), np.float32)
             size = np.array([len(scores[j]) for j in part])
             for c, j in enumerate(part):
-                e[: size[c], c] = scores[j]
-            back = np.empty((t, b, k), np.int8)
-            a = e[0] + self.p["S"]
+                best[: size[c], :, c] = scores[j]
+            best[0] += self.p["S"][:, None]
+            z = np.empty((k, k, b), np.float32)
             for s in range(1, t):
-                z = a[:, :, None] + tr
-                arg = z.argmax(1)
-                nxt = np.take_along_axis(z, arg[:, None, :], 1)[:, 0] + e[s]
-                on = (s < size)[:, None]
-                back[s] = np.where(on, arg, np.arange(k))
-                a = np.where(on, nxt, a)
-            tag = a.argmax(1)
-            tags = np.empty((t, b), np.int8)
-            tags[-1] = tag
-            for s in range(t - 1, 0, -1):
-                tag = back[s, np.arange(b), tag]
-                tags[s - 1] = tag
+                np.add(best[s - 1][:, None], tr[:, :, None], out=z)
+                best[s] += z.max(0)
+            # Backwards only along the best path, from each stretch's own end.
+            tags = np.zeros((t, b), np.int8)
+            for s in range(t - 1, -1, -1):
+                a = best[s]
+                if s + 1 < t:
+                    a = np.where(s + 1 < size, a + tr.T[tags[s + 1]].T, a)
+                tags[s] = a.argmax(0)
             for c, j in enumerate(part):
                 out[j] = tags[: size[c], c]
         return out
 
 
+class Runs:
+    """Where a run of tags but O can pay: an upper bound of the best value of a
+    run that ends at a cell in a tag, as Viterbi has it, without its path.
+
+    Within a type transitions are as they stand. Any other, from x to y, is
+    replaced by out[x] + into[y], which is no less than it; ``into`` also holds
+    for coming from O.
+    """
+
+    def __init__(self, tagger: Tagger):
+        tr, st, _ = tagger._moves()
+        kind = tagger.p["E"].dtype
+        b, i = np.arange(1, len(TAGS), 2), np.arange(2, len(TAGS), 2)
+        tags, own = np.r_[b, i], np.arange(len(b))
+        out = (tr[1:, b] - tr[0, b]).max(1)
+        other = tr[1:, i] - out[:, None]
+        other[b - 1, own] = other[i - 1, own] = -1e6
+        into_i = np.maximum(tr[0, i], other.max(0))
+        # Values in a B tag are kept with what going on costs more than going on from the I tag.
+        more = np.r_[tr[b, i] - tr[i, i], 0 * own]
+        col = lambda v: np.ascontiguousarray(v[:, None], kind)
+        self.out, self.leave = col(out[tags - 1] - more), col(tr[tags, 0] - more)
+        self.into_b, self.into_i = col(tr[0, b] + more[own]), col(into_i - tr[i, i])
+        self.start, self.end = (st - tr[0])[tags].astype(kind), -tr[tags, 0].astype(kind)
+        #: What the leads that pay() takes have more.
+        self.added = np.r_[0 * own, tr[i, i]].astype(kind)
+
+    def pay(self, leads: np.ndarray, outside: np.ndarray, begin: np.ndarray, last: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        """Cells (step, lane) at which a run that pays may end. leads: (step,
+        tag but O, lane), B tags first, with ``added``; outside: cells of no
+        text; begin, last: the texts' first and last steps, in ``lane``. A
+        text's first character has the tags' starts, and at its last leaving
+        costs nothing."""
+        t, k, b = leads.shape
+        at, off = np.nonzero(outside)
+        kept = leads[begin, :, lane], leads[last, :, lane]
+        leads[at, :, off] = -1e6
+        leads[begin, :, lane] += self.start
+        leads[last, :, lane] += self.end
+        kind, half = leads.dtype, k // 2
+        v, r, q, m = np.full((k, b), -1e6, kind), np.empty((k, b), kind), np.empty((half, b), kind), np.empty((1, b), kind)
+        vb, vi = v[:half], v[half:]
+        left = np.empty((t, b), kind)
+        for s in range(t):
+            np.add(v, self.out, out=r)
+            np.maximum.reduce(r, 0, out=m, keepdims=True)
+            np.maximum(m, 0, out=m)
+            np.maximum(vb, vi, out=vi)
+            np.add(m, self.into_i, out=q)
+            np.maximum(vi, q, out=vi)
+            np.add(m, self.into_b, out=vb)
+            np.add(v, leads[s], out=v)
+            np.add(v, self.leave, out=r)
+            np.maximum.reduce(r, 0, out=left[s])
+        leads[begin, :, lane], leads[last, :, lane] = kept
+        # The margin is for rounding.
+        return left > -1e-3
+
+
 def best_through(enter: np.ndarray, go_on: np.ndarray) -> np.ndarray:
     """For each cell of (T, B), the most that a run down the column can gain
     which holds it: ``enter`` at its first cell, ``go_on`` at the others."""
@@ -474,23 +659,22 @@ def spans_of(view: str, start: int, tags: np.ndarray) -> list[tuple[int, int, st
 def find(texts: list[str | None], tagger: Tagger, table: Folds) -> list[list[tuple[int, int, str]]]:
     """For each text its spans (start, end, type) in stored positions."""
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    jobs, views, maps = [], [], []
+    same: dict[str, list[int]] = {}
     for k, t in enumerate(texts):
         if t:
-            view, at = folded(t, table)
-            if view:
-                jobs.append(k)
-                views.append(view)
-                maps.append(at)
-    if not jobs:
+            same.setdefault(t, []).append(k)
+    views = {t: v for t in same if (v := t if t.isascii() else t.translate(table))}
+    if not views:
         return found
-    some = tagger.emissions(codes("".join(views)), np.array([len(v) for v in views]))
+    stored, every = list(views), list(views.values())
+    some = tagger.emissions(codes("".join(every)), np.array([len(v) for v in every]))
     for j, tags in zip(some, tagger.tags(list(some.values())), strict=True):
         if not tags.any():
             continue
-        at = maps[j]
-        for s, e, kind in spans_of(views[j], 0, tags):
-            found[jobs[j]].append((s, e, kind) if at is None else (int(at[s]), int(at[e - 1]) + 1, kind))
+        at = positions(stored[j], table)
+        spans = [(s, e, kind) if at is None else (int(at[s]), int(at[e - 1]) + 1, kind) for s, e, kind in spans_of(every[j], 0, tags)]
+        for k in same[stored[j]]:
+            found[k] = list(spans)
     return found
 
 
